@@ -11,11 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .operators import alerts as A
 from .operators import windows as W
+from .operators.filters import capture_scope, late_events, recent
 from .operators.rules import rule_alerts
 from .operators.zscore import zscore_alerts
-from .testpackets import THRESHOLDS, WINDOWS, load_packets
+from .plans import store, workspace
+from .sources import frames, packets, rows
+from .testpackets import (
+    THRESHOLDS, WINDOWS, capture_events, frames_from, hosts_from, load_events, load_packets, records_from,
+)
 
 OFF_TIE = 1.23e-7
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,11 +68,174 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def combined_risk(spark: SparkSession, sf: str) -> DataFrame:
-    profiles = W.profiles(load_packets(spark, sf), WINDOWS)
+    profiles = workspace.written(W.profiles(load_packets(spark, sf), WINDOWS), "profile_rows")
     found = rule_alerts(profiles, THRESHOLDS).unionByName(zscore_alerts(profiles))
     return plain(A.combined_risk(found))
 
 
+# ---- messages and tables ------------------------------------------------------------------------
+
+AS_OF = 1705752000  # 2024-01-20 12:00:00 UTC
+RETAIN_AS_OF = 1707566400  # 2024-02-10 12:00:00 UTC
+
+
+def _time(seconds: int):
+    return F.timestamp_seconds(F.lit(seconds))
+
+
+def _messages(messages: DataFrame, names: list[str]) -> DataFrame:
+    return messages.select("key", *[F.get_json_object("value", f"$.{n}").alias(n) for n in names])
+
+
+def profiles_json(spark: SparkSession, sf: str) -> DataFrame:
+    messages = rows.profiles_as_json(W.profiles(load_packets(spark, sf), WINDOWS))
+    return _messages(messages, ["window_start", "window_end", "window_type", "packets", "bytes", "uniq_dst_ip"])
+
+
+def alerts_json(spark: SparkSession, sf: str) -> DataFrame:
+    found = rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS)
+    return _messages(rows.alerts_as_json(found), ["alert_id", "detected_at", "detector", "category", "severity"])
+
+
+def _with_broken(messages: DataFrame, spark: SparkSession, sf: str, renames: dict[str, str]) -> DataFrame:
+    """The messages, one broken text for each event, and one copy of each message with unknown codes."""
+    broken = load_events(spark, sf).select(F.concat(F.lit("not json "), F.col("event_id")).alias("value"))
+    unknown = F.col("value")
+    for old, new in renames.items():
+        unknown = F.replace(unknown, F.lit(old), F.lit(new))
+    return messages.select("value").unionByName(broken).unionByName(messages.select(unknown.alias("value")))
+
+
+def _profile_messages(spark: SparkSession, sf: str) -> DataFrame:
+    messages = rows.profiles_as_json(W.tumbling_profiles(load_packets(spark, sf), WINDOWS))
+    return _with_broken(messages, spark, sf, {"tumbling": "hourly"})
+
+
+def profiles_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(rows.parse_rows(_profile_messages(spark, sf), schemas.PROFILES)[0])
+
+
+def profiles_quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    bad = rows.parse_rows(_profile_messages(spark, sf), schemas.PROFILES)[1]
+    return bad.groupBy("error").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def alerts_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    messages = rows.alerts_as_json(rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS))
+    unknown = {f'"severity":{code}': '"severity":9' for code in schemas.SEVERITIES}
+    good = rows.parse_rows(_with_broken(messages, spark, sf, unknown), schemas.ALERT_ROWS)[0]
+    return plain(good.drop("details"))
+
+
+def _versions(df: DataFrame) -> DataFrame:
+    """Every row three times, as versions 1, 3 and 2."""
+    return df.withColumn("version", F.explode(F.array(*[F.lit(v).cast("long") for v in (1, 3, 2)])))
+
+
+def latest_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    table = _versions(W.profiles(load_packets(spark, sf), WINDOWS)).withColumn("packets", F.col("packets") + F.col("version"))
+    return plain(store.latest(table, schemas.PROFILE_KEY).select(*schemas.PROFILE_KEY, "packets", "version"))
+
+
+def latest_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    found = rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS)
+    table = _versions(found.withColumn("detected_at", F.col("window_start"))).withColumn(
+        "version", F.col("version") * 10 + F.length("window_type"))
+    return plain(store.latest(table, schemas.ALERT_KEY).select(*schemas.ALERT_KEY, "alert_id", "version"))
+
+
+def recent_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(recent(W.profiles(load_packets(spark, sf), WINDOWS), _time(AS_OF), 72))
+
+
+def retained_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(store.retain(
+        W.profiles(load_packets(spark, sf), WINDOWS), _time(RETAIN_AS_OF), schemas.PROFILE_TTL_DAYS, store.PROFILE_TS))
+
+
+def _stored_profiles(spark: SparkSession, sf: str) -> str:
+    """A stored table with every profile loaded twice; the second load corrects the packet counts."""
+    path = workspace.fresh(spark, "profiles")
+    profiles = workspace.written(W.profiles(load_packets(spark, sf), WINDOWS), "profile_rows")
+    for batch, extra in ((0, 0), (1, 1000)):
+        rows_ = profiles.withColumn("packets", F.col("packets") + extra)
+        store.load_rows(rows_, path, store.PROFILE_TS, schemas.PROFILE_KEY, batch, _time(AS_OF + batch))
+    return path
+
+
+def profile_history(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(store.profile_history(spark, _stored_profiles(spark, sf), _time(AS_OF), 72))
+
+
+# ---- decoding and batches -----------------------------------------------------------------------
+
+FRAME_FIELDS = ["host_id", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "pkt_len", "protocol"]
+
+
+def batch_pack(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packets.pack_batches(capture_events(load_packets(spark, sf)), size=16, flush_sec=86400)
+    lengths = F.transform("events", lambda e: e["pkt_len"])
+    return packed.select(
+        "host_id", "batch_ts", F.size("events").cast("long").alias("packets"),
+        F.element_at("events", 1)["timestamp_ns"].alias("first_ns"),
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"))
+
+
+def batch_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packets.pack_batches(capture_events(load_packets(spark, sf)), size=64, flush_sec=86400)
+    return packets.explode_events(packets.decode_batches(packets.encode_batches(packed)))
+
+
+def host_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    hosts = hosts_from(spark.read.parquet(f"{sf}/supplier.parquet"))
+    decoded = packets.decode_hosts(packets.encode_hosts(hosts))
+    listed = F.transform(F.array_sort(F.map_entries("interfaces")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return decoded.withColumn("interfaces", F.concat_ws(",", listed))
+
+
+def _frames(link: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return frames.decode_frames(frames_from(load_packets(spark, sf), link), link=link).select(*FRAME_FIELDS)
+    return run
+
+
+def record_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.decode_records(records_from(load_packets(spark, sf))).drop("record")
+
+
+def wallclock(spark: SparkSession, sf: str) -> DataFrame:
+    found = load_packets(spark, sf)
+    hosts = found.select("host_id").distinct().withColumn(
+        "offset_ns", F.substring("host_id", 2, 9).cast("long") * 1_000_000_000 + 17)
+    events = capture_events(found).withColumnRenamed("timestamp_ns", "ktime_ns")
+    return frames.to_wallclock(events, hosts).select("host_id", "event_id", "timestamp_ns")
+
+
+def scope(spark: SparkSession, sf: str) -> DataFrame:
+    events = capture_events(load_packets(spark, sf))
+    parts = [
+        capture_scope(events, mode, direction, interfaces).withColumn("scope", F.lit(f"{mode}/{direction}"))
+        for mode, direction, interfaces in SCOPES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("scope", "host_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("pkt_len").alias("bytes"))
+
+
+SCOPES = [
+    ("interface", "ingress", [1, 2]), ("interface", "egress", [1, 2]), ("interface", "both", [1, 2]),
+    ("cgroup", "ingress", None), ("cgroup", "egress", None), ("cgroup", "both", None),
+]
+
+
+def late(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets that arrive shuffled within blocks of a thousand."""
+    eid = F.col("event_id")
+    arrived = load_packets(spark, sf).withColumn("arrival", eid - eid % 1000 + (eid * 37) % 1000)
+    marked = late_events(arrived, "arrival", WINDOWS.watermark_sec, chunk=400)
+    return marked.select("arrival", "event_id", "watermark_us", "is_late")
+
+
 QUERIES: dict[str, Query] = {
     "packets_view": packets_view,
     "tumbling_profiles": _profiles("tumbling"),
@@ -77,4 +246,23 @@ QUERIES: dict[str, Query] = {
     "rule_alerts_all": _rule_alerts(*W.ALL_KINDS),
     "zscore_alerts": zscore,
     "combined_risk": combined_risk,
+    "profiles_json": profiles_json,
+    "alerts_json": alerts_json,
+    "profiles_loaded": profiles_loaded,
+    "profiles_quarantined": profiles_quarantined,
+    "alerts_loaded": alerts_loaded,
+    "latest_profiles": latest_profiles,
+    "latest_alerts": latest_alerts,
+    "recent_profiles": recent_profiles,
+    "retained_profiles": retained_profiles,
+    "profile_history": profile_history,
+    "batch_pack": batch_pack,
+    "batch_roundtrip": batch_roundtrip,
+    "host_registrations": host_registrations,
+    "frame_decode": _frames("ethernet"),
+    "ip_decode": _frames("ip"),
+    "record_decode": record_decode,
+    "wallclock": wallclock,
+    "capture_scope": scope,
+    "late_events": late,
 }

@@ -145,15 +145,115 @@ def _profiles(kind: str | None = None) -> str:
     return sql(PACKETS, MEMBERS, PROFILES, _PROFILE_OUT + (f" where window_type = '{kind}'" if kind else ""))
 
 
+def _text(us: str) -> str:
+    return f"strftime(make_timestamp({us}), '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _ms(us: str) -> str:
+    return f"{us} - {us} % 1000"
+
+
+_LOADED = """
+select host_id, window_type, window_start_us - window_start_us % 1000 as window_start_us,
+       window_end_us - window_end_us % 1000 as window_end_us, packets, bytes, round(pps, 6) as pps,
+       round(bps, 6) as bps, uniq_dst_ip, uniq_dst_port, proto_tcp, proto_udp, proto_other,
+       round(conn_interval_avg + 1.23e-7, 6) as conn_interval_avg,
+       round(conn_interval_std + 1.23e-7, 6) as conn_interval_std
+from profiles where window_type = 'tumbling'"""
+
+CAPTURE = """
+capture as (
+  select host_id, event_id, us * 1000 + event_id % 1000 as timestamp_ns,
+         (event_id * 40503) % 4294967296 as src_ip, dst_ip,
+         cast(1024 + event_id % 50000 as integer) as src_port, dst_port, cast(pkt_len as bigint) as pkt_len, protocol,
+         case protocol when 6 then 'HOOK_TC' when 17 then 'HOOK_XDP' else 'HOOK_CGROUP_SKB' end as hook,
+         case when dst_port < 50 then 'INGRESS' else 'EGRESS' end as direction,
+         cast(1 + dst_port % 3 as bigint) as ifindex
+  from packets)"""
+
+_FRAMES = """
+select host_id, event_id, src_ip, dst_ip, pkt_len, protocol,
+       case when protocol = 6 or (protocol = 17 and dst_port >= 20) then src_port else 0 end as src_port,
+       case when protocol = 6 or (protocol = 17 and dst_port >= 20) then dst_port else 0 end as dst_port
+from capture"""
+
+_PACKED = """
+select host_id, max(timestamp_ns) as batch_ts, count(*) as packets, min(timestamp_ns) as first_ns,
+       cast(sum(pkt_len) as bigint) as bytes
+from (select *, timestamp_ns // 86400000000000 as tick,
+             (row_number() over (partition by host_id, timestamp_ns // 86400000000000 order by timestamp_ns) - 1) // 16 as part
+      from capture)
+group by host_id, tick, part"""
+
+_HOSTS = """
+select 'h' || s_suppkey as host_id, s_name as hostname, 'linux' as os,
+       case when s_suppkey % 2 = 0 then 'x86_64' else 'aarch64' end as arch,
+       '6.1.' || s_nationkey as kernel_version,
+       '1:lo,' || (s_suppkey % 7 + 2) || ':eth0' as interfaces,
+       1700000000 + s_suppkey as boot_time_sec, (1700000000 + s_suppkey) * 1000000000 as register_ts
+from supplier"""
+
+_SCOPES = """
+select scope, host_id, count(*) as packets, cast(sum(pkt_len) as bigint) as bytes
+from capture join (values
+  ('interface/ingress', 'HOOK_XDP', 'INGRESS', true), ('interface/egress', 'HOOK_TC', 'EGRESS', true),
+  ('interface/both', 'HOOK_TC', null, true), ('cgroup/ingress', 'HOOK_CGROUP_SKB', 'INGRESS', false),
+  ('cgroup/egress', 'HOOK_CGROUP_SKB', 'EGRESS', false), ('cgroup/both', 'HOOK_CGROUP_SKB', null, false)
+  ) s(scope, h, d, one_of) on hook = h and (d is null or direction = d) and (not one_of or ifindex in (1, 2))
+group by all"""
+
+_LATE = """
+select arrival, event_id, top - 3600000000 as watermark_us, us < top - 3600000000 as is_late
+from (select *, greatest(coalesce(max(us) over (order by arrival rows between unbounded preceding and 1 preceding), 0), 0) as top
+      from (select *, event_id - event_id % 1000 + (event_id * 37) % 1000 as arrival from packets))"""
+
+_ALL = (PACKETS, MEMBERS, PROFILES)
+
 ORACLES: dict[str, str] = {
     "packets_view": sql(PACKETS, "select * rename (us as ts_us) from packets"),
     "tumbling_profiles": _profiles("tumbling"),
     "sliding_profiles": _profiles("sliding"),
     "session_profiles": _profiles("session"),
     "all_profiles": _profiles(),
-    "rule_alerts_tumbling": sql(
-        PACKETS, MEMBERS, PROFILES, RULES, alerts_out("rule_alerts") + " where window_type = 'tumbling'"),
-    "rule_alerts_all": sql(PACKETS, MEMBERS, PROFILES, RULES, alerts_out("rule_alerts")),
-    "zscore_alerts": sql(PACKETS, MEMBERS, PROFILES, ZSCORE, alerts_out("zscore_alerts"), recursive=True),
-    "combined_risk": sql(PACKETS, MEMBERS, PROFILES, RULES, ZSCORE, COMBINED, _COMBINED_OUT, recursive=True),
+    "rule_alerts_tumbling": sql(*_ALL, RULES, alerts_out("rule_alerts") + " where window_type = 'tumbling'"),
+    "rule_alerts_all": sql(*_ALL, RULES, alerts_out("rule_alerts")),
+    "zscore_alerts": sql(*_ALL, ZSCORE, alerts_out("zscore_alerts"), recursive=True),
+    "combined_risk": sql(*_ALL, RULES, ZSCORE, COMBINED, _COMBINED_OUT, recursive=True),
+    "profiles_json": sql(*_ALL, f"""
+select host_id as key, {_text("window_start_us")} as window_start, {_text("window_end_us")} as window_end, window_type,
+       cast(packets as varchar) as packets, cast(bytes as varchar) as bytes, cast(uniq_dst_ip as varchar) as uniq_dst_ip
+from profiles"""),
+    "alerts_json": sql(*_ALL, RULES, f"""
+select host_id as key, alert_id, {_text("window_start_us")} as detected_at, detector, category,
+       cast(severity as varchar) as severity from ({alerts_out("rule_alerts")})"""),
+    "profiles_loaded": sql(*_ALL, _LOADED),
+    "profiles_quarantined": sql(*_ALL, """
+select 'not a message of this schema' as error, count(*) as messages from events
+union all select 'unknown window type', count(*) from profiles where window_type = 'tumbling'"""),
+    "alerts_loaded": sql(*_ALL, RULES, f"""
+select alert_id, host_id, detector, category, severity, risk_score, model_version,
+       {_ms("window_start_us")} as detected_at_us, {_ms("window_start_us")} as window_start_us
+from ({alerts_out("rule_alerts")})"""),
+    "latest_profiles": sql(*_ALL, """
+select host_id, window_type, window_start_us, packets + 3 as packets, cast(3 as bigint) as version from profiles"""),
+    "latest_alerts": sql(*_ALL, RULES, f"""
+select host_id, window_start_us as detected_at_us, detector, any_value(alert_id) as alert_id,
+       30 + max(length(window_type)) as version
+from ({alerts_out("rule_alerts")}) group by all"""),
+    "recent_profiles": sql(*_ALL, _PROFILE_OUT + " where window_start_us >= (1705752000 - 72 * 3600)::bigint * 1000000"),
+    "retained_profiles": sql(
+        *_ALL, _PROFILE_OUT + " where window_start_us // 1000000 > 1707566400 - 30 * 86400"),
+    "profile_history": sql(*_ALL, f"""
+select * replace (packets + 1000 as packets) from ({_PROFILE_OUT})
+where window_start_us >= (1705752000 - 72 * 3600)::bigint * 1000000"""),
+    "batch_pack": sql(PACKETS, CAPTURE, _PACKED),
+    "batch_roundtrip": sql(PACKETS, CAPTURE, "select * exclude (event_id) from capture"),
+    "host_registrations": _HOSTS,
+    "frame_decode": sql(PACKETS, CAPTURE, _FRAMES),
+    "ip_decode": sql(PACKETS, CAPTURE, _FRAMES),
+    "record_decode": sql(PACKETS, CAPTURE, "select * rename (timestamp_ns as ktime_ns) from capture"),
+    "wallclock": sql(PACKETS, CAPTURE, """
+select host_id, event_id, timestamp_ns + cast(host_id[2:] as bigint) * 1000000000 + 17 as timestamp_ns from capture"""),
+    "capture_scope": sql(PACKETS, CAPTURE, _SCOPES),
+    "late_events": sql(PACKETS, _LATE),
 }
