@@ -17,10 +17,13 @@ from .operators import windows as W
 from .operators.filters import capture_scope, late_events, recent
 from .operators.rules import rule_alerts
 from .operators.zscore import zscore_alerts
-from .plans import store, workspace
+from .operators import registry
+from .plans import jobs, store, workspace
 from .sources import frames, packets, rows
+from .streaming import live, runs, sessions
+from .streaming import windows as stream_windows
 from .testpackets import (
-    THRESHOLDS, WINDOWS, capture_events, frames_from, hosts_from, load_events, load_packets, records_from,
+    THRESHOLDS, WINDOWS, capture_events, frames_from, hosts_from, load_events, load_packets, packets_from, records_from,
 )
 
 OFF_TIE = 1.23e-7
@@ -236,6 +239,87 @@ def late(spark: SparkSession, sf: str) -> DataFrame:
     return marked.select("arrival", "event_id", "watermark_us", "is_late")
 
 
+# ---- streams ------------------------------------------------------------------------------------
+
+
+def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = load_events(spark, sf).schema
+    runs.prepare(spark)
+    return packets_from(runs.read_new(spark, sf, schema, "events.parquet"))
+
+
+def _stream_fixed(kind: str) -> Query:
+    return lambda spark, sf: plain(runs.run_available(
+        stream_windows.fixed_profiles(_packet_stream(spark, sf), kind, WINDOWS), f"stream_{kind}"))
+
+
+def stream_session(spark: SparkSession, sf: str) -> DataFrame:
+    shares = runs.run_available(sessions.session_shares(_packet_stream(spark, sf), WINDOWS, 4), "stream_session")
+    return plain(sessions.merge_shares(shares, WINDOWS))
+
+
+def _live(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Run the live job over all packets; the paths of its profile and alert tables."""
+    base = workspace.fresh(spark, "live")
+    sinks = live.table_sinks(f"{base}/profiles", f"{base}/alerts")
+    detectors = [registry.detector("rule", thresholds=THRESHOLDS)]
+    live.live(_packet_stream(spark, sf), detectors, sinks, f"{base}/checkpoint", WINDOWS, 4, available_now=True).awaitTermination()
+    return f"{base}/profiles", f"{base}/alerts"
+
+
+def stream_all(spark: SparkSession, sf: str) -> DataFrame:
+    table = spark.read.parquet(_live(spark, sf)[0])
+    return plain(store.latest(table, schemas.PROFILE_KEY).select(*schemas.PROFILES.names))
+
+
+def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(spark.read.parquet(_live(spark, sf)[1]).select(*schemas.ALERT_ROWS.names).drop("details"))
+
+
+def stream_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    path = workspace.fresh(spark, "profiles")
+    W.profiles(load_packets(spark, sf), WINDOWS).write.parquet(path)
+    runs.prepare(spark)
+    found = live.stream_zscore_alerts(live.read_table(spark, path, schemas.PROFILES))
+    return alert_rows(runs.run_available(found, "stream_zscore"))
+
+
+def tables_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages from text files through the loading job into the stored table."""
+    base = workspace.fresh(spark, "tables")
+    _profile_messages(spark, sf).write.text(f"{base}/messages")
+    runs.prepare(spark)
+    stream = spark.readStream.text(f"{base}/messages")
+    live.load_tables(stream, schemas.PROFILES, f"{base}/profiles", store.PROFILE_TS, schemas.PROFILE_KEY,
+                     f"{base}/checkpoint", f"{base}/quarantine", available_now=True).awaitTermination()
+    return plain(spark.read.parquet(f"{base}/profiles").select(*schemas.PROFILES.names))
+
+
+# ---- trained detectors --------------------------------------------------------------------------
+
+
+def _profile_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return workspace.written(W.profiles(load_packets(spark, sf), WINDOWS), "profile_rows")
+
+
+def _trained(core: str, **params) -> Query:
+    """Train on all profiles, save, load, and score them again."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        profiles, root = _profile_rows(spark, sf), workspace.fresh(spark, "models")
+        jobs.train(profiles, core, root, **params)
+        return alert_rows(registry.detector(core).load(spark, root).score(profiles))
+    return run
+
+
+def all_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    detectors = [registry.detector("rule", thresholds=THRESHOLDS), registry.detector("zscore"), registry.detector("isoforest")]
+    return alert_rows(registry.score_all(_profile_rows(spark, sf), detectors))
+
+
+def second_pass_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return alert_rows(jobs.second_pass(spark, _stored_profiles(spark, sf), "zscore", 240, _time(AS_OF)))
+
+
 QUERIES: dict[str, Query] = {
     "packets_view": packets_view,
     "tumbling_profiles": _profiles("tumbling"),
@@ -265,4 +349,18 @@ QUERIES: dict[str, Query] = {
     "wallclock": wallclock,
     "capture_scope": scope,
     "late_events": late,
+    "stream_tumbling": _stream_fixed("tumbling"),
+    "stream_sliding": _stream_fixed("sliding"),
+    "stream_session": stream_session,
+    "stream_all": stream_all,
+    "live_alerts": live_alerts,
+    "stream_zscore": stream_zscore,
+    "tables_loaded": tables_loaded,
+    "all_alerts": all_alerts,
+    "second_pass_zscore": second_pass_zscore,
+    "kmeans_alerts": _trained("kmeans"),
+    "isoforest_alerts": _trained("isoforest"),
+    "lof_alerts": _trained("lof"),
+    "ocsvm_alerts": _trained("ocsvm"),
+    "autoencoder_alerts": _trained("mlp", iterations=60),
 }

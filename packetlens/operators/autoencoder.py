@@ -84,7 +84,7 @@ class Autoencoder(Detector):
             if quiet > 10:
                 break
         self.model = {"weights": flat.tolist(), "sizes": sizes, "mean": mean.tolist(), "scale": scale.tolist(), "threshold": 0.0}
-        self.model["threshold"] = self._quantile(self._scored(rows), "error", self.percentile / 100)
+        self.model["threshold"] = self._quantile(self._scored(rows), "mlp_error", self.percentile / 100)
         rows.unpersist()
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
@@ -96,13 +96,13 @@ class Autoencoder(Detector):
             x = (np.column_stack([c.to_numpy(dtype=float) for c in columns]) - mean) / scale
             return pd.Series(((forward(layers, x)[-1] - x) ** 2).mean(axis=1))
 
-        return profiles.withColumn("error", error(*[F.col(name).cast("double") for name in FEATURES]))
+        return profiles.withColumn("mlp_error", error(*[F.col(name).cast("double") for name in FEATURES]))
 
     def _hit(self) -> Column:
         threshold = float(self.model["threshold"])
         if threshold <= 0:  # no scale to measure a risk against
             return F.lit(None).cast(HIT)
-        risk = clip01(F.col("error") / F.lit(threshold * 2))
-        details = F.struct(F.round("error", 6).alias("recon_error"), F.round(F.lit(threshold), 6).alias("threshold"))
+        risk = clip01(F.col("mlp_error") / F.lit(threshold * 2))
+        details = F.struct(F.round("mlp_error", 6).alias("recon_error"), F.round(F.lit(threshold), 6).alias("threshold"))
         found = hit("nn:mlp", "anomaly", graded(risk, 0.6), risk, details, self.model_version)
-        return F.when(F.col("error") > threshold, found)
+        return F.when(F.col("mlp_error") > threshold, found)

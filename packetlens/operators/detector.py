@@ -27,6 +27,7 @@ class Detector:
 
     name = "base"
     needs_model = True
+    adds_columns = True  # scoring is a set of columns on the profiles, so detectors can share a pass
 
     def __init__(self, model_version: str = "v1") -> None:
         self.model_version = model_version
@@ -41,9 +42,9 @@ class Detector:
         return self
 
     def score(self, profiles: DataFrame) -> DataFrame:
-        if self.needs_model and self.model is None:
+        if not self.active:
             return no_alerts(profiles)
-        return alerts_of(self._scored(profiles), [self._hit()])
+        return alerts_of(self._scored(profiles), self._hits())
 
     def _fit(self, rows: DataFrame) -> None:
         raise NotImplementedError
@@ -59,6 +60,13 @@ class Detector:
     def _hit(self) -> Column:
         raise NotImplementedError
 
+    def _hits(self) -> list[Column]:
+        return [self._hit()]
+
+    @property
+    def active(self) -> bool:
+        return self.model is not None or not self.needs_model
+
     def save(self, spark: SparkSession, root: str) -> str:
         """Write the model under ``root/<detector>/<version>``."""
         path = f"{root}/{self.name}/{self.model_version}"

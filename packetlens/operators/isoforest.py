@@ -86,7 +86,7 @@ class IsoForest(Detector):
         model["roots"] = np.flatnonzero(nodes["node"].to_numpy() == 0).tolist()
         model["sample"] = min(SAMPLE, n)
         self.model = {**model, "offset": 0.0}
-        self.model["offset"] = self._quantile(self._with_scores(rows), "decision", self.contamination)
+        self.model["offset"] = self._quantile(self._with_scores(rows), "isoforest_decision", self.contamination)
 
     def _with_scores(self, profiles: DataFrame) -> DataFrame:
         m = self.model
@@ -113,13 +113,13 @@ class IsoForest(Detector):
             return pd.Series(out)
 
         value = score(*[F.col(name).cast("double") for name in FEATURES])
-        return profiles.withColumn("decision", value - F.lit(float(m["offset"])))
+        return profiles.withColumn("isoforest_decision", value - F.lit(float(m["offset"])))
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
         return self._with_scores(profiles)
 
     def _hit(self) -> Column:
-        risk = clip01(0.5 - F.col("decision"))
-        details = F.struct(F.round("decision", 4).alias("decision_function"), feature_struct().alias("features"))
+        risk = clip01(0.5 - F.col("isoforest_decision"))
+        details = F.struct(F.round("isoforest_decision", 4).alias("decision_function"), feature_struct().alias("features"))
         found = hit("ml:isoforest", "anomaly", graded(risk, 0.6, 0.8), risk, details, self.model_version)
-        return F.when(F.col("decision") < 0, found)
+        return F.when(F.col("isoforest_decision") < 0, found)

@@ -29,7 +29,7 @@ class KMeansDistance(Detector):
         else:
             centres = [[float(x) for x in rows.select(*FEATURES).first()]]
         self.model = {"centres": centres, "threshold": 0.0}
-        self.model["threshold"] = self._quantile(self._scored(rows), "distance", self.percentile / 100)
+        self.model["threshold"] = self._quantile(self._scored(rows), "kmeans_distance", self.percentile / 100)
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
         def squared(centre: list[float]) -> Column:
@@ -41,13 +41,13 @@ class KMeansDistance(Detector):
 
         # one row per (profile, centre) would multiply the data; the few centres are literals instead
         nearest = F.array_min(F.array(*[squared(c) for c in self.model["centres"]]))
-        return profiles.withColumn("distance", F.sqrt(nearest))
+        return profiles.withColumn("kmeans_distance", F.sqrt(nearest))
 
     def _hit(self) -> Column:
         threshold = float(self.model["threshold"])
         if threshold <= 0:  # no scale to measure a risk against
             return F.lit(None).cast(HIT)
-        risk = clip01(F.col("distance") / F.lit(threshold * 2))
-        details = F.struct(F.round("distance", 4).alias("distance"), F.round(F.lit(threshold), 4).alias("threshold"))
+        risk = clip01(F.col("kmeans_distance") / F.lit(threshold * 2))
+        details = F.struct(F.round("kmeans_distance", 4).alias("distance"), F.round(F.lit(threshold), 4).alias("threshold"))
         found = hit("ml:kmeans", "anomaly", graded(risk, 0.6), risk, details, self.model_version)
-        return F.when(F.col("distance") > threshold, found)
+        return F.when(F.col("kmeans_distance") > threshold, found)

@@ -20,6 +20,7 @@ class Lof(Detector):
     """Equal profiles are one point with a weight, so copies cost nothing and cannot pile up in a group."""
 
     name = "lof"
+    adds_columns = False
 
     def __init__(self, k: int = 20, cell_rows: int = 2000, model_version: str = "v1") -> None:
         super().__init__(model_version)
@@ -58,10 +59,10 @@ class Lof(Detector):
         around = found.join(points.select("pid", F.col("density").alias("its_density")), "pid").groupBy("qid").agg(
             (F.sum(F.col("its_density") * F.col("weight")) / F.sum("weight")).alias("around"))
         factors = around.join(self._density(found, points), "qid").select(
-            "qid", (F.col("around") / F.col("density")).alias("factor"))
+            "qid", (F.col("around") / F.col("density")).alias("lof_factor"))
         return keyed.join(factors, "qid", "left")
 
     def _hit(self) -> Column:
         details = F.struct(feature_struct().alias("features"))
         found = hit("ml:lof", "anomaly", F.lit(schemas.MEDIUM), F.lit(0.7), details, self.model_version)
-        return F.when(F.col("factor") > LIMIT, found)
+        return F.when(F.col("lof_factor") > LIMIT, found)

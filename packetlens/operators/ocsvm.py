@@ -65,7 +65,7 @@ class OneClassSvm(Detector):
         self.model["offset"] = self._score_quantile(rows)
 
     def _score_quantile(self, rows: DataFrame) -> float:
-        return self._quantile(self._with_scores(rows, 0.0), "decision", self.nu)
+        return self._quantile(self._with_scores(rows, 0.0), "ocsvm_decision", self.nu)
 
     def _with_scores(self, profiles: DataFrame, offset: float) -> DataFrame:
         project, w = self._map(self.model["gamma"]), np.array(self.model["w"])
@@ -75,7 +75,7 @@ class OneClassSvm(Detector):
             return pd.Series(project(np.column_stack([c.to_numpy(dtype=float) for c in columns])) @ w)
 
         value = score(*[F.col(name).cast("double") for name in FEATURES])
-        return profiles.withColumn("decision", value - F.lit(float(offset)))
+        return profiles.withColumn("ocsvm_decision", value - F.lit(float(offset)))
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
         return self._with_scores(profiles, self.model["offset"])
@@ -83,4 +83,4 @@ class OneClassSvm(Detector):
     def _hit(self) -> Column:
         details = F.struct(feature_struct().alias("features"))
         found = hit("ml:ocsvm", "anomaly", F.lit(schemas.MEDIUM), F.lit(0.7), details, self.model_version)
-        return F.when(F.col("decision") < 0, found)
+        return F.when(F.col("ocsvm_decision") < 0, found)

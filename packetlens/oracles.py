@@ -89,14 +89,16 @@ def _ewma(metric: str) -> str:
 
 _METRICS = ["pps", "bps", "uniq_dst_ip", "uniq_dst_port"]
 
-ZSCORE = f"""
+def zscore(source: str = "profiles") -> str:
+    """The per-host fold as a recursive query."""
+    return f"""
 numbered as (
   select host_id, window_type, window_start_us, window_end_us,
          cast(pps as double) as pps, cast(bps as double) as bps,
          cast(uniq_dst_ip as double) as uniq_dst_ip, cast(uniq_dst_port as double) as uniq_dst_port,
          row_number() over (partition by host_id order by window_end_us,
            case window_type when 'tumbling' then 1 when 'sliding' then 2 else 3 end, window_start_us) as n
-  from profiles),
+  from {source}),
 folded as (
   select host_id, n, {", ".join(f"cast(0 as double) as z_{m}, {m} as m_{m}, cast(0 as double) as v_{m}" for m in _METRICS)}
   from numbered where n = 1
@@ -114,6 +116,9 @@ zscore_alerts as (
         from flagged join numbered n using (host_id, n)
         where coalesce(z_pps, z_bps, z_uniq_dst_ip, z_uniq_dst_port) is not null))"""
 
+
+ZSCORE = zscore()
+
 COMBINED = """
 found as (select * from rule_alerts union all select * from zscore_alerts),
 best as (
@@ -209,6 +214,20 @@ from (select *, greatest(coalesce(max(us) over (order by arrival rows between un
 
 _ALL = (PACKETS, MEMBERS, PROFILES)
 
+# windows that a stream over all packets has closed: a session when the last closed slice of 600
+# seconds lies more than the timeout after it
+CLOSED = """
+closed as (
+  select profiles.* from profiles, (select max(us) - 3600000000 as wm from packets)
+  where case when window_type = 'session' then wm - wm % 600000000 - window_end_us > 1800000000
+             else window_end_us <= wm end)"""
+
+
+def _closed(kind: str | None = None) -> str:
+    out = _PROFILE_OUT.replace("from profiles", "from closed")
+    return sql(*_ALL, CLOSED, out + (f" where window_type = '{kind}'" if kind else ""))
+
+
 ORACLES: dict[str, str] = {
     "packets_view": sql(PACKETS, "select * rename (us as ts_us) from packets"),
     "tumbling_profiles": _profiles("tumbling"),
@@ -256,4 +275,20 @@ where window_start_us >= (1705752000 - 72 * 3600)::bigint * 1000000"""),
 select host_id, event_id, timestamp_ns + cast(host_id[2:] as bigint) * 1000000000 + 17 as timestamp_ns from capture"""),
     "capture_scope": sql(PACKETS, CAPTURE, _SCOPES),
     "late_events": sql(PACKETS, _LATE),
+    "stream_tumbling": _closed("tumbling"),
+    "stream_sliding": _closed("sliding"),
+    "stream_session": _closed("session"),
+    "stream_all": _closed(),
+    "live_alerts": sql(*_ALL, CLOSED, RULES.replace("from profiles", "from closed"), f"""
+select alert_id, host_id, detector, category, severity, risk_score, model_version,
+       window_start_us as detected_at_us, window_start_us
+from ({alerts_out("rule_alerts")})"""),
+    "stream_zscore": sql(*_ALL, ZSCORE, alerts_out("zscore_alerts"), recursive=True),
+    "tables_loaded": sql(*_ALL, _LOADED),
+    "all_alerts": sql(
+        *_ALL, RULES, ZSCORE,
+        f'{alerts_out("rule_alerts")} union all {alerts_out("zscore_alerts")}', recursive=True),
+    "second_pass_zscore": sql(
+        *_ALL, "history as (select * from profiles where window_start_us >= (1705752000 - 240 * 3600)::bigint * 1000000)",
+        zscore("history"), alerts_out("zscore_alerts"), recursive=True),
 }

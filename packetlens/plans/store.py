@@ -59,6 +59,11 @@ def load_rows(rows: DataFrame, path: str, ts: str, key: list[str], batch_id: int
     write_by_day(with_load_columns(rows, ts, batch_id, loaded_at), path, ts, key)
 
 
+def alert_rows(alerts: DataFrame) -> DataFrame:
+    """Alerts with the columns of the stored table; detected at the start of their window."""
+    return alerts.withColumn("detected_at", F.col("window_start")).select(*schemas.ALERT_ROWS.names)
+
+
 def load_profiles(rows: DataFrame, path: str, batch_id: int = 0) -> None:
     load_rows(rows, path, PROFILE_TS, schemas.PROFILE_KEY, batch_id)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import workspace
@@ -16,6 +17,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def read_new(spark: SparkSession, folder: str, schema: T.StructType, names: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(folder)
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
     """Append a stream to a Parquet table; the checkpoint and the sink's log make each row land once."""
     prepare(stream.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.windows import MICROS, profile_columns
 from ..settings import WindowSettings
-from .windows import PORT, SLICE, stream_cells
+from .windows import PORT, SLICE, closed_windows, stream_cells
 
 PARTIALS = (
     "host_id string, start_us long, last_us long, packets long, bytes long, tcp long, udp long, "
@@ -113,23 +113,30 @@ class SessionShare(StatefulProcessor):
 
 
 def session_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(), shares: int = 16) -> DataFrame:
-    """Closed sessions of a stream, in ``shares`` rows each; see ``merge_shares``."""
+    """Closed sessions of a stream, in ``shares`` rows each."""
     slice_sec = settings.order_slice_sec(("session",))
     cells = stream_cells(packets, slice_sec, slice_sec, settings.watermark_sec)
     mine = F.when(F.col("kind") == SLICE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("kind", "value"), F.lit(shares)).cast("int")))
     spread = cells.select("*", F.unix_micros("pane.start").alias("pane_us"), F.explode(mine).alias("share"))
     processor = SessionShare(settings.session_timeout_sec * MICROS, slice_sec * MICROS)
-    return spread.groupBy("host_id", "share").transformWithStateInPandas(processor, PARTIALS, "Append", "EventTime")
+    partials = spread.groupBy("host_id", "share").transformWithStateInPandas(processor, PARTIALS, "Append", "EventTime")
+    return partials.select(
+        "host_id", F.lit("session").alias("window_type"), "start_us", F.col("last_us").alias("end_us"),
+        F.col("start_us").alias("first_us"), "last_us", "packets", "bytes", "tcp", "udp",
+        F.col("gap_sq").cast("decimal(38,0)").alias("gap_sq"), F.col("new_ips").alias("uniq_dst_ip"),
+        F.col("new_ports").alias("uniq_dst_port"))
+
+
+def closed_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(), shares: int = 16) -> DataFrame:
+    """Closed windows of all three kinds in one stream; ``merge_shares`` turns them into profiles."""
+    return closed_windows(packets, "tumbling", settings).unionByName(
+        closed_windows(packets, "sliding", settings)).unionByName(session_shares(packets, settings, shares))
 
 
 def merge_shares(rows: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
-    """Session profiles from the shares of a batch (or of a whole table) of closed sessions."""
-    merged = rows.groupBy("host_id", "start_us", "last_us").agg(
-        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
-        F.sum("tcp").alias("tcp"), F.sum("udp").alias("udp"),
-        F.sum(F.col("gap_sq").cast("decimal(38,0)")).alias("gap_sq"),
-        F.sum("new_ips").alias("uniq_dst_ip"), F.sum("new_ports").alias("uniq_dst_port"))
-    return merged.withColumns({
-        "window_type": F.lit("session"), "first_us": F.col("start_us"), "end_us": F.col("last_us"),
-    }).select(*profile_columns(settings.min_duration_sec))
+    """Profiles from the closed windows of a batch, or of a whole table of them."""
+    counts = ["packets", "bytes", "tcp", "udp", "gap_sq", "uniq_dst_ip", "uniq_dst_port"]
+    return rows.groupBy("host_id", "window_type", "start_us", "end_us").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        *[F.sum(c).alias(c) for c in counts]).select(*profile_columns(settings.min_duration_sec))

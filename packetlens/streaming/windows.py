@@ -61,8 +61,8 @@ def _merged_gaps(parts: Column) -> Column:
     return F.aggregate(F.array_sort(parts), zero, add)["total"]
 
 
-def fixed_profiles(packets: DataFrame, kind: str, settings: WindowSettings = WindowSettings()) -> DataFrame:
-    """Closed tumbling or sliding profiles of a stream."""
+def closed_windows(packets: DataFrame, kind: str, settings: WindowSettings = WindowSettings()) -> DataFrame:
+    """Merged counts and gaps of the closed tumbling or sliding windows of a stream."""
     s = settings
     size, step = (s.tumbling_sec, s.tumbling_sec) if kind == "tumbling" else (s.sliding_sec, s.sliding_step_sec)
     pane = s.pane_sec((kind,))
@@ -83,8 +83,12 @@ def fixed_profiles(packets: DataFrame, kind: str, settings: WindowSettings = Win
         F.count_if(F.col("kind") == PORT).alias("uniq_dst_port"),
         F.collect_list(F.when(F.col("kind") == SLICE, part)).alias("parts"))
     closed = merged.select(
-        "host_id", "packets", "bytes", "tcp", "udp", "first_us", "last_us", "uniq_dst_ip", "uniq_dst_port",
-        _merged_gaps(F.col("parts")).alias("gap_sq"), F.lit(kind).alias("window_type"),
-        F.unix_micros(F.col("win.start")).alias("start_us"), F.unix_micros(F.col("win.end")).alias("end_us"))
-    return closed.where(F.col("start_us") >= 0 if kind == "sliding" else F.lit(True)).select(
-        *profile_columns(s.min_duration_sec))
+        "host_id", F.lit(kind).alias("window_type"), F.unix_micros(F.col("win.start")).alias("start_us"),
+        F.unix_micros(F.col("win.end")).alias("end_us"), "first_us", "last_us", "packets", "bytes", "tcp", "udp",
+        _merged_gaps(F.col("parts")).alias("gap_sq"), "uniq_dst_ip", "uniq_dst_port")
+    return closed.where(F.col("start_us") >= 0) if kind == "sliding" else closed
+
+
+def fixed_profiles(packets: DataFrame, kind: str, settings: WindowSettings = WindowSettings()) -> DataFrame:
+    """Closed tumbling or sliding profiles of a stream."""
+    return closed_windows(packets, kind, settings).select(*profile_columns(settings.min_duration_sec))
