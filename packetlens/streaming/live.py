@@ -95,7 +95,7 @@ class HostZScores(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["window_end", "kind", "window_start"])
         state = list(self.state.get()[0]) if self.state.exists() else None
         scores = []

@@ -44,7 +44,7 @@ class SessionShare(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         host, share = key
         cells = pd.concat(list(rows))
         slices = cells[cells["kind"] == SLICE].sort_values("value")
@@ -68,7 +68,7 @@ class SessionShare(StatefulProcessor):
                 while at < len(waiting) and waiting[at][0] <= s.pane_us:
                     self._count(session, *waiting[at][1:])
                     at += 1
-        if session is not None and self._idle(session, timer_values):
+        if session is not None and self._idle(session, timerValues):
             done.append(self._finish(host, share, session))
             session = None
         if session is None:
@@ -81,18 +81,18 @@ class SessionShare(StatefulProcessor):
             self.handle.registerTimer((over_us - over_us % self.pane_us + self.pane_us) // 1000)
         yield self._frame(done)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done = []
         if self.open.exists():
             session = list(self.open.get())
-            if self._idle(session, timer_values):
+            if self._idle(session, timerValues):
                 done.append(self._finish(key[0], key[1], session))
                 self.open.clear()
         yield self._frame(done)
 
-    def _idle(self, session: list, timer_values) -> bool:
+    def _idle(self, session: list, timerValues) -> bool:
         """No packet that could still arrive would join the session."""
-        watermark_us = timer_values.getCurrentWatermarkInMs() * 1000
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         return watermark_us - watermark_us % self.pane_us - session[1] > self.timeout_us
 
     def _count(self, session: list, kind: int, value: int) -> None:
