@@ -36,8 +36,8 @@ def vector_id(*columns: Column) -> Column:
 class Cells:
     """Median splits: node i is (feature, threshold, left, right), or feature -1 and the cell in ``left``."""
 
-    def __init__(self, nodes: list[tuple[int, float, int, int]]) -> None:
-        self.feature, self.threshold, self.left, self.right = (np.array(c) for c in zip(*nodes))
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        self.feature, self.threshold, self.left, self.right = feature, threshold, left, right
 
     @classmethod
     def cut(cls, sample: np.ndarray, count: int) -> Cells:
@@ -55,7 +55,7 @@ class Cells:
             nodes += [(), ()]
             nodes[at] = (f, middle, left, right)
             todo += [(left, x[below], wanted // 2), (right, x[~below], wanted - wanted // 2)]
-        return cls(nodes)
+        return cls(*(np.array(c) for c in zip(*nodes)))
 
     @staticmethod
     def _split(x: np.ndarray) -> tuple[int, float]:
@@ -168,16 +168,19 @@ def nearest(queries: DataFrame, points: DataFrame, cells: Cells, k: int, exclude
     ``queries`` have distinct ``qid``; ``points`` have distinct ``pid`` and a ``weight``, the number
     of rows a point stands for. With ``exclude_self`` a query does not count itself once.
     """
-    shared = points.sparkSession.sparkContext.broadcast(cells)  # a few numbers per cell
+    # a few numbers per cell
+    shared = points.sparkSession.sparkContext.broadcast((cells.feature, cells.threshold, cells.left, cells.right))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Cells(*shared.value)
         for batch in batches:
-            yield batch.assign(cell=shared.value.home(batch[FEATURES].to_numpy()))
+            yield batch.assign(cell=tree.home(batch[FEATURES].to_numpy()))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Cells(*shared.value)
         for batch in batches:
             x = batch[FEATURES].to_numpy()
-            row, cell = shared.value.within(x, batch["radius"].to_numpy())
+            row, cell = tree.within(x, batch["radius"].to_numpy())
             out = batch.iloc[row].assign(cell=cell)
             yield out[out["cell"].to_numpy() != batch["home"].to_numpy()[row]].drop(columns="home")
 

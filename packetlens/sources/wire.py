@@ -6,8 +6,6 @@ the classpath; otherwise an Arrow UDF with the ``protobuf`` Python package does.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,7 +70,6 @@ def _add_field(message, message_name: str, field: str, kind: str, number: int) -
         added.type_name = f".{PACKAGE}.{kind}"
 
 
-@lru_cache
 def message_class(name: str):
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
@@ -103,9 +100,9 @@ def _row_of(name: str, m) -> dict:
     return {**row, "interfaces": list(m.interfaces.items())}
 
 
-def _message_of(name: str, row: dict):
-    m = message_class(name)()
-    if name == "PacketBatch":
+def _message_of(cls, row: dict):
+    m = cls()
+    if "events" in row:
         for e in row["events"] or []:
             m.events.add(**{k: v % 2**64 if k == "timestamp_ns" else v for k, v in e.items() if v is not None})
     else:
@@ -137,8 +134,9 @@ def _python_decoder(name: str, schema: T.StructType):
 def _python_encoder(name: str):
     @F.arrow_udf(returnType=T.BinaryType())
     def encode(rows: pa.Array) -> pa.Array:
+        cls = message_class(name)
         return pa.array(
-            [None if r is None else _message_of(name, r).SerializeToString(deterministic=True) for r in rows.to_pylist()],
+            [None if r is None else _message_of(cls, r).SerializeToString(deterministic=True) for r in rows.to_pylist()],
             pa.binary())
 
     return encode
