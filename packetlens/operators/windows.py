@@ -10,9 +10,11 @@ How a profile is put together, so that no group grows with the traffic of a host
   slice of time, however many packets it sends.
 * *arrivals*: distinct (host, address or port, pane) cells, each with the pane its value was last
   seen in. A value counts in a window exactly if that earlier pane lies before the window, so the
-  distinct counts of all overlapping windows are plain sums and no set is ever built.
+  distinct counts of all overlapping windows are plain sums and no set is ever built. Values that
+  are new to no window drop out at once; the rest are counted per pane.
 
-Segments and arrivals meet in one ``groupBy`` per host and window, which combines map-side.
+Segments and arrivals, a few rows per host and pane by now, meet in one ``groupBy`` per host and
+window.
 """
 
 from __future__ import annotations
@@ -27,6 +29,23 @@ ALL_KINDS = ("tumbling", "sliding", "session")
 MICROS = 1_000_000
 
 
+# A sum of squares is carried as two 64-bit sums: value = high * 2**30 + low. It is exact for windows
+# of up to two years and needs no wide decimals while rows are added up.
+_LIMB = 30
+_MASK = 2**_LIMB - 1
+
+
+def limbs(square: Column) -> tuple[Column, Column]:
+    return F.shiftright(square, _LIMB), square.bitwiseAND(F.lit(_MASK))
+
+
+def squared_limbs(x: Column) -> tuple[Column, Column]:
+    """``x * x`` for values whose square does not fit 64 bits."""
+    a, b = limbs(x)
+    high, low = limbs(b * b)
+    return a * a * F.lit(2**_LIMB) + a * b * 2 + high, low
+
+
 def _floor_to(us: Column, size_us: int) -> Column:
     return us - F.pmod(us, F.lit(size_us))
 
@@ -35,15 +54,12 @@ def _ceil_to(us: Column, size_us: int) -> Column:
     return us + F.pmod(-us, F.lit(size_us))
 
 
-def _sliding_starts(pane: Column, pane_us: int, size_us: int, step_us: int, after: Column | None = None) -> Column:
-    """Starts of the sliding windows (none before the epoch) that cover a pane.
-
-    With ``after``, only windows that start later than that time.
-    """
+def _sliding_starts(pane: Column, pane_us: int, size_us: int, step_us: int, newest: Column | None = None) -> Column:
+    """Starts of the sliding windows (none before the epoch) that cover a pane; only the ``newest`` of them if given."""
     first = F.greatest(_ceil_to(pane - F.lit(size_us - pane_us), step_us), F.lit(0))
-    if after is not None:
-        first = F.greatest(first, _floor_to(after, step_us) + F.lit(step_us))
     last = _floor_to(pane, step_us)
+    if newest is not None:
+        first = F.greatest(first, last - (newest - 1) * F.lit(step_us))
     return F.when(first <= last, F.sequence(first, last, F.lit(step_us)))
 
 
@@ -127,24 +143,36 @@ def cells(packets: DataFrame, pane_sec: int) -> DataFrame:
 
 
 def _arrivals(packets: DataFrame, s: WindowSettings, kinds: tuple[str, ...]) -> DataFrame:
-    """(host, window, is_port) rows, one for each value that is new to the window."""
-    pane_sec = s.pane_sec(kinds)
-    pane_us, timeout_us = pane_sec * MICROS, s.session_timeout_sec * MICROS
-    found = cells(packets, pane_sec)
+    """(host, window) rows with the number of addresses and ports that a pane adds to the window."""
+    pane_us, timeout_us = s.pane_sec(kinds) * MICROS, s.session_timeout_sec * MICROS
+    size_us, step_us = s.sliding_sec * MICROS, s.sliding_step_sec * MICROS
+    found = cells(packets, s.pane_sec(kinds))
     pane, seen, parts = F.col("pane_us"), F.col("seen_us"), []
+    counts = [F.count_if(~F.col("is_port")).alias("new_ips"), F.count_if(F.col("is_port")).alias("new_ports")]
 
-    fixed = []
-    if "tumbling" in kinds:
-        start = _floor_to(pane, s.tumbling_sec * MICROS)
-        new = seen.isNull() | (seen < start)
-        fixed.append(F.when(new, F.array(F.struct(F.lit("tumbling").alias("window_type"), start.alias("start_us")))))
+    # A value is new to the tumbling window if it was last seen before its start, and to the newest
+    # ``fresh`` of the sliding windows, those that start later than the pane it was last seen in.
+    most = -(-size_us // step_us)
+    in_tumbling = seen.isNull() | (seen < _floor_to(pane, s.tumbling_sec * MICROS)) if "tumbling" in kinds else F.lit(False)
+    fresh = F.lit(0)
     if "sliding" in kinds:
-        starts = _sliding_starts(pane, pane_us, s.sliding_sec * MICROS, s.sliding_step_sec * MICROS, after=seen)
-        fixed.append(F.transform(starts, lambda x: F.struct(F.lit("sliding").alias("window_type"), x.alias("start_us"))))
-    if fixed:
+        passed = (_floor_to(pane, step_us) - _floor_to(seen, step_us)) / F.lit(step_us)
+        fresh = F.coalesce(F.least(passed.cast("int"), F.lit(most)), F.lit(most))
+    if "tumbling" in kinds or "sliding" in kinds:
+        new = found.select("host_id", "is_port", "pane_us", in_tumbling.alias("in_tumbling"), fresh.alias("fresh"))
+        new = new.where(F.col("in_tumbling") | (F.col("fresh") > 0))
+        # few rows per pane are left, so they can be put with the other rows of their host
+        new = new.groupBy("host_id", "pane_us", "in_tumbling", "fresh").agg(*counts).repartition("host_id")
+        starts = _sliding_starts(pane, pane_us, size_us, step_us, newest=F.col("fresh"))
         none = F.array().cast("array<struct<window_type:string,start_us:bigint>>")
-        parts.append(found.select(
-            "host_id", "is_port", F.inline(F.concat(*[F.coalesce(a, none) for a in fixed]))))
+
+        def entry(kind: str, start: Column) -> Column:
+            return F.struct(F.lit(kind).alias("window_type"), start.alias("start_us"))
+
+        of_pane = F.concat(
+            F.when(F.col("in_tumbling"), F.array(entry("tumbling", _floor_to(pane, s.tumbling_sec * MICROS)))).otherwise(none),
+            F.when(F.col("fresh") > 0, F.coalesce(F.transform(starts, lambda x: entry("sliding", x)), none)).otherwise(none))
+        parts.append(new.select("host_id", "new_ips", "new_ports", F.inline(of_pane)))
     if "session" in kinds:
         # Both panes lie in one session if all time between their far ends is within the timeout,
         # so only values that were away for longer have to be matched with the sessions.
@@ -156,33 +184,38 @@ def _arrivals(packets: DataFrame, s: WindowSettings, kinds: tuple[str, ...]) ->
         # every cell has its session; a left join infers no extra filter, so the exchange of the
         # cells is the same in both branches and is run once
         matched = away.join(sessions, ["host_id", "pane_us"], "left")
-        new = seen.isNull() | (seen < _floor_to(F.col("session_us"), pane_us))
-        parts.append(matched.where(new).select(
-            "host_id", "is_port", F.lit("session").alias("window_type"), F.col("session_us").alias("start_us")))
+        new = matched.where(seen.isNull() | (seen < _floor_to(F.col("session_us"), pane_us)))
+        parts.append(new.groupBy("host_id", F.col("session_us").alias("start_us")).agg(*counts).withColumn(
+            "window_type", F.lit("session")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def interval_stats(packets: Column, first_us: Column, last_us: Column, gap_sq: Column) -> tuple[Column, Column]:
+def interval_stats(packets: Column, first_us: Column, last_us: Column, gap_high: Column, gap_low: Column) -> tuple[Column, Column]:
     """Mean and population standard deviation, in seconds, of the gaps between consecutive packets.
 
-    The gaps add up to last - first, so only their squares have to be carried. Sums are exact
-    (decimal); the division and the root come last.
+    The gaps add up to last - first, so only their squares have to be carried. With q the whole part
+    and r the remainder of the mean, the squared distances from q add up to squares - q * (sum + r),
+    which is taken in whole numbers; wide decimals serve only sums beyond 64 bits.
     """
-    n, span = packets - 1, last_us - first_us
-    exact_span = span.cast("decimal(19,0)")
-    spread = gap_sq.cast("decimal(38,0)") - exact_span * exact_span / n.cast("decimal(19,0)")
-    variance = F.greatest(spread.cast("double"), F.lit(0.0)) / n
-    mean = F.when(n > 0, span / n / MICROS).otherwise(0.0)
-    return mean, F.when(n > 0, F.sqrt(variance) / MICROS).otherwise(0.0)
+    n, span = F.nullif(packets - 1, F.lit(0)), last_us - first_us
+    whole = F.call_function("div", span, n)
+    rest = span - whole * n
+    small = gap_high * F.lit(2**_LIMB) + gap_low - whole * (span + rest)
+    large = (gap_high.cast("decimal(20,0)") * F.lit(2**_LIMB).cast("decimal(11,0)") + gap_low
+             - whole.cast("decimal(19,0)") * (span + rest).cast("decimal(19,0)"))
+    around = F.when(gap_high < 2**32, small.cast("double")).otherwise(large.cast("double"))
+    variance = F.greatest(around / n - (rest / n) * (rest / n), F.lit(0.0))
+    zero = F.lit(0.0)
+    return F.coalesce(span / n / MICROS, zero), F.coalesce(F.sqrt(variance) / MICROS, zero)
 
 
 def profile_columns(min_duration_sec: float) -> list[Column]:
     """The profile columns from the merged window columns (``start_us``, ``end_us``, counts, gaps)."""
     duration = F.greatest((F.col("end_us") - F.col("start_us")) / MICROS, F.lit(float(min_duration_sec)))
-    mean, std = interval_stats(F.col("packets"), F.col("first_us"), F.col("last_us"), F.col("gap_sq"))
+    mean, std = interval_stats(F.col("packets"), F.col("first_us"), F.col("last_us"), F.col("gap_high"), F.col("gap_low"))
     return [
         F.col("host_id"),
         F.timestamp_micros("start_us").alias("window_start"),
@@ -207,30 +240,23 @@ def end_of(s: WindowSettings) -> Column:
 
 def profiles(packets: DataFrame, settings: WindowSettings = WindowSettings(), kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """Profiles of the windows named in ``kinds`` over a bounded table of packets."""
-    s, zero = settings, F.lit(0).cast("long")
-    bridge = (F.col("first_us") - F.col("prev_us")).cast("decimal(19,0)")
-    shared = _panes(packets, s, kinds).select("*", F.inline(_windows_of(s, kinds)))
-    traffic = shared.select(
+    s, zero, nothing = settings, F.lit(0).cast("long"), F.lit(None).cast("long")
+    inner_high, inner_low = limbs(F.col("gap_sq"))
+    high, low = squared_limbs(F.col("first_us") - F.col("prev_us"))
+    inside = F.col("prev_us") >= F.col("start_us")
+    traffic = _panes(packets, s, kinds).select("*", F.inline(_windows_of(s, kinds))).select(
         "host_id", "window_type", "start_us", "packets", "bytes", "tcp", "udp", "first_us", "last_us",
-        (F.col("gap_sq").cast("decimal(38,0)")
-         + F.when(F.col("prev_us") >= F.col("start_us"), bridge * bridge).otherwise(F.lit(0).cast("decimal(38,0)"))
-         ).cast("decimal(38,0)").alias("gap_sq"),
-        zero.alias("new_ips"), zero.alias("new_ports"),
-    )
-    nothing = F.lit(None).cast("long")
+        (inner_high + F.when(inside, high).otherwise(zero)).alias("gap_high"),
+        (inner_low + F.when(inside, low).otherwise(zero)).alias("gap_low"),
+        zero.alias("new_ips"), zero.alias("new_ports"))
     values = _arrivals(packets, s, kinds).select(
-        "host_id", "window_type", "start_us", zero.alias("packets"), zero.alias("bytes"), zero.alias("tcp"),
-        zero.alias("udp"), nothing.alias("first_us"), nothing.alias("last_us"),
-        F.lit(0).cast("decimal(38,0)").alias("gap_sq"),
-        (~F.col("is_port")).cast("long").alias("new_ips"), F.col("is_port").cast("long").alias("new_ports"),
-    )
+        "host_id", "window_type", "start_us", *[zero.alias(c) for c in ("packets", "bytes", "tcp", "udp")],
+        nothing.alias("first_us"), nothing.alias("last_us"), zero.alias("gap_high"), zero.alias("gap_low"),
+        "new_ips", "new_ports")
     merged = traffic.unionByName(values).groupBy("host_id", "window_type", "start_us").agg(
-        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"),
-        F.sum("tcp").alias("tcp"), F.sum("udp").alias("udp"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-        F.sum("gap_sq").alias("gap_sq"),
         F.sum("new_ips").alias("uniq_dst_ip"), F.sum("new_ports").alias("uniq_dst_port"),
-    )
+        *[F.sum(c).alias(c) for c in ("packets", "bytes", "tcp", "udp", "gap_high", "gap_low")])
     return merged.withColumn("end_us", end_of(s)).select(*profile_columns(s.min_duration_sec))
 
 

@@ -25,7 +25,7 @@ from .windows import PORT, SLICE, closed_windows, stream_cells
 
 PARTIALS = (
     "host_id string, start_us long, last_us long, packets long, bytes long, tcp long, udp long, "
-    "gap_sq string, new_ips long, new_ports long")
+    "gap_high long, gap_low long, new_ips long, new_ports long")
 _OPEN = "start_us long, last_us long, packets long, bytes long, tcp long, udp long, gap_sq string, new_ips long, new_ports long"
 
 
@@ -104,7 +104,8 @@ class SessionShare(StatefulProcessor):
     def _finish(self, host: str, share: int, session: list) -> tuple:
         self.seen.clear()
         # the slices are followed by every share but reported by one
-        own = session[2:7] if share == 0 else [0, 0, 0, 0, "0"]
+        squares = int(session[6])
+        own = [*session[2:6], squares >> 30, squares % 2**30] if share == 0 else [0] * 6
         return (host, session[0], session[1], *own, *session[7:9])
 
     @staticmethod
@@ -124,7 +125,7 @@ def session_shares(packets: DataFrame, settings: WindowSettings = WindowSettings
     return partials.select(
         "host_id", F.lit("session").alias("window_type"), "start_us", F.col("last_us").alias("end_us"),
         F.col("start_us").alias("first_us"), "last_us", "packets", "bytes", "tcp", "udp",
-        F.col("gap_sq").cast("decimal(38,0)").alias("gap_sq"), F.col("new_ips").alias("uniq_dst_ip"),
+        "gap_high", "gap_low", F.col("new_ips").alias("uniq_dst_ip"),
         F.col("new_ports").alias("uniq_dst_port"))
 
 
@@ -136,7 +137,7 @@ def closed_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(
 
 def merge_shares(rows: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
     """Profiles from the closed windows of a batch, or of a whole table of them."""
-    counts = ["packets", "bytes", "tcp", "udp", "gap_sq", "uniq_dst_ip", "uniq_dst_port"]
+    counts = ["packets", "bytes", "tcp", "udp", "gap_high", "gap_low", "uniq_dst_ip", "uniq_dst_port"]
     return rows.groupBy("host_id", "window_type", "start_us", "end_us").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
         *[F.sum(c).alias(c) for c in counts]).select(*profile_columns(settings.min_duration_sec))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import MICROS, profile_columns
+from ..operators.windows import MICROS, limbs, profile_columns, squared_limbs
 from ..settings import WindowSettings
 
 SLICE, ADDRESS, PORT = 0, 1, 2
@@ -50,15 +50,18 @@ def stream_cells(packets: DataFrame, pane_sec: int, slice_sec: int, watermark_se
 
 
 def _merged_gaps(parts: Column) -> Column:
-    """Squared gaps inside and between the slices of a window."""
-    zero = F.struct(F.lit(0).cast("decimal(38,0)").alias("total"), F.lit(None).cast("long").alias("last_us"))
+    """Squared gaps inside and between the slices of a window, as (gap_high, gap_low)."""
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("gap_high"), none.alias("gap_low"), F.lit(None).cast("long").alias("last_us"))
 
     def add(acc: Column, part: Column) -> Column:
-        between = F.coalesce(part["first_us"] - acc["last_us"], F.lit(0)).cast("decimal(19,0)")
-        total = acc["total"] + part["gap_sq"].cast("decimal(38,0)") + between * between
-        return F.struct(total.cast("decimal(38,0)").alias("total"), part["last_us"].alias("last_us"))
+        high, low = limbs(part["gap_sq"])
+        between_high, between_low = squared_limbs(F.coalesce(part["first_us"] - acc["last_us"], none))
+        return F.struct(
+            (acc["gap_high"] + high + between_high).alias("gap_high"), (acc["gap_low"] + low + between_low).alias("gap_low"),
+            part["last_us"].alias("last_us"))
 
-    return F.aggregate(F.array_sort(parts), zero, add)["total"]
+    return F.aggregate(F.array_sort(parts), start, add)
 
 
 def closed_windows(packets: DataFrame, kind: str, settings: WindowSettings = WindowSettings()) -> DataFrame:
@@ -82,10 +85,10 @@ def closed_windows(packets: DataFrame, kind: str, settings: WindowSettings = Win
         F.count_if(F.col("kind") == ADDRESS).alias("uniq_dst_ip"),
         F.count_if(F.col("kind") == PORT).alias("uniq_dst_port"),
         F.collect_list(F.when(F.col("kind") == SLICE, part)).alias("parts"))
-    closed = merged.select(
+    closed = merged.withColumn("gaps", _merged_gaps(F.col("parts"))).select(
         "host_id", F.lit(kind).alias("window_type"), F.unix_micros(F.col("win.start")).alias("start_us"),
         F.unix_micros(F.col("win.end")).alias("end_us"), "first_us", "last_us", "packets", "bytes", "tcp", "udp",
-        _merged_gaps(F.col("parts")).alias("gap_sq"), "uniq_dst_ip", "uniq_dst_port")
+        "gaps.gap_high", "gaps.gap_low", "uniq_dst_ip", "uniq_dst_port")
     return closed.where(F.col("start_us") >= 0) if kind == "sliding" else closed
 
 
