@@ -311,6 +311,14 @@ def _trained(core: str, **params) -> Query:
     return run
 
 
+def kmeans_given_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance scoring with the mean profile of each window type as the centres."""
+    profiles = _profile_rows(spark, sf)
+    means = profiles.groupBy("window_type").agg(*[F.avg(f).alias(f) for f in schemas.FEATURES])
+    scorer = registry.detector("kmeans").with_centres(profiles, [list(r[1:]) for r in means.collect()])
+    return alert_rows(scorer.score(profiles))
+
+
 def all_alerts(spark: SparkSession, sf: str) -> DataFrame:
     detectors = [registry.detector("rule", thresholds=THRESHOLDS), registry.detector("zscore"), registry.detector("isoforest")]
     return alert_rows(registry.score_all(_profile_rows(spark, sf), detectors))
@@ -358,6 +366,7 @@ QUERIES: dict[str, Query] = {
     "tables_loaded": tables_loaded,
     "all_alerts": all_alerts,
     "second_pass_zscore": second_pass_zscore,
+    "kmeans_given_centres": kmeans_given_centres,
     "kmeans_alerts": _trained("kmeans"),
     "isoforest_alerts": _trained("isoforest"),
     "lof_alerts": _trained("lof"),

@@ -28,8 +28,13 @@ class KMeansDistance(Detector):
             centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
         else:
             centres = [[float(x) for x in rows.select(*FEATURES).first()]]
+        self.with_centres(rows, centres)
+
+    def with_centres(self, rows: DataFrame, centres: list[list[float]]) -> KMeansDistance:
+        """Use given centres; the threshold is the percentile of the distances of ``rows``."""
         self.model = {"centres": centres, "threshold": 0.0}
         self.model["threshold"] = self._quantile(self._scored(rows), "kmeans_distance", self.percentile / 100)
+        return self
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
         def squared(centre: list[float]) -> Column:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import workspace
 from ..schemas import FEATURES
 
 BLOCK = 20_000  # rows of either side that meet in one group
@@ -201,7 +202,7 @@ def nearest(queries: DataFrame, points: DataFrame, cells: Cells, k: int, exclude
 
     at_home = queries.select("qid", *FEATURES).mapInPandas(locate, f"qid string, {POINT}, cell long").withColumn(
         "radius", F.lit(float("inf")))
-    first = _nearest_k(look(at_home), k)
+    first = workspace.written(_nearest_k(look(at_home), k), "nearest_at_home")  # read twice below
     bound = first.groupBy("qid").agg(F.sum("weight").alias("n"), F.max("distance").alias("bound"))
     ranged = at_home.drop("radius").join(bound, "qid", "left").select(
         "qid", *FEATURES, F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("radius"),

@@ -212,6 +212,23 @@ select arrival, event_id, top - 3600000000 as watermark_us, us < top - 360000000
 from (select *, greatest(coalesce(max(us) over (order by arrival rows between unbounded preceding and 1 preceding), 0), 0) as top
       from (select *, event_id - event_id % 1000 + (event_id * 37) % 1000 as arrival from packets))"""
 
+_FEATURES = [
+    "packets", "bytes", "pps", "bps", "uniq_dst_ip", "uniq_dst_port",
+    "proto_tcp", "proto_udp", "proto_other", "conn_interval_avg", "conn_interval_std",
+]
+
+KMEANS = f"""
+centres as (select window_type, {", ".join(f"avg({f}) as {f}" for f in _FEATURES)} from profiles group by window_type),
+distances as (
+  select p.host_id, p.window_type, p.window_start_us, p.window_end_us,
+         min(sqrt({" + ".join(f"(p.{f} - c.{f}) * (p.{f} - c.{f})" for f in _FEATURES)})) as distance
+  from profiles p cross join centres c group by all),
+kmeans_alerts as (
+  select host_id, window_type, window_start_us, window_end_us, 'ml:kmeans' as detector, 'anomaly' as category,
+         case when risk > 0.6 then 3 else 2 end as severity, round(risk, 4) as risk_score, 'v1' as model_version
+  from (select *, least(1.0, distance / (2 * limit_)) as risk
+        from distances, (select quantile_cont(distance, 0.99) as limit_ from distances) where distance > limit_))"""
+
 _ALL = (PACKETS, MEMBERS, PROFILES)
 
 # windows that a stream over all packets has closed: a session when the last closed slice of 600
@@ -288,6 +305,7 @@ from ({alerts_out("rule_alerts")})"""),
     "all_alerts": sql(
         *_ALL, RULES, ZSCORE,
         f'{alerts_out("rule_alerts")} union all {alerts_out("zscore_alerts")}', recursive=True),
+    "kmeans_given_centres": sql(*_ALL, KMEANS, alerts_out("kmeans_alerts")),
     "second_pass_zscore": sql(
         *_ALL, "history as (select * from profiles where window_start_us >= (1705752000 - 240 * 3600)::bigint * 1000000)",
         zscore("history"), alerts_out("zscore_alerts"), recursive=True),

@@ -23,6 +23,8 @@ class WindowSettings:
     ``slice_sec`` bounds how much of one host's traffic is sorted together: packets are ordered
     within (host, slice) only, so a host that holds a third of all rows is spread over as many
     groups as it has slices. It never changes a result.
+    ``state_slice_sec`` does the same for streams, where the times of one host and slice are one
+    row of state until the slice is over.
     """
 
     tumbling_sec: int = 60
@@ -31,10 +33,12 @@ class WindowSettings:
     session_timeout_sec: int = 120
     watermark_sec: int = 30
     slice_sec: int = 10
+    state_slice_sec: int = 1
     min_duration_sec: float = 1e-6
 
     def __post_init__(self) -> None:
-        sizes = (self.tumbling_sec, self.sliding_sec, self.sliding_step_sec, self.session_timeout_sec, self.slice_sec)
+        sizes = (self.tumbling_sec, self.sliding_sec, self.sliding_step_sec, self.session_timeout_sec, self.slice_sec,
+                 self.state_slice_sec)
         if any(int(s) != s or s < 1 for s in sizes):
             raise ValueError(f"window sizes are whole seconds above zero, got {sizes}")
 
@@ -57,6 +61,9 @@ class WindowSettings:
     def order_slice_sec(self, kinds: tuple[str, ...]) -> int:
         return largest_divisor(self.pane_sec(kinds), self.slice_sec)
 
+    def stream_slice_sec(self, pane_sec: int) -> int:
+        return largest_divisor(pane_sec, self.state_slice_sec)
+
 
 @dataclass(frozen=True)
 class Thresholds:

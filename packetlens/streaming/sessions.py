@@ -5,9 +5,9 @@ per (host, share) then chains the slices of the host into sessions. Every share
 which are few, but only its part of the addresses and ports, whose set is kept on disk in the state
 store. So all shares close a session in the same batch, and ``merge_shares`` adds up their counts.
 
-Packets reach the processor when their slice is over, so a session is closed once the last slice
-that the watermark has passed lies more than the timeout after it: at most one slice later than the
-watermark alone would allow.
+Packets reach the processor when their pane is over, so a session is closed once the start of the
+first pane still open lies more than the timeout after it: at most one pane (``slice_sec``) later
+than the watermark alone would allow.
 """
 
 from __future__ import annotations
@@ -115,12 +115,12 @@ class SessionShare(StatefulProcessor):
 
 def session_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(), shares: int = 16) -> DataFrame:
     """Closed sessions of a stream, in ``shares`` rows each."""
-    slice_sec = settings.order_slice_sec(("session",))
-    cells = stream_cells(packets, slice_sec, slice_sec, settings.watermark_sec)
+    pane_sec = settings.order_slice_sec(("session",))
+    cells = stream_cells(packets, pane_sec, settings.stream_slice_sec(pane_sec), settings.watermark_sec)
     mine = F.when(F.col("kind") == SLICE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("kind", "value"), F.lit(shares)).cast("int")))
     spread = cells.select("*", F.unix_micros("pane.start").alias("pane_us"), F.explode(mine).alias("share"))
-    processor = SessionShare(settings.session_timeout_sec * MICROS, slice_sec * MICROS)
+    processor = SessionShare(settings.session_timeout_sec * MICROS, pane_sec * MICROS)
     partials = spread.groupBy("host_id", "share").transformWithStateInPandas(processor, PARTIALS, "Append", "EventTime")
     return partials.select(
         "host_id", F.lit("session").alias("window_type"), "start_us", F.col("last_us").alias("end_us"),

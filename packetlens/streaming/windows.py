@@ -69,9 +69,9 @@ def closed_windows(packets: DataFrame, kind: str, settings: WindowSettings = Win
     s = settings
     size, step = (s.tumbling_sec, s.tumbling_sec) if kind == "tumbling" else (s.sliding_sec, s.sliding_step_sec)
     pane = s.pane_sec((kind,))
-    cells = stream_cells(packets, pane, s.order_slice_sec((kind,)), s.watermark_sec)
+    cells = stream_cells(packets, pane, s.stream_slice_sec(pane), s.watermark_sec)
     numbers = ["packets", "bytes", "tcp", "udp", "first_us", "last_us", "gap_sq"]
-    if pane == size:
+    if pane == size == step:
         windowed = cells.withColumnRenamed("pane", "win")
     else:  # the same address or port may be in several panes of the window
         windowed = cells.withColumn("at", F.window_time("pane")).groupBy(

@@ -9,7 +9,7 @@ from .settings import Thresholds, WindowSettings
 
 WINDOWS = WindowSettings(
     tumbling_sec=21600, sliding_sec=86400, sliding_step_sec=21600, session_timeout_sec=1800,
-    watermark_sec=3600, slice_sec=600,
+    watermark_sec=3600, slice_sec=600, state_slice_sec=600,
 )
 THRESHOLDS = Thresholds(
     pps=0.0007, bps=100_000_000.0, uniq_dst_port_scan=15, uniq_dst_ip_scan=11,
