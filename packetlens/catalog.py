@@ -245,6 +245,9 @@ def late(spark: SparkSession, sf: str) -> DataFrame:
 def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = load_events(spark, sf).schema
     runs.prepare(spark)
+    if spark.sparkContext.master.startswith("local"):  # one state store per partition and operator
+        partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return packets_from(runs.read_new(spark, sf, schema, "events.parquet"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip01
 from ..schemas import FEATURES
 from .alerts import HIT, graded, hit
-from .detector import Detector
+from .detector import KEY, Detector
 
 
 class KMeansDistance(Detector):
@@ -22,7 +22,10 @@ class KMeansDistance(Detector):
 
     def _fit(self, rows: DataFrame) -> None:
         k = min(self.k, rows.limit(self.k).count())
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows).select("vector")
+        # the first centres are drawn per partition: a fixed layout makes the same seed give the same model
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.repartition(partitions, *KEY).sortWithinPartitions(*KEY)
+        vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(placed).select("vector")
         if k > 1:
             fitted = KMeans(k=k, seed=self.seed, maxIter=300, featuresCol="vector").fit(vectors)
             centres = [[float(x) for x in c] for c in fitted.clusterCenters()]

@@ -119,6 +119,13 @@ def test_forest_is_reproducible(spark, vectors):
     assert a == b
 
 
+def test_kmeans_is_reproducible(spark, vectors):
+    profiles = table(spark, vectors)
+    a, b = (registry.detector("kmeans").fit(p).model for p in (profiles, profiles.repartition(7, "host_id")))
+    assert a["threshold"] == pytest.approx(b["threshold"])
+    assert np.array(a["centres"]) == pytest.approx(np.array(b["centres"]))
+
+
 def test_forest_tree_samples_are_full(spark):
     """With many rows a row belongs to at most one tree, and every tree gets its sample."""
     from packetlens.operators.isoforest import SAMPLE
