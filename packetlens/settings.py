@@ -82,7 +82,7 @@ class Topics:
     """Queue names and the consumer options that go to the Kafka source and sink."""
 
     brokers: str = "127.0.0.1:9092"
-    group_id: str = "traffic-analyzer"
+    group_id: str = "packetlens"
     packets: str = "traffic.packets"
     hosts: str = "traffic.hosts"
     alerts: str = "traffic.alerts"
