@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import bpe, jaccard, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +17,32 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def digest(text) -> Column:
+    """Lowercase hex SHA-256 of a string in UTF-8."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.decode(bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    ids = F.col("token_ids")
+    return coded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), bpe.ids_digest(ids).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.drop_repeats(read(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", digest(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op6_bpe": op6_bpe,
+    "op7_repeats": op7_repeats,
     "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
