@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, substrings
+from . import bpe, decontaminate, jaccard, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def digest(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
     coded = bpe.decode(bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
@@ -40,9 +44,16 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op6_bpe": op6_bpe,
     "op7_repeats": op7_repeats,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
