@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, substrings, toxicity
+from . import bpe, decontaminate, jaccard, lm, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,12 @@ def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", digest(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op8_masked_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return lm.score(docs, lm.fit(docs)).select(
+        "doc_id", "n_words", F.round("log_likelihood", 6).alias("log_likelihood"), F.round("per_word", 9).alias("per_word"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents"))
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op6_bpe": op6_bpe,
     "op7_repeats": op7_repeats,
+    "op8_masked_lm": op8_masked_lm,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
