@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lm, substrings, toxicity
+from ..plans import workspace
+from . import bpe, decontaminate, jaccard, lm, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,14 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    cuts = workspace.written(quality.cutoffs(docs, read(spark, sf, "labels")), "quality_cutoffs")
+    return quality.judge(docs, cuts).select(
+        "row.doc_id", *[f"measures.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
     coded = bpe.decode(bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
@@ -57,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_repeats": op7_repeats,
     "op8_masked_lm": op8_masked_lm,
