@@ -40,30 +40,41 @@ class Repeats:
     chunk_bytes: int = 2 << 20
 
 
-def super_kmers(hashes: np.ndarray, first: np.ndarray, rule: Repeats) -> tuple[np.ndarray, ...]:
-    """(row, first word, end word, minimiser, occurrences of it) of the super-k-mers of some texts."""
+def minimisers(hashes: np.ndarray, first: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Seed hashes at each word, and the least of the window that starts there (0 where no window does)."""
     w, m = rule.window, rule.seed
     seeds = tokens.joined_hashes(hashes, m, seed=m)
     if len(hashes) < w:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-    least = tokens.sliding_min(seeds, w - m + 1)  # of the window that starts at each word
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(least)]
-    whole = np.arange(len(least)) + w <= first[row + 1]
-    starts_row = np.zeros(len(least), bool)
-    starts_row[first[:-1][first[:-1] < len(least)]] = True
+        return seeds, np.zeros(0, np.uint64)
+    least = np.maximum(tokens.sliding_min(seeds, w - m + 1), np.uint64(1))
+    row_end = np.repeat(first[1:], np.diff(first))[:len(least)]
+    least[np.arange(len(least)) + w > row_end] = 0
+    return seeds, least
+
+
+def chosen_seeds(seeds: np.ndarray, least: np.ndarray, rule: Repeats) -> np.ndarray:
+    """Hashes of all places that are the minimiser of a window over them, one for each place.
+
+    Equal windows at two places have two such places with the same hash.
+    """
+    reach = rule.window - rule.seed
+    edge = np.zeros(reach, np.uint64)
+    over = ~tokens.sliding_min(~np.concatenate([edge, least, edge]), reach + 1)  # the largest minimiser of the windows over a place
+    return seeds[(np.maximum(seeds, np.uint64(1)) == over) & (over > 0)]
+
+
+def super_kmers(least: np.ndarray, first: np.ndarray, rule: Repeats) -> tuple[np.ndarray, ...]:
+    """(row, first word, end word, minimiser) of the super-k-mers of some texts."""
+    whole = least > 0
+    starts_row = np.zeros(len(least) + 1, bool)
+    starts_row[first[first <= len(least)]] = True
     new = whole.copy()
-    new[1:] &= (least[1:] != least[:-1]) | starts_row[1:] | ~whole[:-1]
+    new[1:] &= (least[1:] != least[:-1]) | starts_row[1:-1]
     start = np.flatnonzero(new)
-    run_end = np.append(start[1:], len(least))
     sums = np.concatenate([[0], np.cumsum(whole)])
-    end = start + (sums[run_end] - sums[start]) + w - 1
-    value = least[start]
-    # how often the minimiser occurs within the words of the super-k-mer
-    sizes = end - start - m + 1
-    before = np.cumsum(sizes) - sizes
-    at = np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))
-    times = np.add.reduceat((seeds[at] == np.repeat(value, sizes)).astype(np.int64), before) if len(start) else sizes
-    return row[start], start - first[row[start]], end - first[row[start]], value, times
+    end = start + (sums[np.append(start[1:], len(least))] - sums[start]) + rule.window - 1 if len(start) else start
+    row = np.searchsorted(first, start, "right") - 1
+    return row, start - first[row], end - first[row], least[start]
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -71,9 +82,9 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def _each(batch: pa.RecordBatch, rule: Repeats) -> Iterator[tuple]:
-    for a, b, data, offsets in tokens.chunks(batch.column("text"), rule.chunk_bytes):
+    for a, _, data, offsets in tokens.chunks(batch.column("text"), rule.chunk_bytes):
         words = tokens.split_words(data, offsets)
-        yield a, b, words, super_kmers(words.hashes(), words.first, rule)
+        yield a, words.first, *minimisers(words.hashes(), words.first, rule)
 
 
 COUNTS = "minimiser long, times long"
@@ -83,14 +94,11 @@ PLACES = "minimiser long, k1 long, k2 long, start int, stop int"
 def _minimisers(rule: Repeats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, counts = [], []
-            for *_, (_, _, _, value, times) in _each(batch, rule):
-                values.append(value)
-                counts.append(times)
-            name, which = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_inverse=True)
+            found = [chosen_seeds(seeds, least, rule) for _, _, seeds, least in _each(batch, rule)]
+            name, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             if len(name):
-                total = np.bincount(which, np.concatenate(counts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_long(name)), pa.array(total)], ["minimiser", "times"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_long(np.maximum(name, np.uint64(1)))), pa.array(times.astype(np.int64))], ["minimiser", "times"])
     return run
 
 
@@ -98,7 +106,8 @@ def _places(rule: Repeats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            for a, _, _, (row, start, stop, value, _) in _each(batch, rule):
+            for a, first, _, least in _each(batch, rule):
+                row, start, stop, value = super_kmers(least, first, rule)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_long(value)), pa.array(k1[a + row]), pa.array(k2[a + row]),
@@ -107,6 +116,14 @@ def _places(rule: Repeats) -> Callable:
     return run
 
 
+def _texts(batch: pa.RecordBatch, rule: Repeats) -> Iterator[tuple[int, list[bytes]]]:
+    """(row, words); splitting bytes parts them at the same characters."""
+    for a, _, data, offsets in tokens.chunks(batch.column("text"), rule.chunk_bytes):
+        raw = data.tobytes()
+        for k, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            yield a + k, raw[s:e].split()
+
+
 STRINGS = "name long, digest long, packed binary, copies long"
 STRING_PLACES = "name long, digest long, k1 long, k2 long, start int"
 RANGES = "name long, digest long, ranges array<struct<start:int,stop:int>>"
@@ -114,21 +131,18 @@ RANGES = "name long, digest long, ranges array<struct<start:int,stop:int>>"
 
 def _spell(batch: pa.RecordBatch, rule: Repeats) -> Iterator[tuple]:
     """(row, first word, name, digest, packed string) of the chosen super-k-mers, or of their windows where these are hot."""
-    chosen = batch.column("chosen")
-    for a, b, data, offsets in tokens.chunks(batch.column("text"), rule.chunk_bytes):
-        words = tokens.split_words(data, offsets)
-        for row, picks in enumerate(chosen.slice(a, b - a).to_pylist()):
-            spelled = words.text(words.first[row], words.first[row + 1]).split(b" ")
-            for pick in picks:
-                if not pick["hot"]:
-                    text = b" ".join(spelled[pick["start"]:pick["stop"]])
-                    digest = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                    yield a + row, pick["start"], pick["minimiser"], digest, text
-                    continue
-                for start in range(pick["start"], pick["stop"] - rule.window + 1):
-                    text = b" ".join(spelled[start:start + rule.window])
-                    both = hashlib.blake2b(text, digest_size=16).digest()
-                    yield a + row, start, *(int.from_bytes(x, "little", signed=True) for x in (both[:8], both[8:])), text
+    chosen = batch.column("chosen").to_pylist()
+    for row, spelled in _texts(batch, rule):
+        for pick in chosen[row]:
+            if not pick["hot"]:
+                text = b" ".join(spelled[pick["start"]:pick["stop"]])
+                digest = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+                yield row, pick["start"], pick["minimiser"], digest, text
+                continue
+            for start in range(pick["start"], pick["stop"] - rule.window + 1):
+                text = b" ".join(spelled[start:start + rule.window])
+                both = hashlib.blake2b(text, digest_size=16).digest()
+                yield row, start, *(int.from_bytes(x, "little", signed=True) for x in (both[:8], both[8:])), text
 
 
 def _strings(rule: Repeats) -> Callable:
@@ -193,9 +207,19 @@ def repeated_ranges(packed: list[bytes], copies: list[int], window: int) -> list
 
 def _count(rule: Repeats) -> Callable:
     """From rows sorted by name and digest: ranges of the strings that hold repeated windows."""
-    def solve(name: int, rows: list[list]) -> list[tuple]:
-        ranges = repeated_ranges([r[1] for r in rows], [r[2] for r in rows], rule.window)
-        return [(name, r[0], [{"start": s, "stop": e} for s, e in x]) for r, x in zip(rows, ranges, strict=True) if x]
+    def solve(rows: list[list]) -> list[tuple]:
+        """Of whole buckets; equal windows are always in one bucket, so many are ranked together."""
+        out, hard = [], []
+        for k, (name, digest, text, copies) in enumerate(rows):
+            alone = (k == 0 or rows[k - 1][0] != name) and (k + 1 == len(rows) or rows[k + 1][0] != name)
+            if alone and copies > 1:  # every window occurs as often as the string
+                out.append((name, digest, [{"start": 0, "stop": text.count(b" ") + 1}]))
+            else:
+                hard.append(rows[k])
+        if hard:
+            ranges = repeated_ranges([r[2] for r in hard], [r[3] for r in hard], rule.window)
+            out += [(r[0], r[1], [{"start": s, "stop": e} for s, e in x]) for r, x in zip(hard, ranges, strict=True) if x]
+        return out
 
     def ready(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
@@ -203,48 +227,39 @@ def _count(rule: Repeats) -> Callable:
             [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["name", "digest", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        rows: list[list] = []
         for batch in batches:
             for name, digest, text, copies in zip(*(batch.column(c).to_pylist() for c in ("name", "digest", "packed", "copies")), strict=True):
-                if name != now:
-                    out += solve(now, rows) if rows else []
-                    now, rows = name, []
-                if rows and rows[-1][0] == digest and rows[-1][1] == text:
-                    rows[-1][2] += copies
-                else:
-                    rows.append([digest, text, copies])
-            if out:
-                yield ready(out)
-                out = []
-        out += solve(now, rows) if rows else []
-        if out:
+                if rows and rows[-1][0] == name and rows[-1][1] == digest and rows[-1][2] == text:
+                    rows[-1][3] += copies
+                    continue
+                if len(rows) >= 2_000 and rows[-1][0] != name:
+                    if out := solve(rows):
+                        yield ready(out)
+                    rows = []
+                rows.append([name, digest, text, copies])
+        if out := solve(rows):
             yield ready(out)
     return run
 
 
-def _keep(names: list[str]) -> Callable:
+def _keep(rule: Repeats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges = batch.column("ranges")
-            for a, b, data, offsets in tokens.chunks(batch.column("text")):
-                words = tokens.split_words(data, offsets)
-                total, removed, kept = [], [], []
-                for row, found in enumerate(ranges.slice(a, b - a).to_pylist()):
-                    lo, hi = int(words.first[row]), int(words.first[row + 1])
-                    total.append(hi - lo)
-                    out, at, gone = [], lo, 0
-                    for r in sorted((r["start"], r["stop"]) for r in found or ()):
-                        s, e = max(at, lo + r[0]), lo + r[1]
-                        if e > s:
-                            out.append(words.text(at, s))
-                            gone += e - s
-                            at = e
-                    out.append(words.text(at, hi))
-                    removed.append(gone)
-                    kept.append(b" ".join(x for x in out if x).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).slice(a, b - a) for n in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                    [*names, "n_words", "n_removed", "kept_text"])
+            ranges = batch.column("ranges").to_pylist()
+            total, removed, kept = [], [], []
+            for row, spelled in _texts(batch, rule):
+                out, at = [], 0
+                for s, e in sorted((r["start"], r["stop"]) for r in ranges[row] or ()):
+                    out += spelled[at:s] if s > at else []
+                    at = max(at, e)
+                out = out + spelled[at:] if at else spelled
+                total.append(len(spelled))
+                removed.append(len(spelled) - len(out))
+                kept.append(b" ".join(out).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_text"])
     return run
 
 
@@ -266,7 +281,8 @@ def drop_repeats(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
         .select("minimiser", (F.col("n") > rule.hot).alias("hot")))
     places = docs.select("text", "k1", "k2").mapInArrow(_places(rule), PLACES).join(live, "minimiser")
     chosen = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("minimiser", "start", "stop", "hot")).alias("chosen"))
-    picked = docs.join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "chosen")
+    # all columns of docs are kept, so that Spark sees that the shuffle of the texts is the one needed again below
+    picked = docs.join(chosen, ["k1", "k2"])
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     strings = picked.mapInArrow(_strings(rule), STRINGS)
     ranges = strings.repartition(width, "name").sortWithinPartitions("name", "digest").mapInArrow(_count(rule), RANGES)
@@ -274,5 +290,5 @@ def drop_repeats(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     spots = spots.select("k1", "k2", F.explode(F.transform("ranges", lambda r: F.struct(
         (r["start"] + F.col("start")).alias("start"), (r["stop"] + F.col("start")).alias("stop")))).alias("range"))
     by_text = spots.groupBy("k1", "k2").agg(F.collect_set("range").alias("ranges"))
-    out = docs.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
-    return out.mapInArrow(_keep(["doc_id"]), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = docs.join(by_text, ["k1", "k2"], "left")
+    return out.mapInArrow(_keep(rule), "doc_id long, n_words long, n_removed long, kept_text string")
