@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import workspace
-from . import bpe, decontaminate, jaccard, lm, quality, substrings, toxicity
+from . import bpe, decontaminate, jaccard, lm, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs))
+    counts = [F.size(F.expr(f"filter(spans, x -> x.base and x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("row.doc_id", *counts, digest(pii.named("spans", True)).alias("base_sha256"), pii.named("spans", False).alias("spans"))
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     cuts = workspace.written(quality.cutoffs(docs, read(spark, sf, "labels")), "quality_cutoffs")
@@ -66,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_repeats": op7_repeats,
