@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import workspace
-from . import bpe, decontaminate, jaccard, lm, pii, quality, substrings, toxicity
+from . import bpe, decontaminate, jaccard, lm, pii, quality, resharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op3_resharding(spark: SparkSession, sf: str) -> DataFrame:
+    rule = resharding.Resharding()
+    found = resharding.reshard(read(spark, sf, "documents"), resharding.old_shard(F.col("source"), rule.shards), rule)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     found = pii.spans(docs, pii.fit(docs))
@@ -73,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
+    "op3_resharding": op3_resharding,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
