@@ -28,6 +28,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 # fixed values: characters with the property White_Space outside ASCII and the separator categories
 EXTRA_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85)
+CHUNK_BYTES = 3 << 20  # of text encoded at once; arrays of about 60 times that size are held
 
 
 def byte_characters() -> list[str]:
@@ -164,11 +165,13 @@ class PairIndex:
         while active:
             r = heapq.heappop(active)
             found = lists.pop(r)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            # a pair stands at a place once at most, so no place is listed twice
+            at = np.concatenate(found) if len(found) > 1 else found[0]
             a, b = self.left[r], self.right[r]
             at = at[(symbols[at] == a) & (after[at] >= 0)]
             at = at[symbols[after[at]] == b]
             if a == b and len(at) > 1:  # of overlapping pairs, every second one from the left
+                at = np.sort(at)
                 chained = np.r_[False, after[at[:-1]] == at[1:]]
                 head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
                 at = at[(np.arange(len(at)) - head) % 2 == 0]
@@ -182,8 +185,10 @@ class PairIndex:
             after[gone] = -1
             inner = follow >= 0
             before[follow[inner]] = at[inner]
+            enter(at)
             ahead = before[at]
-            enter(np.unique(np.concatenate([ahead[ahead >= 0], at])))
+            ahead = ahead[ahead >= 0]
+            enter(ahead[symbols[ahead] != self.result[r]])  # the others are in the first list
         alive = symbols >= 0
         return symbols[alive], piece[alive]
 
@@ -269,7 +274,7 @@ def _encode(vocabulary: Vocabulary, names: list[str], text: str, out: str) -> Ca
         encoder = Encoder(vocabulary)
         for batch in batches:
             column = batch.column(text)
-            sizes = tokens.chunks(column, 8 << 20)
+            sizes = tokens.chunks(column, CHUNK_BYTES)
             for a, b, _, _ in sizes:
                 ids = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
                 bounds = np.cumsum([0, *map(len, ids)])
