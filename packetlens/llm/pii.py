@@ -113,7 +113,7 @@ NEAR = {"email": "false", "ip": "true", "card": f"char_length({_digits('x.match'
 
 def _gazetteer(kind: str) -> str:
     first = {
-        "email": f"lower(substring_index(x.match, '.', -1)) in ({', '.join(repr(e) for e in ENDINGS)})",
+        "email": f"regexp_extract(lower(right(x.match, 24)), r'([a-z0-9-]+)$', 1) in ({', '.join(repr(e) for e in ENDINGS)})",
         "ip": r"not x.match rlike r'^0*(?:0|127|22[4-9]|2[3-5][0-9])\.'",
         "card": f"{_digits('x.match')} rlike r'^(?:4|5[1-5]|2[2-7]|3[47]|6[0245])'",
         "phone": r"x.match rlike r'^(?:\+[1-9]|\(?[2-9])'",
