@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only in local mode without a setting."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    """This application's part of the shared folder that the session names; it goes when the application ends.
+
+    Only local mode without a setting takes a temporary folder.
+    """
+    named = spark.conf.get(SETTING, None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="packetlens-")
         spark.conf.set(SETTING, named)
+    own = f"{named.rstrip('/')}/packetlens-{spark.sparkContext.applicationId}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if own not in _own:
+        _own.add(own)
+        atexit.register(remove, spark, own)
+    return own
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store; one that is gone, or out of reach by now, is left alone."""
+    with contextlib.suppress(Exception):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _own.discard(path)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
