@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+import logging
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 from ..functions.quantiles import exact_quantile
 from ..plans import workspace
 from .alerts import alerts_of, no_alerts
 
+logger = logging.getLogger(__name__)
+
 KEY = ["host_id", "window_type", "window_start", "window_end"]
 
 
@@ -77,12 +79,13 @@ class Detector:
         return path
 
     def load(self, spark: SparkSession, root: str) -> Detector:
-        """Read a saved model; a missing one leaves the detector inactive."""
+        """Read a saved model; a missing or unreadable one is logged and leaves the detector inactive."""
         path = f"{root}/{self.name}/{self.model_version}"
         try:
-            self.model = json.loads(spark.read.parquet(f"{path}/model").first()[0])
-        except AnalysisException:
-            self.model = None
-            return self
-        self.tables = {name: spark.read.parquet(f"{path}/{name}") for name in self.model.get("tables", [])}
+            model = json.loads(spark.read.parquet(f"{path}/model").first()[0])
+            self.tables = {name: spark.read.parquet(f"{path}/{name}") for name in model.get("tables", [])}
+            self.model = model
+        except Exception:
+            logger.warning("no usable model of %s under %s", self.name, path, exc_info=True)
+            self.model, self.tables = None, {}
         return self

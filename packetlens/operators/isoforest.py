@@ -58,16 +58,12 @@ class IsoForest(Detector):
         self.n_trees, self.contamination, self.seed = n_trees, contamination, seed
 
     def _samples(self, rows: DataFrame, n: int) -> DataFrame:
-        """About ``SAMPLE * SPARE`` rows for each tree, chosen by a hash of the profile key."""
-        wanted = self.n_trees * SAMPLE * SPARE
-        top = float(2**63)
-        if n > wanted:  # every row is a candidate for one tree
-            draw = F.xxhash64(F.lit(self.seed), *KEY)
-            kept = rows.where(F.abs(draw / top) < wanted / n)
-            return kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(self.seed + 1), *KEY), F.lit(self.n_trees)).cast("int"))
-        trees = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))))
-        draw = F.xxhash64(F.lit(self.seed), "tree", *KEY)
-        return trees.where(F.abs(draw / top) <= SAMPLE * SPARE / n)
+        """About ``SAMPLE * SPARE`` rows for each tree, chosen by a hash of tree and profile key; only hits are exploded."""
+        share = SAMPLE * SPARE / n
+        trees = F.filter(
+            F.sequence(F.lit(0), F.lit(self.n_trees - 1)),
+            lambda tree: F.abs(F.xxhash64(F.lit(self.seed), tree, *KEY) / float(2**63)) <= share)
+        return rows.withColumn("tree", F.explode(trees))
 
     def _fit(self, rows: DataFrame) -> None:
         n, seed = rows.count(), self.seed

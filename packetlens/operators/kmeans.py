@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,32 @@ from .alerts import HIT, graded, hit
 from .detector import KEY, Detector
 
 
+SAMPLE = 4096  # rows that starting centres are drawn from
+STEPS = 300
+TOLERANCE = 1e-4  # of the mean variance: centres that move less are settled
+
+
+def squared(centre: list[float]) -> Column:
+    """Squared distance of a profile to a centre."""
+    terms = [(F.col(f).cast("double") - F.lit(c)) * (F.col(f).cast("double") - F.lit(c)) for f, c in zip(FEATURES, centre)]
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
+    return total
+
+
+def starting_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: rows drawn by their squared distance to the centres so far; fewer if rows run out."""
+    rng = np.random.default_rng(seed)
+    chosen = [x[rng.integers(len(x))]]
+    while len(chosen) < k:
+        away = np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        if away.sum() <= 0:
+            break
+        chosen.append(x[rng.choice(len(x), p=away / away.sum())])
+    return np.array(chosen)
+
+
 class KMeansDistance(Detector):
     name = "kmeans"
 
@@ -21,17 +46,29 @@ class KMeansDistance(Detector):
         self.k, self.percentile, self.seed = k, percentile, seed
 
     def _fit(self, rows: DataFrame) -> None:
-        k = min(self.k, rows.limit(self.k).count())
-        # the first centres are drawn per partition: a fixed layout makes the same seed give the same model
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = rows.repartition(partitions, *KEY).sortWithinPartitions(*KEY)
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(placed).select("vector")
-        if k > 1:
-            fitted = KMeans(k=k, seed=self.seed, maxIter=300, featuresCol="vector").fit(vectors)
-            centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
-        else:
-            centres = [[float(x) for x in rows.select(*FEATURES).first()]]
-        self.with_centres(rows, centres)
+        # k-means++ over the rows with the smallest key hashes, then Lloyd steps over all rows
+        order = F.xxhash64(F.lit(self.seed), *KEY)
+        sample = rows.select(order.alias("order"), *KEY, *FEATURES).orderBy("order", *KEY).limit(SAMPLE)
+        centres = starting_centres(np.array([r[1 + len(KEY):] for r in sample.collect()], dtype=float), self.k, self.seed)
+        spread = rows.agg(*[F.var_pop(f) for f in FEATURES]).first()
+        enough = TOLERANCE * float(np.mean([v or 0.0 for v in spread]))
+        for _ in range(STEPS):
+            moved = self._step(rows, centres)
+            shift = float(((moved - centres) ** 2).sum())
+            centres = moved
+            if shift <= enough:
+                break
+        self.with_centres(rows, centres.tolist())
+
+    def _step(self, rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+        """Means of the rows nearest to each centre; sums are decimal, so their order cannot change them."""
+        away = F.array(*[F.struct(squared(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres.tolist())])
+        near = rows.withColumn("near", F.array_min(away)["i"])
+        sums = near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f).cast("decimal(28,6)")).alias(f) for f in FEATURES])
+        out = centres.copy()  # a centre without rows stays
+        for r in sums.collect():
+            out[r["near"]] = [float(r[f]) / r["n"] for f in FEATURES]
+        return out
 
     def with_centres(self, rows: DataFrame, centres: list[list[float]]) -> KMeansDistance:
         """Use given centres; the threshold is the percentile of the distances of ``rows``."""
@@ -40,13 +77,6 @@ class KMeansDistance(Detector):
         return self
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
-        def squared(centre: list[float]) -> Column:
-            terms = [(F.col(f).cast("double") - F.lit(c)) * (F.col(f).cast("double") - F.lit(c)) for f, c in zip(FEATURES, centre)]
-            total = terms[0]
-            for term in terms[1:]:
-                total = total + term
-            return total
-
         # one row per (profile, centre) would multiply the data; the few centres are literals instead
         nearest = F.array_min(F.array(*[squared(c) for c in self.model["centres"]]))
         return profiles.withColumn("kmeans_distance", F.sqrt(nearest))

@@ -11,7 +11,7 @@ from ..plans import workspace
 from ..schemas import FEATURES
 from .alerts import hit
 from .detector import Detector
-from .neighbours import nearest, plan_cells, vector_id
+from .neighbours import Cells, nearest, plan_cells, vector_id
 
 LIMIT = 1.5  # a factor above this is an outlier
 
@@ -22,7 +22,7 @@ class Lof(Detector):
     name = "lof"
     adds_columns = False
 
-    def __init__(self, k: int = 20, cell_rows: int = 2000, model_version: str = "v1") -> None:
+    def __init__(self, k: int = 20, cell_rows: int = 200, model_version: str = "v1") -> None:
         super().__init__(model_version)
         self.k, self.cell_rows = k, cell_rows
 
@@ -36,6 +36,7 @@ class Lof(Detector):
             self.model = None
             return
         cells = plan_cells(points, self.cell_rows)
+        self.model["cells"] = cells.as_lists()
         found = nearest(points.withColumnRenamed("pid", "qid"), points, cells, k, exclude_self=True)
         found = workspace.written(found, "lof_neighbours")
         reach = found.groupBy("qid").agg(F.max("distance").alias("k_distance"))
@@ -55,7 +56,7 @@ class Lof(Detector):
         doubles = [F.col(f).cast("double") for f in FEATURES]
         keyed = profiles.withColumn("qid", vector_id(*doubles))
         asked = keyed.select("qid", *[d.alias(f) for d, f in zip(doubles, FEATURES)]).dropDuplicates(["qid"])
-        found = workspace.written(nearest(asked, points, plan_cells(points, self.cell_rows), k, exclude_self=False), "lof_found")
+        found = workspace.written(nearest(asked, points, Cells.from_lists(self.model["cells"]), k, exclude_self=False), "lof_found")
         around = found.join(points.select("pid", F.col("density").alias("its_density")), "pid").groupBy("qid").agg(
             (F.sum(F.col("its_density") * F.col("weight")) / F.sum("weight")).alias("around"))
         factors = around.join(self._density(found, points), "qid").select(

@@ -4,8 +4,8 @@ Space is cut into cells of similar size by the median splits of a small sample (
 decides where the cuts lie). A query first looks in its own cell, which bounds the distance of its
 k-th neighbour, and then in exactly those cells that lie within that distance. Cells with many
 points or many queries are cut into blocks, every pair of which is a task group of its own; the
-candidates of a query, at most k per block, are merged in the end. Nothing is capped: a bound that
-cannot be found in one cell is infinite and the query looks everywhere.
+candidates of a query, at most k per block, are merged in the end. Nothing is capped: where a cell has
+too few points for a bound, the k-th nearest of a few anchor points is one.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..schemas import FEATURES
 
 BLOCK = 20_000  # rows of either side that meet in one group
 SAMPLE_ROWS = 100_000
+ANCHORS = 2_000  # points that bound a distance where a cell cannot
 SMALLEST = 8  # sample rows on either side of a cut
 FAIR = 0.25  # share of the rows that makes a cut good enough
 POINT = ", ".join(f"{f} double" for f in FEATURES)
@@ -40,6 +41,13 @@ class Cells:
     def __init__(self, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         self.feature, self.threshold, self.left, self.right = feature, threshold, left, right
 
+    def as_lists(self) -> list[list]:
+        return [c.tolist() for c in (self.feature, self.threshold, self.left, self.right)]
+
+    @classmethod
+    def from_lists(cls, columns: list[list]) -> Cells:
+        return cls(*(np.array(c) for c in columns))
+
     @classmethod
     def cut(cls, sample: np.ndarray, count: int) -> Cells:
         nodes: list[tuple] = [()]
@@ -177,11 +185,19 @@ def nearest(queries: DataFrame, points: DataFrame, cells: Cells, k: int, exclude
         for batch in batches:
             yield batch.assign(cell=tree.home(batch[FEATURES].to_numpy()))
 
+    some = points.select("pid", *FEATURES).orderBy("pid").limit(ANCHORS).toPandas()[FEATURES].to_numpy()
+    anchors = points.sparkSession.sparkContext.broadcast(some)
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = Cells(*shared.value)
         for batch in batches:
-            x = batch[FEATURES].to_numpy()
-            row, cell = tree.within(x, batch["radius"].to_numpy())
+            x, radius = batch[FEATURES].to_numpy(), batch["radius"].to_numpy().copy()
+            short = np.flatnonzero(np.isinf(radius))
+            if len(anchors.value) > k:  # one of them may be the query itself
+                for part in np.array_split(short, len(short) // 1000 + 1):
+                    radius[part] = np.partition(_distances(x[part], anchors.value), k, axis=1)[:, k]
+                batch = batch.assign(radius=radius)
+            row, cell = tree.within(x, radius)
             out = batch.iloc[row].assign(cell=cell)
             yield out[out["cell"].to_numpy() != batch["home"].to_numpy()[row]].drop(columns="home")
 

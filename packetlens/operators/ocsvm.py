@@ -2,7 +2,7 @@
 
 The dual asks for the point nearest the origin among all means of a ``nu`` share of the rows. It is
 found by the Frank-Wolfe method: each step takes the mean of the ``nu`` share that scores lowest and
-moves towards it by exact line search. This approximates the kernel machine; the share of training
+moves towards it by exact line search, until the gap to the optimum is below a share of the value. This approximates the kernel machine; the share of training
 rows below the offset is ``nu``, as there.
 """
 
@@ -25,9 +25,9 @@ from .. import schemas
 class OneClassSvm(Detector):
     name = "ocsvm"
 
-    def __init__(self, nu: float = 0.02, n_features: int = 256, steps: int = 20, seed: int = 42, model_version: str = "v1") -> None:
+    def __init__(self, nu: float = 0.02, n_features: int = 256, steps: int = 200, tolerance: float = 1e-3, seed: int = 42, model_version: str = "v1") -> None:
         super().__init__(model_version)
-        self.nu, self.n_features, self.steps, self.seed = nu, n_features, steps, seed
+        self.nu, self.n_features, self.steps, self.tolerance, self.seed = nu, n_features, steps, tolerance, seed
 
     def _map(self, gamma: float):
         """x -> cosine features whose inner products approximate exp(-gamma * squared distance)."""
@@ -46,7 +46,8 @@ class OneClassSvm(Detector):
         w = summed(rows, self.n_features, lambda x: project(x).sum(axis=0)) / n
         for _ in range(self.steps):
             self.model["w"] = w.tolist()
-            bound = self._score_quantile(rows)
+            # a step needs the lowest share only roughly; the offset below is exact
+            bound = self._with_scores(rows, 0.0).agg(F.percentile_approx("ocsvm_decision", self.nu, 10_000)).first()[0]
 
             def lowest(x: np.ndarray, w=w, bound=bound) -> np.ndarray:
                 z = project(x)
@@ -57,9 +58,11 @@ class OneClassSvm(Detector):
             vertex = total[:-1] / max(total[-1], 1.0)
             step = w - vertex
             length = float(step @ step)
-            share = float(np.clip(w @ step / length, 0.0, 1.0)) if length > 0 else 0.0
-            if share <= 1e-9:
+            gap = float(w @ step)  # how far the optimum can be, at most
+            self.model["gap"] = gap / max(float(w @ w), 1e-300)
+            if length <= 0 or self.model["gap"] <= self.tolerance:
                 break
+            share = float(np.clip(gap / length, 0.0, 1.0))
             w = w - share * step
         self.model["w"] = w.tolist()
         self.model["offset"] = self._score_quantile(rows)

@@ -127,7 +127,7 @@ def test_kmeans_is_reproducible(spark, vectors):
 
 
 def test_forest_tree_samples_are_full(spark):
-    """With many rows a row belongs to at most one tree, and every tree gets its sample."""
+    """Every tree draws for itself, by one rule for any number of rows, and gets its sample."""
     from packetlens.operators.isoforest import SAMPLE
 
     rows = spark.range(12_000).select(
@@ -137,7 +137,11 @@ def test_forest_tree_samples_are_full(spark):
     sampled = forest._samples(rows, 12_000)
     sizes = [r["count"] for r in sampled.groupBy("tree").count().collect()]
     assert len(sizes) == 10 and min(sizes) >= SAMPLE
-    assert sampled.select("host_id").distinct().count() == sampled.count()
+    drawn = sampled.groupBy("host_id").count().groupBy("count").count().collect()
+    shared = sum(r[1] for r in drawn if r[0] > 1)
+    assert 0 < shared < 0.1 * 12_000  # independent draws meet now and then
+    few = forest._samples(rows.limit(100), 100)
+    assert few.count() == 10 * 100  # fewer rows than a sample: all of them, for every tree
 
 
 def test_few_or_no_rows(spark, vectors):
@@ -175,3 +179,51 @@ def test_one_failing_detector_does_not_stop_the_rest(spark):
     assert registry.score_all(noisy, detectors).count() == 1
     assert registry.score_each(noisy, detectors, lambda df: found.extend(df.collect())) == ["failing"]
     assert len(found) == 1
+
+
+def test_kmeans_does_not_depend_on_partitions(spark, vectors):
+    """The same centres and threshold whatever the layout and the session's shuffle partitions."""
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 4, 8, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append(registry.detector("kmeans", k=4).fit(table(spark, vectors).repartition(parts)).model)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(m == found[0] for m in found) and len(found[0]["centres"]) == 4
+
+
+def test_unusable_model_files_leave_a_detector_inactive(spark, vectors):
+    root = workspace.fresh(spark, "models")
+    for i, content in enumerate(["{not json", "[1, 2]", None]):
+        name = registry.detector("kmeans", model_version=f"v{i}")
+        rows = [(content,)] if content else []
+        spark.createDataFrame(rows, "model string").write.parquet(f"{root}/kmeans/v{i}/model")
+        assert not name.load(spark, root).active
+    fitted = registry.detector("kmeans", k=2, model_version="cut").fit(table(spark, vectors))
+    path = fitted.save(spark, root)
+    import glob
+
+    for file in glob.glob(f"{path}/model/*.parquet".removeprefix("file:")):
+        with open(file, "r+b") as f:
+            f.truncate(20)
+    assert not registry.detector("kmeans", model_version="cut").load(spark, root).active
+
+
+def test_svm_reports_its_gap(spark, vectors):
+    model = registry.detector("ocsvm", n_features=16, tolerance=0.05).fit(table(spark, vectors)).model
+    assert 0 <= model["gap"] <= 0.05
+
+
+def test_neighbours_of_lonely_cells(spark, vectors):
+    """Cells with fewer points than k: anchors bound the distance and the result stays exact."""
+    points = table(spark, vectors).select(*schemas.FEATURES).distinct().withColumn("pid", vector_id()).withColumn("weight", F.lit(1).cast("long"))
+    points = workspace.written(points, "points")
+    queries = points.withColumnRenamed("pid", "qid").drop("weight")
+    tiny = Cells.cut(np.array([r[:11] for r in points.select(*schemas.FEATURES).collect()], dtype=float), 30)
+    found = nearest(queries, points, tiny, 40, exclude_self=True).groupBy("qid").agg(F.max("distance").alias("d"), F.sum("weight").alias("n"))
+    x = {r["qid"]: np.array([r[f] for f in schemas.FEATURES]) for r in queries.collect()}
+    everything = np.array(list(x.values()))
+    for r in found.collect():
+        d = np.sort(np.sqrt(((everything - x[r.qid]) ** 2).sum(axis=1)))
+        assert r.n == 40 and r.d == pytest.approx(d[40])

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from helpers import profile, when
@@ -74,4 +75,9 @@ def test_second_pass(spark):
 
 
 def test_workspace_follows_the_session(spark):
-    assert workspace.root(spark) == spark.conf.get("spark.checkpoint.dir")
+    root = workspace.root(spark)
+    assert root == f"{spark.conf.get('spark.checkpoint.dir')}/packetlens-{spark.sparkContext.applicationId}"
+    workspace.written(spark.range(3), "rows")
+    assert os.path.isdir(root)
+    workspace.remove(spark, root)  # what the end of the application does
+    assert not os.path.exists(root)
