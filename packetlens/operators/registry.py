@@ -17,6 +17,7 @@ from .lof import Lof
 from .ocsvm import OneClassSvm
 from .rules import rule_hits
 from .zscore import zscore_hits, zscores
+from ..plans import workspace
 
 logger = logging.getLogger(__name__)
 
@@ -108,6 +109,24 @@ def score_all(profiles: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
     return out
 
 
+def score_safely(profiles: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
+    """Alerts of all detectors as a written table; one that fails while it runs is logged and left out.
+
+    All are run in one pass; only if that fails are they run one by one.
+    """
+    detectors = list(detectors)
+    try:
+        return workspace.written(score_all(profiles, detectors), "alerts")
+    except Exception:
+        logger.exception("detectors failed together, running each alone")
+    parts = []
+    score_each(profiles, detectors, lambda found: parts.append(workspace.written(found, "alerts")))
+    out = parts[0] if parts else no_alerts(profiles)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def score_each(profiles: DataFrame, detectors: Iterable[Detector], sink: Callable[[DataFrame], None]) -> list[str]:
     """Run one job per detector and hand its alerts to ``sink``; returns the names of those that failed."""
     failed = []

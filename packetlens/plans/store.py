@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,19 +45,30 @@ def with_load_columns(rows: DataFrame, ts: str, batch_id: int = 0, loaded_at: Co
 
 
 def write_by_day(rows: DataFrame, path: str, ts: str, key: list[str], mode: str = "append") -> None:
-    """Write rows split by ``day`` and sorted by ``key`` inside each file.
+    """Write rows split by ``day``, and by ``batch_id`` if there is one, and sorted by ``key`` inside each file.
 
     The rebalance hint lets Spark cut a large day into several files and join small ones, so a day
     that holds most of the rows is not written by one task.
     """
     if "day" not in rows.columns:
         rows = rows.withColumn("day", F.to_date(ts))
-    rows.hint("rebalance", F.col("day")).sortWithinPartitions("day", *key).write.partitionBy("day").mode(mode).parquet(path)
+    parts = ["day", *(["batch_id"] if "batch_id" in rows.columns else [])]
+    writer = rows.hint("rebalance", F.col("day")).sortWithinPartitions(*parts, *key).write.partitionBy(*parts)
+    writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
 
 
 def load_rows(rows: DataFrame, path: str, ts: str, key: list[str], batch_id: int = 0, loaded_at: Column | None = None) -> None:
-    """Append a batch of rows to a table. A repeated batch only adds versions that ``latest`` settles."""
-    write_by_day(with_load_columns(rows, ts, batch_id, loaded_at), path, ts, key)
+    """Put a batch of rows into a table. A repeated batch replaces its own folders and no others."""
+    write_by_day(with_load_columns(rows, ts, batch_id, loaded_at), path, ts, key, "overwrite")
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """A number that no load of the table has had, for a job that runs again and again."""
+    try:
+        top = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    except AnalysisException:  # no table yet
+        top = None
+    return 0 if top is None else top + 1
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
@@ -111,6 +123,7 @@ def expire(spark: SparkSession, path: str, as_of: datetime, days: int, ts: str,
         fs.delete(file_system.Path(f"{path}/{name}"), True)
     if fs.exists(file_system.Path(f"{path}/{edge}")):
         kept = retain(spark.read.parquet(f"{path}/{edge}"), F.lit(as_of), days, ts)
-        kept.sortWithinPartitions(*key).write.mode("overwrite").parquet(f"{path}/{_STAGED}{edge}")
+        parts = [c for c in kept.columns if c == "batch_id"]
+        kept.sortWithinPartitions(*parts, *key).write.partitionBy(*parts).mode("overwrite").parquet(f"{path}/{_STAGED}{edge}")
         replace_day(f"{_STAGED}{edge}")
     return removed

@@ -15,26 +15,28 @@ from ..functions.scalars import window_type_code
 from ..operators import windows as W
 from ..operators.alerts import alerts_of
 from ..operators.detector import Detector
-from ..operators.registry import score_all
+from ..operators.registry import score_safely
 from ..operators.zscore import KEY, METRICS, SCORED, advance, zscore_hits
 from ..plans import store
 from ..settings import Topics, WindowSettings
 from ..sources import rows
-from .runs import prepare
+from .runs import stream_settings
 from .sessions import closed_shares, merge_shares
 
 BatchSink = Callable[[DataFrame, int], None]
 
 
-def start(stream: DataFrame, sink: BatchSink, checkpoint: str, available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
+def start(
+    stream: DataFrame, sink: BatchSink, checkpoint: str, available_now: bool = False, every: str = "10 seconds", state_partitions: int | None = None,
+) -> StreamingQuery:
     """Run ``sink(batch, batch_id)`` for every micro-batch. A batch may be repeated after a failure."""
-    prepare(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+    with stream_settings(stream.sparkSession, state_partitions):
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def table_sinks(profiles_path: str, alerts_path: str) -> tuple[BatchSink, BatchSink]:
-    """Append profiles and alerts to their tables."""
+    """Put profiles and alerts into their tables; a repeated batch replaces what it wrote before."""
     return (lambda df, batch: store.load_profiles(df, profiles_path, batch),
             lambda df, batch: store.load_alerts(store.alert_rows(df), alerts_path, batch))
 
@@ -47,25 +49,26 @@ def topic_sinks(topics: Topics = Topics()) -> tuple[BatchSink, BatchSink]:
 
 def live(
     packets: DataFrame, detectors: list[Detector], sinks: tuple[BatchSink, BatchSink], checkpoint: str,
-    settings: WindowSettings = WindowSettings(), shares: int = 16, available_now: bool = False,
+    settings: WindowSettings = WindowSettings(), shares: int = 16, available_now: bool = False, state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Profiles of all three windows and their alerts, from a stream of packets.
 
     One query holds all windows, so each table has one writer. Window state lives in the
-    checkpoint, and a restart goes on with the open windows.
+    checkpoint, and a restart goes on with the open windows. A detector that fails while it scores a batch
+    is logged and left out of that batch. Detectors with state across batches (z-scores) run in
+    ``live_zscores`` over the profile table.
     """
     if any(not d.needs_model and not d.adds_columns for d in detectors):
         raise ValueError("z-scores need state across batches: run live_zscores over the profile table")
-    prepare(packets.sparkSession)
     on_profiles, on_alerts = sinks
 
     def handle(closed: DataFrame, batch: int) -> None:
         profiles = merge_shares(closed, settings).persist()
         on_profiles(profiles, batch)
-        on_alerts(score_all(profiles, detectors), batch)
+        on_alerts(score_safely(profiles, detectors), batch)
         profiles.unpersist()
 
-    return start(closed_shares(packets, settings, shares), handle, checkpoint, available_now)
+    return start(closed_shares(packets, settings, shares), handle, checkpoint, available_now, state_partitions=state_partitions)
 
 
 def load_tables(messages: DataFrame, schema: T.StructType, path: str, ts: str, key: list[str], checkpoint: str,
@@ -84,31 +87,50 @@ def load_tables(messages: DataFrame, schema: T.StructType, path: str, ts: str, k
 
 
 class HostZScores(StatefulProcessor):
-    """Keeps eight numbers per host: mean and variance of the four metrics."""
+    """Keeps eight numbers per host: mean and variance of the four metrics.
+
+    It also keeps, for each kind of window, the newest one that was folded. Windows of a kind close in order, so a
+    profile that is not newer is a copy (of a repeated batch) or a late part, and changes nothing.
+    """
 
     def __init__(self, alpha: float) -> None:
         self.alpha = alpha
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("ewma", "numbers array<double>")
+        self.newest = handle.getMapState("newest", "kind int", "window_end long, window_start long")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["window_end", "kind", "window_start"])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["window_end", "kind", "window_start"])
         state = list(self.state.get()[0]) if self.state.exists() else None
+        batch = batch[self._new(batch)]
         scores = []
         for values in batch[METRICS].to_numpy().tolist():
             state, z = advance(state, values, self.alpha)
             scores.append(z)
-        self.state.update((state,))
+        if scores:
+            self.state.update((state,))
         yield batch[KEY].assign(**{f"z_{m}": [z[i] for z in scores] for i, m in enumerate(METRICS)})
 
 
+    def _new(self, batch: pd.DataFrame) -> pd.Series:
+        """Which rows, in order, are newer than all before them of their kind."""
+        keep = pd.Series(False, index=batch.index)
+        for kind, rows in batch.groupby("kind"):
+            ends, starts = (rows[c].astype("int64").tolist() for c in ("window_end", "window_start"))
+            last = tuple(self.newest.getValue((int(kind),))) if self.newest.containsKey((int(kind),)) else None
+            for place, own in zip(rows.index, zip(ends, starts)):
+                if last is None or own > last:
+                    keep[place], last = True, own
+            self.newest.updateValue((int(kind),), last)
+        return keep
+
+
 def stream_zscore_alerts(profiles: DataFrame, z_threshold: float = 4.0, alpha: float = 0.2) -> DataFrame:
     """Z-score alerts over a stream of profiles; within a micro-batch a host's profiles are put in order."""
-    prepare(profiles.sparkSession)
     slim = profiles.select(*KEY, *[F.col(m).cast("double").alias(m) for m in METRICS], window_type_code("window_type").alias("kind"))
     scored = slim.groupBy("host_id").transformWithStateInPandas(HostZScores(alpha), SCORED, "Append", "None")
     return alerts_of(scored, [zscore_hits(z_threshold)])

@@ -9,6 +9,8 @@ from test_windows import traffic
 from packetlens import schemas
 from packetlens.operators import registry
 from packetlens.operators import windows as W
+from packetlens.operators.alerts import HIT
+from packetlens.operators.zscore import advance
 from packetlens.plans import store, workspace
 from packetlens.settings import Thresholds, WindowSettings
 from packetlens.streaming import live, runs, sessions
@@ -40,7 +42,6 @@ def source(spark, folder):
 
 def test_late_packets(spark):
     """Judged by the watermark of the batch before; closed windows are dropped and counted."""
-    runs.prepare(spark)
     folder, df = stream(spark, LATE)
     path = workspace.fresh(spark, "late")
     query = runs.to_table(SW.fixed_profiles(df, "tumbling"), path, f"{path}.checkpoint", available_now=True)
@@ -52,7 +53,6 @@ def test_late_packets(spark):
 
 
 def test_late_packets_emitted_again_on_request(spark):
-    runs.prepare(spark)
     folder, df = stream(spark, LATE)
     base, found = workspace.fresh(spark, "again"), []
     sink = lambda rows, batch: found.extend((r.window_type, r.window_start, r.packets) for r in rows.collect())
@@ -63,7 +63,6 @@ def test_late_packets_emitted_again_on_request(spark):
 
 
 def test_closed_at_equality(spark):
-    runs.prepare(spark)
     _, df = stream(spark, [[10], [90]])
     assert runs.run_available(SW.fixed_profiles(df, "tumbling"), "equal").count() == 1
 
@@ -72,7 +71,6 @@ def test_closed_at_equality(spark):
     (11, WindowSettings()), (12, WindowSettings(tumbling_sec=90, sliding_sec=150, session_timeout_sec=7, slice_sec=3))])
 def test_stream_equals_batch(spark, seed, settings):
     """In-order packets in many micro-batches, with a restart in the middle."""
-    runs.prepare(spark)
     rows = [(h, us / 1e6, *rest) for h, us, *rest in sorted(traffic(seed, 300), key=lambda r: r[1])]
     folder = tempfile.mkdtemp(prefix="packets-")
     base = workspace.fresh(spark, "equal")
@@ -96,7 +94,6 @@ def test_stream_equals_batch(spark, seed, settings):
 
 
 def test_stateful_zscores_across_batches(spark):
-    runs.prepare(spark)
     path, base = workspace.fresh(spark, "profiles"), workspace.fresh(spark, "zscores")
     schemas_row = lambda i, v: [("a", when(60 * i), when(60 * i + 60), "tumbling", 1, 1, v, 0.0, 1, 1, 0, 0, 0, 0.0, 0.0)]
     found = []
@@ -116,3 +113,71 @@ def test_kafka_source_is_declared(spark):
 
     with pytest.raises(Exception, match="(?i)kafka"):  # the connector is not on this classpath
         read_packets(spark)
+
+
+class Failing(registry.Detector):
+    """Cannot score anything, and shows it only while it runs."""
+
+    name = "failing"
+    needs_model = False
+
+    def _scored(self, profiles):
+        return profiles.withColumn("broken", F.raise_error(F.concat(F.lit("no score for "), "host_id")))
+
+    def _hits(self):
+        return [F.when(F.col("broken").isNotNull(), F.lit(None).cast(HIT))]
+
+
+def test_a_failing_detector_does_not_stop_the_others(spark):
+    _, df = stream(spark, [[10, 11, 12], [200], [400]])
+    base = workspace.fresh(spark, "failing")
+    rules = registry.detector("rule", thresholds=Thresholds(uniq_dst_port_scan=1))
+    live.live(df, [rules, Failing()], live.table_sinks(f"{base}/profiles", f"{base}/alerts"), f"{base}/checkpoint",
+              available_now=True).awaitTermination()
+    alone = workspace.fresh(spark, "alone")
+    _, df = stream(spark, [[10, 11, 12], [200], [400]])
+    live.live(df, [rules], live.table_sinks(f"{alone}/profiles", f"{alone}/alerts"), f"{alone}/checkpoint",
+              available_now=True).awaitTermination()
+    found, want = (sorted(r.alert_id for r in spark.read.parquet(f"{p}/alerts").collect()) for p in (base, alone))
+    assert found == want and found
+
+
+def profile_rows(spark, values, start=0):
+    rows = [("a", when(60 * i), when(60 * i + 60), "tumbling", 1, 1, v, 0.0, 1, 1, 0, 0, 0, 0.0, 0.0) for i, v in enumerate(values, start)]
+    return spark.createDataFrame(rows, schemas.PROFILES)
+
+
+def test_a_repeated_batch_replaces_itself(spark):
+    path = workspace.fresh(spark, "repeated")
+    for batch in (0, 1, 1, 0):
+        store.load_profiles(profile_rows(spark, [1.0, 2.0], 2 * batch), path, batch)
+    assert sorted(r.window_start for r in spark.read.parquet(path).collect()) == [when(60 * i) for i in range(4)]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_zscores_skip_profiles_that_were_folded(spark, together):
+    """Copies and late parts change nothing, in the same micro-batch or a later one."""
+    values = [1.0, 2.0, 4.0, 8.0, 40.0]
+    path, base = workspace.fresh(spark, "profiles"), workspace.fresh(spark, "zscores")
+    found = []
+    run = lambda: live.live_zscores(spark, path, lambda df, _: found.extend(df.collect()), base, 1.0, available_now=True).awaitTermination()
+    for part in range(2):
+        profile_rows(spark, values).coalesce(1).write.mode("append").parquet(path)
+        if not together:
+            run()
+    profile_rows(spark, [0.5], 1).coalesce(1).write.mode("append").parquet(path)
+    run()
+    state, want = None, []
+    for i, v in enumerate(values):
+        state, z = advance(state, [v, 0.0, 1.0, 1.0], 0.2)
+        if abs(z[0]) >= 1.0:
+            want.append((when(60 * i), round(min(1.0, abs(z[0]) / 2), 4)))
+    assert sorted((r.window_start, r.risk_score) for r in found) == want and want
+
+
+def test_settings_are_put_back(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone")
+    before = {k: spark.conf.get(k, None) for k in names}
+    _, df = stream(spark, [[10], [200]])
+    runs.run_available(SW.fixed_profiles(df, "tumbling"), "kept", 2).count()
+    assert {k: spark.conf.get(k, None) for k in names} == before
