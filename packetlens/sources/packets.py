@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from .. import schemas
 from ..functions.scalars import col, event_time
 from ..settings import Topics
+from .rows import publish
 from .wire import from_wire, to_wire
 
 EVENT = schemas.PACKET_EVENT.names
@@ -29,27 +30,27 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 
-def read_packets(spark: SparkSession, topics: Topics = Topics(), native: bool = False, **options: str) -> DataFrame:
+def read_packets(spark: SparkSession, topics: Topics = Topics(), native: bool | None = None, **options: str) -> DataFrame:
     """The packets topic, decoded to one row per packet."""
     return analyzer_columns(explode_events(decode_batches(read_topic(spark, topics.packets, topics, **options), native=native)))
 
 
-def read_hosts(spark: SparkSession, topics: Topics = Topics(), native: bool = False, **options: str) -> DataFrame:
+def read_hosts(spark: SparkSession, topics: Topics = Topics(), native: bool | None = None, **options: str) -> DataFrame:
     return decode_hosts(read_topic(spark, topics.hosts, topics, **options), native=native)
 
 
-def _decode(df: DataFrame, value: Column | str, name: str, schema: T.StructType, native: bool) -> DataFrame:
+def _decode(df: DataFrame, value: Column | str, name: str, schema: T.StructType, native: bool | None) -> DataFrame:
     decoded = df.select(from_wire(col(value), name, schema, native).alias("m"))
     counted = decoded.observe(f"{name}_messages", F.count(F.lit(1)).alias("read"), F.count_if(F.col("m").isNull()).alias("broken"))
     return counted.where(F.col("m").isNotNull()).select("m.*")
 
 
-def decode_batches(df: DataFrame, value: Column | str = "value", native: bool = False) -> DataFrame:
+def decode_batches(df: DataFrame, value: Column | str = "value", native: bool | None = None) -> DataFrame:
     """Message bytes to packet batches; broken messages are skipped and counted in an observation."""
     return _decode(df, value, "PacketBatch", schemas.PACKET_BATCH, native)
 
 
-def decode_hosts(df: DataFrame, value: Column | str = "value", native: bool = False) -> DataFrame:
+def decode_hosts(df: DataFrame, value: Column | str = "value", native: bool | None = None) -> DataFrame:
     return _decode(df, value, "HostInfo", schemas.HOST_INFO, native)
 
 
@@ -87,11 +88,20 @@ def _tick(flush_sec: int) -> Column:
     return ns - F.pmod(ns, F.lit(flush_sec * 1_000_000_000))
 
 
-def encode_batches(batches: DataFrame, native: bool = False) -> DataFrame:
+def encode_batches(batches: DataFrame, native: bool | None = None) -> DataFrame:
     """Non-empty batches as (key, value) messages keyed by host."""
     full = drop_empty_batches(batches)
     return full.select(F.col("host_id").alias("key"), to_wire(F.struct(*schemas.PACKET_BATCH.names), "PacketBatch", native).alias("value"))
 
 
-def encode_hosts(hosts: DataFrame, native: bool = False) -> DataFrame:
+def encode_hosts(hosts: DataFrame, native: bool | None = None) -> DataFrame:
     return hosts.select(F.col("host_id").alias("key"), to_wire(F.struct(*schemas.HOST_INFO.names), "HostInfo", native).alias("value"))
+
+
+def publish_batches(batches: DataFrame, topics: Topics = Topics(), native: bool | None = None) -> None:
+    """Write batches to the packets topic, those of a host in order of their time.
+
+    A host's batches go through one task, so that they reach their partition of the topic in order.
+    """
+    placed = batches.repartition("host_id").sortWithinPartitions("host_id", "batch_ts")
+    publish(encode_batches(placed, native), topics.packets, topics)

@@ -7,6 +7,7 @@ the classpath; otherwise an Arrow UDF with the ``protobuf`` Python package does.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,10 +118,13 @@ def _python_decoder(name: str, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(schema)
+    held: list = []  # the class is made once per task
 
     @F.arrow_udf(returnType=schema)
     def decode(values: pa.Array) -> pa.Array:
-        rows, cls = [], message_class(name)
+        if not held:
+            held.append(message_class(name))
+        rows, cls = [], held[0]
         for value in values.to_pylist():
             try:
                 rows.append(None if value is None else _row_of(name, cls.FromString(value)))
@@ -132,9 +136,13 @@ def _python_decoder(name: str, schema: T.StructType):
 
 
 def _python_encoder(name: str):
+    held: list = []
+
     @F.arrow_udf(returnType=T.BinaryType())
     def encode(rows: pa.Array) -> pa.Array:
-        cls = message_class(name)
+        if not held:
+            held.append(message_class(name))
+        cls = held[0]
         return pa.array(
             [None if r is None else _message_of(cls, r).SerializeToString(deterministic=True) for r in rows.to_pylist()],
             pa.binary())
@@ -142,17 +150,48 @@ def _python_encoder(name: str):
     return encode
 
 
-def from_wire(value: Column, name: str, schema: T.StructType, native: bool = False) -> Column:
-    """Message bytes as a struct; NULL where they cannot be parsed."""
-    if native:
+def has_protobuf() -> bool:
+    """Whether Spark's own protobuf functions are on the classpath."""
+    jvm = SparkContext._active_spark_context._jvm
+    try:
+        jvm.java.lang.Class.forName(
+            "org.apache.spark.sql.protobuf.ProtobufDataToCatalyst", False, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    except Exception:
+        return False
+    return True
+
+
+def unsigned(value: Column, name: str) -> Column:
+    """A message as Spark decodes it, with its unsigned 32-bit fields as longs that are never negative.
+
+    Spark reads them as signed integers, so words from 2^31 on come out negative.
+    """
+    fields = []
+    for field, kind, _ in MESSAGES[name]:
+        part = value[field]
+        if kind in ("fixed32", "uint32"):
+            part = part.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        elif kind.startswith("repeated"):
+            part = F.transform(part, lambda x, inner=kind.split()[1]: unsigned(x, inner))
+        elif kind.startswith("map uint32"):
+            part = F.transform_keys(part, lambda k, _: k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        fields.append(part.alias(field))
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def from_wire(value: Column, name: str, schema: T.StructType, native: bool | None = None) -> Column:
+    """Message bytes as a struct; NULL where they cannot be parsed. ``native``: with Spark's functions, by default if there."""
+    if has_protobuf() if native is None else native:
         from pyspark.sql.protobuf.functions import from_protobuf
 
-        return from_protobuf(value, name, options={"mode": "PERMISSIVE"}, binaryDescriptorSet=descriptor_set()).cast(schema)
+        # fields that hold zero are not on the wire; without the second option they would be NULL
+        options = {"mode": "PERMISSIVE", "emit.default.values": "true"}
+        return unsigned(from_protobuf(value, name, options=options, binaryDescriptorSet=descriptor_set()), name).cast(schema)
     return _python_decoder(name, schema)(value)
 
 
-def to_wire(row: Column, name: str, native: bool = False) -> Column:
-    if native:
+def to_wire(row: Column, name: str, native: bool | None = None) -> Column:
+    if has_protobuf() if native is None else native:
         from pyspark.sql.protobuf.functions import to_protobuf
 
         return to_protobuf(row, name, binaryDescriptorSet=descriptor_set())
