@@ -27,6 +27,7 @@ from .testpackets import (
 )
 
 OFF_TIE = 1.23e-7
+STATE_PARTITIONS = 4  # state stores per operator of the registered streams
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -244,20 +245,16 @@ def late(spark: SparkSession, sf: str) -> DataFrame:
 
 def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = load_events(spark, sf).schema
-    runs.prepare(spark)
-    if spark.sparkContext.master.startswith("local"):  # one state store per partition and operator
-        partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return packets_from(runs.read_new(spark, sf, schema, "events.parquet"))
 
 
 def _stream_fixed(kind: str) -> Query:
     return lambda spark, sf: plain(runs.run_available(
-        stream_windows.fixed_profiles(_packet_stream(spark, sf), kind, WINDOWS), f"stream_{kind}"))
+        stream_windows.fixed_profiles(_packet_stream(spark, sf), kind, WINDOWS), f"stream_{kind}", STATE_PARTITIONS))
 
 
 def stream_session(spark: SparkSession, sf: str) -> DataFrame:
-    shares = runs.run_available(sessions.session_shares(_packet_stream(spark, sf), WINDOWS, 4), "stream_session")
+    shares = runs.run_available(sessions.session_shares(_packet_stream(spark, sf), WINDOWS, 4), "stream_session", STATE_PARTITIONS)
     return plain(sessions.merge_shares(shares, WINDOWS))
 
 
@@ -266,7 +263,8 @@ def _live(spark: SparkSession, sf: str) -> tuple[str, str]:
     base = workspace.fresh(spark, "live")
     sinks = live.table_sinks(f"{base}/profiles", f"{base}/alerts")
     detectors = [registry.detector("rule", thresholds=THRESHOLDS)]
-    live.live(_packet_stream(spark, sf), detectors, sinks, f"{base}/checkpoint", WINDOWS, 4, available_now=True).awaitTermination()
+    live.live(_packet_stream(spark, sf), detectors, sinks, f"{base}/checkpoint", WINDOWS, 4, available_now=True,
+              state_partitions=STATE_PARTITIONS).awaitTermination()
     return f"{base}/profiles", f"{base}/alerts"
 
 
@@ -282,16 +280,14 @@ def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_zscore(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.fresh(spark, "profiles")
     W.profiles(load_packets(spark, sf), WINDOWS).write.parquet(path)
-    runs.prepare(spark)
     found = live.stream_zscore_alerts(live.read_table(spark, path, schemas.PROFILES))
-    return alert_rows(runs.run_available(found, "stream_zscore"))
+    return alert_rows(runs.run_available(found, "stream_zscore", STATE_PARTITIONS))
 
 
 def tables_loaded(spark: SparkSession, sf: str) -> DataFrame:
     """Messages from text files through the loading job into the stored table."""
     base = workspace.fresh(spark, "tables")
     _profile_messages(spark, sf).write.text(f"{base}/messages")
-    runs.prepare(spark)
     stream = spark.readStream.text(f"{base}/messages")
     live.load_tables(stream, schemas.PROFILES, f"{base}/profiles", store.PROFILE_TS, schemas.PROFILE_KEY,
                      f"{base}/checkpoint", f"{base}/quarantine", available_now=True).awaitTermination()
@@ -322,6 +318,37 @@ def kmeans_given_centres(spark: SparkSession, sf: str) -> DataFrame:
     return alert_rows(scorer.score(profiles))
 
 
+# models of plain arithmetic, which SQL can repeat. Forest: three trees of nodes (feature, threshold, left, right, depth)
+GIVEN_FOREST = [
+    [(0, 12.0, 1, 2, 0.0), (-1, 0.0, 1, 1, 1.0), (5, 8.0, 3, 4, 0.0), (-1, 0.0, 3, 3, 3.0), (-1, 0.0, 4, 4, 6.0)],
+    [(6, 3.0, 1, 2, 0.0), (-1, 0.0, 1, 1, 2.0), (7, 4.0, 3, 4, 0.0), (-1, 0.0, 3, 3, 4.5), (-1, 0.0, 4, 4, 2.5)],
+    [(1, 1500.0, 1, 2, 0.0), (-1, 0.0, 1, 1, 1.5), (-1, 0.0, 2, 2, 5.0)],
+]
+GIVEN_OFFSET = -0.85
+GIVEN_SVM = {"n_features": 4, "gamma": 1e-6, "w": [0.5, -0.25, 0.75, 0.1], "offset": 0.1}
+GIVEN_NETWORK = {
+    "sizes": [11, 2, 11], "weights": [((7 * i) % 13 - 6) / 10 for i in range(11 * 2 + 2 + 2 * 11 + 11)],
+    "mean": [float(10 * i) for i in range(11)], "scale": [float(50 * (i + 1)) for i in range(11)], "threshold": 40.0}
+
+
+def _given(name: str, model: dict, **params) -> Query:
+    """Save a model, load it as any saved one and score all profiles with it."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = workspace.fresh(spark, "models")
+        maker = registry.detector(name, **params)
+        maker.model = model
+        maker.save(spark, root)
+        return alert_rows(registry.detector(name, **params).load(spark, root).score(_profile_rows(spark, sf)))
+    return run
+
+
+def given_forest() -> dict:
+    nodes = [node for tree in GIVEN_FOREST for node in tree]
+    sizes = [len(tree) for tree in GIVEN_FOREST]
+    columns = dict(zip(("feature", "threshold", "left", "right", "depth"), map(list, zip(*nodes))))
+    return {**columns, "roots": [sum(sizes[:i]) for i in range(len(sizes))], "sample": 256, "offset": GIVEN_OFFSET}
+
+
 def all_alerts(spark: SparkSession, sf: str) -> DataFrame:
     detectors = [registry.detector("rule", thresholds=THRESHOLDS), registry.detector("zscore"), registry.detector("isoforest")]
     return alert_rows(registry.score_all(_profile_rows(spark, sf), detectors))
@@ -370,9 +397,12 @@ QUERIES: dict[str, Query] = {
     "all_alerts": all_alerts,
     "second_pass_zscore": second_pass_zscore,
     "kmeans_given_centres": kmeans_given_centres,
+    "isoforest_given_forest": _given("isoforest", given_forest()),
+    "ocsvm_given_weights": _given("ocsvm", {k: v for k, v in GIVEN_SVM.items() if k != "n_features"}, n_features=GIVEN_SVM["n_features"]),
+    "mlp_given_weights": _given("mlp", GIVEN_NETWORK),
     "kmeans_alerts": _trained("kmeans"),
     "isoforest_alerts": _trained("isoforest"),
     "lof_alerts": _trained("lof"),
     "ocsvm_alerts": _trained("ocsvm"),
-    "autoencoder_alerts": _trained("mlp", iterations=60),
+    "autoencoder_alerts": _trained("mlp"),
 }

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
+from .catalog import GIVEN_FOREST, GIVEN_NETWORK, GIVEN_OFFSET, GIVEN_SVM
+
 PACKETS = """
 packets as (
   select 'h' || cast(user_id % 8 as varchar) as host_id, event_id, epoch_us(ts) as us,
@@ -229,6 +235,62 @@ kmeans_alerts as (
   from (select *, least(1.0, distance / (2 * limit_)) as risk
         from distances, (select quantile_cont(distance, 0.99) as limit_ from distances) where distance > limit_))"""
 
+
+
+def _depth(tree: list[tuple], at: int = 0) -> str:
+    feature, threshold, left, right, depth = tree[at]
+    if feature < 0:
+        return f"{depth}"
+    return f"case when {_FEATURES[feature]} <= {threshold} then {_depth(tree, left)} else {_depth(tree, right)} end"
+
+
+def _forest() -> str:
+    scale = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+    mean = " + ".join(f"({_depth(tree)})" for tree in GIVEN_FOREST)
+    return f"""
+forest_scores as (select *, -pow(2.0::double, -(({mean})::double / {len(GIVEN_FOREST)}) / {scale!r}::double) - ({GIVEN_OFFSET}::double) as decision from profiles),
+forest_alerts as (
+  select host_id, window_type, window_start_us, window_end_us, 'ml:isoforest' as detector, 'anomaly' as category,
+         case when risk > 0.8 then 4 when risk > 0.6 then 3 else 2 end as severity, round(risk, 4) as risk_score, 'v1' as model_version
+  from (select *, greatest(0.0, least(1.0, 0.5 - decision)) as risk from forest_scores where decision < 0))"""
+
+
+def _svm() -> str:
+    n, gamma = GIVEN_SVM["n_features"], GIVEN_SVM["gamma"]
+    rng = np.random.default_rng(42)
+    directions = rng.normal(0.0, 1.0, (len(_FEATURES), n)) * np.sqrt(2.0 * gamma)
+    phases = rng.uniform(0.0, 2.0 * np.pi, n)
+    terms = []
+    for j, w in enumerate(GIVEN_SVM["w"]):
+        inner = " + ".join(f"{f} * ({directions[i][j].item()!r}::double)" for i, f in enumerate(_FEATURES))
+        terms.append(f"({w}::double) * sqrt(2.0 / {n}) * cos({inner} + {phases[j].item()!r}::double)")
+    return f"""
+svm_alerts as (
+  select host_id, window_type, window_start_us, window_end_us, 'ml:ocsvm' as detector, 'anomaly' as category,
+         2 as severity, 0.7::double as risk_score, 'v1' as model_version
+  from profiles where {" + ".join(terms)} - ({GIVEN_SVM["offset"]}::double) < 0)"""
+
+
+def _network() -> str:
+    m, size = GIVEN_NETWORK, GIVEN_NETWORK["sizes"]
+    w, inner, d = m["weights"], size[1], size[0]
+    scaled = [f"(({f} - {m['mean'][i]}::double) / {m['scale'][i]}::double)" for i, f in enumerate(_FEATURES)]
+    hidden = ", ".join(
+        "greatest(0.0, " + " + ".join(f"{x} * ({w[i * inner + j]}::double)" for i, x in enumerate(scaled)) + f" + ({w[d * inner + j]}::double)) as h{j}"
+        for j in range(inner))
+    base = d * inner + inner
+    back = [
+        "pow(" + " + ".join(f"h{j} * ({w[base + j * d + i]}::double)" for j in range(inner)) + f" + ({w[base + inner * d + i]}::double) - {scaled[i]}, 2)"
+        for i in range(d)]
+    return f"""
+hidden as (select *, {hidden} from profiles),
+errors as (select *, ({" + ".join(back)}) / {d} as error from hidden),
+network_alerts as (
+  select host_id, window_type, window_start_us, window_end_us, 'nn:mlp' as detector, 'anomaly' as category,
+         case when risk > 0.6 then 3 else 2 end as severity, round(risk, 4) as risk_score, 'v1' as model_version
+  from (select *, least(1.0, error / (2 * {m["threshold"]})) as risk from errors where error > {m["threshold"]}))"""
+
+
 _ALL = (PACKETS, MEMBERS, PROFILES)
 
 # windows that a stream over all packets has closed: a session when the last closed slice of 600
@@ -305,6 +367,9 @@ from ({alerts_out("rule_alerts")})"""),
     "all_alerts": sql(
         *_ALL, RULES, ZSCORE,
         f'{alerts_out("rule_alerts")} union all {alerts_out("zscore_alerts")}', recursive=True),
+    "isoforest_given_forest": sql(*_ALL, _forest(), alerts_out("forest_alerts")),
+    "ocsvm_given_weights": sql(*_ALL, _svm(), alerts_out("svm_alerts")),
+    "mlp_given_weights": sql(*_ALL, _network(), alerts_out("network_alerts")),
     "kmeans_given_centres": sql(*_ALL, KMEANS, alerts_out("kmeans_alerts")),
     "second_pass_zscore": sql(
         *_ALL, "history as (select * from profiles where window_start_us >= (1705752000 - 240 * 3600)::bigint * 1000000)",
