@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..plans import workspace
 from . import bpe, chat, decontaminate, jaccard, lm, pii, quality, resharding, substrings, toxicity
+from .oracles import ORACLES, SAYING
 
+__all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,9 +25,6 @@ def digest(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-SAYING = "<|im_end|><|im_start|>assistant ok"
-
-
 def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -103,16 +102,3 @@ QUERIES: dict[str, Query] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {
-    "op1_chat": rf"""
-        with said as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-            union all select -1, 0, 'user', '{SAYING}' union all select -1, 1, 'assistant', '{SAYING}'),
-        shown as (select *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') as body from said)
-        select conv_id, count(*) as n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, body)) as turns_sha256,
-            cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-            sha256(coalesce(string_agg(text, '' order by turn, body) filter (role = 'assistant'), '')) as loss_sha256,
-            cast(sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1) as bigint) as formatted_chars
-        from shown group by conv_id""",
-}
