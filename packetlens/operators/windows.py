@@ -3,8 +3,8 @@
 How a profile is put together, so that no group grows with the traffic of a host:
 
 * *segments*: packets are ordered within (host, slice), a few seconds each, and every slice is
-  reduced to counts, first and last time and the exact sum of squared gaps. This is the only
-  shuffle of raw packets.
+  reduced to counts, first and last time and the exact sum of squared gaps. The source is scanned once for
+  segments and once for arrivals, which drop copies of a value before they are shuffled.
 * segments of a host are chained: ``lag`` gives the last packet before each segment, which yields
   the gap between segments and the session each one belongs to. A host has at most one segment per
   slice of time, however many packets it sends.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans import workspace
 from ..settings import WindowSettings
 
 ALL_KINDS = ("tumbling", "sliding", "session")
@@ -142,7 +143,7 @@ def cells(packets: DataFrame, pane_sec: int) -> DataFrame:
     return distinct.withColumn("seen_us", F.lag("pane_us").over(seen)).select("host_id", "is_port", "pane_us", "seen_us")
 
 
-def _arrivals(packets: DataFrame, s: WindowSettings, kinds: tuple[str, ...]) -> DataFrame:
+def _arrivals(packets: DataFrame, panes: DataFrame, s: WindowSettings, kinds: tuple[str, ...]) -> DataFrame:
     """(host, window) rows with the number of addresses and ports that a pane adds to the window."""
     pane_us, timeout_us = s.pane_sec(kinds) * MICROS, s.session_timeout_sec * MICROS
     size_us, step_us = s.sliding_sec * MICROS, s.sliding_step_sec * MICROS
@@ -177,10 +178,7 @@ def _arrivals(packets: DataFrame, s: WindowSettings, kinds: tuple[str, ...]) ->
         # Both panes lie in one session if all time between their far ends is within the timeout,
         # so only values that were away for longer have to be matched with the sessions.
         away = found.where(seen.isNull() | (pane + F.lit(pane_us) - seen > F.lit(timeout_us)))
-        us = F.unix_micros("ts")
-        spans = packets.select("host_id", us.alias("us"), _floor_to(us, pane_us).alias("pane_us")).groupBy(
-            "host_id", "pane_us").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-        sessions = _with_previous(spans, "pane_us", timeout_us).select("host_id", "pane_us", "session_us")
+        sessions = panes.select("host_id", "pane_us", "session_us")  # no session breaks inside a pane
         # every cell has its session; a left join infers no extra filter, so the exchange of the
         # cells is the same in both branches and is run once
         matched = away.join(sessions, ["host_id", "pane_us"], "left")
@@ -244,12 +242,15 @@ def profiles(packets: DataFrame, settings: WindowSettings = WindowSettings(), ki
     inner_high, inner_low = limbs(F.col("gap_sq"))
     high, low = squared_limbs(F.col("first_us") - F.col("prev_us"))
     inside = F.col("prev_us") >= F.col("start_us")
-    traffic = _panes(packets, s, kinds).select("*", F.inline(_windows_of(s, kinds))).select(
+    panes = _panes(packets, s, kinds)
+    if "session" in kinds:  # read twice below; a row per host and pane, where the packets would be read again
+        panes = workspace.written(panes, "panes")
+    traffic = panes.select("*", F.inline(_windows_of(s, kinds))).select(
         "host_id", "window_type", "start_us", "packets", "bytes", "tcp", "udp", "first_us", "last_us",
         (inner_high + F.when(inside, high).otherwise(zero)).alias("gap_high"),
         (inner_low + F.when(inside, low).otherwise(zero)).alias("gap_low"),
         zero.alias("new_ips"), zero.alias("new_ports"))
-    values = _arrivals(packets, s, kinds).select(
+    values = _arrivals(packets, panes, s, kinds).select(
         "host_id", "window_type", "start_us", *[zero.alias(c) for c in ("packets", "bytes", "tcp", "udp")],
         nothing.alias("first_us"), nothing.alias("last_us"), zero.alias("gap_high"), zero.alias("gap_low"),
         "new_ips", "new_ports")

@@ -98,12 +98,26 @@ def test_equals_direct_accumulation(spark, seed, settings):
     same(as_map(W.profiles(table, settings)), accumulate(rows, settings))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_task_group_grows_with_a_busy_host(spark):
     """Raw packets are shuffled by host and slice only."""
-    df = W.profiles(packets(spark, [("h1", 1)]), S)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [lag(us" in line]
-    assert windows and all("slice_us" in line.split("],")[-2] for line in windows)
+    for df in (W.profiles(packets(spark, [("h1", 1)]), S, ("tumbling", "sliding")), W._panes(packets(spark, [("h1", 1)]), S, W.ALL_KINDS)):
+        windows = [line for line in plan_of(df).splitlines() if "Window [lag(us" in line]
+        assert windows and all("slice_us" in line.split("],")[-2] for line in windows)
+
+
+def test_the_source_is_scanned_once_for_segments_and_once_for_values(spark, tmp_path):
+    """Panes come from a table by then, and both branches of the values share one exchange."""
+    packets(spark, [("h1", 1), ("h1", 5), ("h2", 9)]).write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    df = W.profiles(source, S)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan" in line and str(tmp_path) in line]
+    assert len(scans) == 1, final
 
 
 def test_late_events_levels(spark):
