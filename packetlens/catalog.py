@@ -131,6 +131,29 @@ def alerts_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return plain(good.drop("details"))
 
 
+def alert_details(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rules' JSON details say, one row per number."""
+    found = rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS)
+    parsed = found.select("host_id", "detector", "window_type", "window_start", "window_end",
+                          F.explode(F.from_json("details", "map<string,double>")).alias("metric", "number"))
+    shift = F.when(F.col("metric").startswith("conn_interval"), OFF_TIE).otherwise(0.0)
+    return plain(parsed.withColumn("number", F.col("number") + shift))
+
+
+def analyzer_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured events with monotonic nanoseconds as the columns that profiles are made of."""
+    return plain(packets.analyzer_columns(capture_events(load_packets(spark, sf))))
+
+
+def nonempty_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Packed batches among which every host has sent an empty one."""
+    full = packets.pack_batches(capture_events(load_packets(spark, sf)), 16, 86400)
+    none = full.select("host_id").distinct().select(
+        "host_id", F.lit(0).cast("long").alias("batch_ts"), F.array().cast(full.schema["events"].dataType).alias("events"))
+    kept = packets.drop_empty_batches(full.unionByName(none))
+    return kept.select("host_id", F.size("events").cast("long").alias("events"), "batch_ts")
+
+
 def _versions(df: DataFrame) -> DataFrame:
     """Every row three times, as versions 1, 3 and 2."""
     return df.withColumn("version", F.explode(F.array(*[F.lit(v).cast("long") for v in (1, 3, 2)])))
@@ -373,6 +396,9 @@ QUERIES: dict[str, Query] = {
     "profiles_loaded": profiles_loaded,
     "profiles_quarantined": profiles_quarantined,
     "alerts_loaded": alerts_loaded,
+    "alert_details": alert_details,
+    "analyzer_view": analyzer_view,
+    "nonempty_batches": nonempty_batches,
     "latest_profiles": latest_profiles,
     "latest_alerts": latest_alerts,
     "recent_profiles": recent_profiles,

@@ -344,6 +344,28 @@ from ({alerts_out("rule_alerts")}) group by all"""),
     "profile_history": sql(*_ALL, f"""
 select * replace (packets + 1000 as packets) from ({_PROFILE_OUT})
 where window_start_us >= (1705752000 - 72 * 3600)::bigint * 1000000"""),
+    "alert_details": sql(*_ALL, """
+said as (
+  select host_id, 'rule:volume' as detector, window_type, window_start_us, window_end_us,
+         unnest([{'metric': 'pps', 'number': pps}, {'metric': 'bps', 'number': bps},
+                 {'metric': 'pps_thr', 'number': 0.0007::double}, {'metric': 'bps_thr', 'number': 100000000.0::double}], recursive := true)
+  from profiles where pps > 0.0007 or bps > 100000000.0
+  union all
+  select host_id, 'rule:port_scan', window_type, window_start_us, window_end_us,
+         unnest([{'metric': 'uniq_dst_port', 'number': uniq_dst_port::double}, {'metric': 'threshold', 'number': 15.0::double}], recursive := true)
+  from profiles where uniq_dst_port >= 15
+  union all
+  select host_id, 'rule:host_scan', window_type, window_start_us, window_end_us,
+         unnest([{'metric': 'uniq_dst_ip', 'number': uniq_dst_ip::double}, {'metric': 'threshold', 'number': 11.0::double}], recursive := true)
+  from profiles where uniq_dst_ip >= 11
+  union all
+  select host_id, 'rule:beaconing', window_type, window_start_us, window_end_us,
+         unnest([{'metric': 'conn_interval_avg', 'number': conn_interval_avg + 1.23e-7}, {'metric': 'conn_interval_std', 'number': conn_interval_std + 1.23e-7},
+                 {'metric': 'connections', 'number': packets::double}], recursive := true)
+  from profiles where window_type = 'session' and packets >= 5 and conn_interval_avg > 0 and conn_interval_std <= 320.0)""", """
+select host_id, detector, window_type, window_start_us, window_end_us, metric, round(number, 6) as number from said"""),
+    "analyzer_view": sql(PACKETS, "select host_id, us as ts_us, dst_ip, dst_port, pkt_len::bigint as pkt_len, protocol from packets"),
+    "nonempty_batches": sql(PACKETS, CAPTURE, f"select host_id, packets as events, batch_ts from ({_PACKED})"),
     "batch_pack": sql(PACKETS, CAPTURE, _PACKED),
     "batch_roundtrip": sql(PACKETS, CAPTURE, "select * exclude (event_id) from capture"),
     "host_registrations": _HOSTS,
