@@ -276,6 +276,25 @@ def _stream_fixed(kind: str) -> Query:
         stream_windows.fixed_profiles(_packet_stream(spark, sf), kind, WINDOWS), f"stream_{kind}", STATE_PARTITIONS))
 
 
+def _in_batches(name: str, build: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] = plain) -> Query:
+    """The stream over eight files in order of time, one per micro-batch, with a restart after the fourth."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        base, events = workspace.fresh(spark, name), load_events(spark, sf)
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        cuts = events.select(F.percentile_approx(us, [k / 8 for k in range(1, 8)], 10_000)).first()[0]
+        edges = [None, *cuts, None]
+        for half in (range(4), range(4, 8)):
+            for k in half:
+                own = events.where(F.coalesce(us > F.lit(edges[k]), F.lit(True)) & F.coalesce(us <= F.lit(edges[k + 1]), F.lit(True)))
+                own.coalesce(1).write.parquet(f"{base}/events/{k}")
+            stream = packets_from(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option(
+                "maxFilesPerTrigger", 1).parquet(f"{base}/events"))
+            out = build(stream)
+            runs.to_table(out, f"{base}/out", f"{base}/checkpoint", available_now=True, state_partitions=STATE_PARTITIONS).awaitTermination()
+        return finish(spark.read.schema(out.schema).parquet(f"{base}/out"))
+    return run
+
+
 def stream_session(spark: SparkSession, sf: str) -> DataFrame:
     shares = runs.run_available(sessions.session_shares(_packet_stream(spark, sf), WINDOWS, 4), "stream_session", STATE_PARTITIONS)
     return plain(sessions.merge_shares(shares, WINDOWS))
@@ -416,6 +435,9 @@ QUERIES: dict[str, Query] = {
     "stream_tumbling": _stream_fixed("tumbling"),
     "stream_sliding": _stream_fixed("sliding"),
     "stream_session": stream_session,
+    "stream_tumbling_batches": _in_batches("tumbling_batches", lambda p: stream_windows.fixed_profiles(p, "tumbling", WINDOWS)),
+    "stream_session_batches": _in_batches(
+        "session_batches", lambda p: sessions.session_shares(p, WINDOWS, 4), lambda t: plain(sessions.merge_shares(t, WINDOWS))),
     "stream_all": stream_all,
     "live_alerts": live_alerts,
     "stream_zscore": stream_zscore,

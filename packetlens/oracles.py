@@ -379,6 +379,8 @@ select host_id, event_id, timestamp_ns + cast(host_id[2:] as bigint) * 100000000
     "stream_tumbling": _closed("tumbling"),
     "stream_sliding": _closed("sliding"),
     "stream_session": _closed("session"),
+    "stream_tumbling_batches": _closed("tumbling"),
+    "stream_session_batches": _closed("session"),
     "stream_all": _closed(),
     "live_alerts": sql(*_ALL, CLOSED, RULES.replace("from profiles", "from closed"), f"""
 select alert_id, host_id, detector, category, severity, risk_score, model_version,
