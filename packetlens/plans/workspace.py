@@ -25,8 +25,8 @@ def root(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="packetlens-")
         spark.conf.set(SETTING, named)
     own = f"{named.rstrip('/')}/packetlens-{spark.sparkContext.applicationId}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if own not in (spark.sparkContext.getCheckpointDir() or ""):
+        spark.sparkContext.setCheckpointDir(own)
     if own not in _own:
         _own.add(own)
         atexit.register(remove, spark, own)
