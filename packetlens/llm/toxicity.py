@@ -33,8 +33,8 @@ class PuLearning:
     most over-represented in the toxic ones, by at least ``excess`` standard deviations.
     """
 
-    positives: int = 4_000
-    unlabelled: int = 12_000
+    positives: int = 3_000
+    unlabelled: int = 8_000
     features: int = 4_096
     excess: float = 5.0
     bits: int = 20
