@@ -5,7 +5,8 @@ decides where the cuts lie). A query first looks in its own cell, which bounds t
 k-th neighbour, and then in exactly those cells that lie within that distance. Cells with many
 points or many queries are cut into blocks, every pair of which is a task group of its own; the
 candidates of a query, at most k per block, are merged in the end. Nothing is capped: where a cell has
-too few points for a bound, the k-th nearest of a few anchor points is one.
+too few points for a bound, the k-th nearest of a few anchor points is one. The cuts come from a sample of fixed size, so cells grow with very large
+tables; inside a group a second tree over its points keeps the cost of a query the same.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..schemas import FEATURES
 
 BLOCK = 20_000  # rows of either side that meet in one group
 SAMPLE_ROWS = 100_000
+LOCAL_ROWS = 200  # points of a cell inside a group
 ANCHORS = 2_000  # points that bound a distance where a cell cannot
 SMALLEST = 8  # sample rows on either side of a cut
 FAIR = 0.25  # share of the rows that makes a cut good enough
@@ -128,6 +130,27 @@ def _best(distance: np.ndarray, weight: np.ndarray, ids: np.ndarray, k: int, lim
     return near[: int(np.searchsorted(np.cumsum(weight[near]), k)) + 1]
 
 
+def _near_rows(x: np.ndarray, limits: np.ndarray, p: np.ndarray, k: int) -> list[np.ndarray]:
+    """For every query, points among which are all that its k nearest in reach can be, by a tree over the points of a group.
+
+    So the cost of a query does not grow with its group: it looks at the points of its own small cell, which
+    bound the k-th distance, and then at those of the cells within that bound.
+    """
+    tree = Cells.cut(p, len(p) // LOCAL_ROWS)
+    home = tree.home(p)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(home.max() + 2))
+    mine, radius = tree.home(x), limits.copy()
+    for cell in np.unique(mine):
+        asked, offered = np.flatnonzero(mine == cell), order[edges[cell]:edges[cell + 1]]
+        if len(offered) > k:  # one of them may be the query itself
+            radius[asked] = np.minimum(radius[asked], np.partition(_distances(x[asked], p[offered]), k, axis=1)[:, k])
+    row, cell = tree.within(x, radius)
+    by_row = np.argsort(row, kind="stable")
+    cells = np.split(cell[by_row], np.searchsorted(row[by_row], np.arange(1, len(x))))
+    return [np.concatenate([order[edges[c]:edges[c + 1]] for c in own]) if len(own) else order[:0] for own in cells]
+
+
 def _search(k: int, exclude_self: bool):
     def search(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         hits, distances, weights_out = [], [], []
@@ -136,15 +159,20 @@ def _search(k: int, exclude_self: bool):
         qids, limits = queries["qid"].to_numpy().astype(str), queries["radius"].to_numpy()
         step = max(1, 4_000_000 // max(len(p), 1))
         for start in range(0, len(x) if len(p) else 0, step):
-            block = _distances(x[start:start + step], p)
-            for i, distance in enumerate(block, start=start):
-                weight = weights
+            asked = x[start:start + step]
+            small = len(p) <= 4 * LOCAL_ROWS
+            block = _distances(asked, p) if small else None
+            near = None if small else _near_rows(asked, limits[start:start + step], p, k)
+            for i in range(start, start + len(asked)):
+                rows = np.arange(len(p)) if small else near[i - start]
+                distance = block[i - start] if small else _distances(x[i:i + 1], p[rows])[0]
+                weight = weights[rows]
                 if exclude_self:
-                    weight = weights - (ids == qids[i])
+                    weight = weight - (ids[rows] == qids[i])
                     distance = np.where(weight > 0, distance, np.inf)
-                best = _best(distance, weight, ids, k, limits[i])
+                best = _best(distance, weight, ids[rows], k, limits[i])
                 best = best[weight[best] > 0]
-                hits.append(best)
+                hits.append(rows[best])
                 distances.append(distance[best])
                 weights_out.append(weight[best])
         if not hits:

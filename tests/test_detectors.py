@@ -227,3 +227,18 @@ def test_neighbours_of_lonely_cells(spark, vectors):
     for r in found.collect():
         d = np.sort(np.sqrt(((everything - x[r.qid]) ** 2).sum(axis=1)))
         assert r.n == 40 and r.d == pytest.approx(d[40])
+
+
+def test_trees_inside_groups_change_nothing(spark):
+    """One cell of many points: the tree inside the group gives what comparing all pairs gives."""
+    from packetlens.operators import neighbours as N
+
+    rng = np.random.default_rng(4)
+    x = np.round(np.vstack([rng.normal(0, 1, (1500, 11)), rng.normal(30, 5, (600, 11)), np.repeat(rng.normal(0, 1, (5, 11)), 3, axis=0)]), 1)
+    p = np.unique(x, axis=0)
+    near = N._near_rows(p[::7], np.full(len(p[::7]), np.inf), p, 12)
+    for q, rows in zip(p[::7], near):
+        d = N._distances(q[None], p)[0]
+        kth = np.sort(d)[12]
+        assert set(np.flatnonzero(d <= kth)) <= set(rows.tolist()) and len(set(rows.tolist())) == len(rows)
+    assert np.mean([len(r) for r in near]) < len(p)
