@@ -3,15 +3,19 @@
 Method: size-banded tiles with hashed bitmap signatures. Bit counts bound the overlap of two sets from
 above; only pairs that pass the bound get an exact intersection of their sorted arrays.
 
-1. ``tile_keys`` cuts the hash space of a size band into more parts than two linked sets can differ
+1. ``part_keys`` cuts the hash space of a size band into more parts than two linked sets can differ
    in, so linked sets agree on a whole part (nothing is lost). One row per set and part is
    shuffled by part content; copies are merged per task before that.
 2. Parts shared by different sets give candidate edges to the smallest member; their components
    hold every link. A set is shipped once per tile instead of once per shared part.
-3. Each component is a tile. One that is larger than ``tile_rows`` sets or ``tile_shingles`` shingles is
-   cut by size band and hash into blocks, and every pair of blocks whose sizes can match becomes a tile,
-   so no task holds more than two blocks. Inside a tile numpy compares bitmaps, then arrays, and skips pairs already linked.
-4. The verified links (at most one per set and tile) are contracted to classes.
+3. Leaders: every set is compared with the set it shares most first parts with. This is linear, and
+   connects most of a large group of near copies.
+4. Components that are connected by then are done. In the others only pairs from different connected
+   pieces are left to compare, and none of them within the largest piece. A component is a tile; one of more
+   than ``tile_rows`` sets or ``tile_shingles`` shingles is cut by size band and hash into blocks, and pairs of
+   blocks whose sizes can match become tiles, so no task holds more than two blocks.
+5. Inside a tile numpy compares bitmaps, then arrays, and skips pairs already connected. The verified links
+   (less than one per set and tile) are contracted to classes.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import workspace
@@ -39,8 +43,8 @@ class JaccardJoin:
     threshold: int = 90
     shingle: int = 3
     lower: bool = True
-    tile_rows: int = 4096
-    tile_shingles: int = 4_000_000
+    tile_rows: int = 1024
+    tile_shingles: int = 1_000_000
 
     def most_differing(self, total: int) -> int:
         """Largest symmetric difference of two linked sets whose sizes add up to ``total``."""
@@ -165,13 +169,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = new_set & ~new_part
         part, last, first = p[-1], s[-1], head[-1]
         if keep.any():
-            yield pa.RecordBatch.from_pandas(_distinct(n[keep], head[keep]), preserve_index=False)
-
-
-def _distinct(a: np.ndarray, b: np.ndarray):
-    import pandas as pd
-
-    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            pairs, times = np.unique(np.stack([n[keep], head[keep]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times.astype(np.int64))], ["a", "b", "n"])
 
 
 def bitmap(found: np.ndarray, bits: int) -> np.ndarray:
@@ -187,10 +186,13 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def linked_pairs(sets: list[np.ndarray], rule: JaccardJoin, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked_pairs(
+    sets: list[np.ndarray], rule: JaccardJoin, left: np.ndarray | None = None, piece: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
     """Links that connect all linked sets of a tile; pairs already connected are not compared again.
 
     ``left`` (0 or 1 for each set): only pairs from different sides are compared, for a tile of two blocks.
+    ``piece``: sets with the same number are connected from the start.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -202,6 +204,9 @@ def linked_pairs(sets: list[np.ndarray], rule: JaccardJoin, left: np.ndarray | N
     sorted_sizes = sizes[order]
     side = None if left is None else left[order]
     root = np.arange(n)
+    if piece is not None:
+        _, head, which = np.unique(piece[order], return_index=True, return_inverse=True)
+        root = head[which]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -241,13 +246,13 @@ def _tile_links(rule: JaccardJoin) -> Callable:
         for _, _, data, offsets in tokens.chunks(text):
             sets += shingle_sets(data, offsets, rule)
         sides = np.array([r[2] for r in rows])
-        pairs = linked_pairs(sets, rule, None if (sides < 0).all() else sides)
+        pairs = linked_pairs(sets, rule, None if (sides < 0).all() else sides, np.array([r[3] for r in rows]))
         return [(rows[i][0], rows[j][0]) for i, j in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows, out = None, [], []
         for batch in batches:
-            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "text", "side")), strict=True):
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "text", "side", "piece")), strict=True):
                 if t != tile:
                     out += solve(rows) if len(rows) > 1 else []
                     tile, rows = t, []
@@ -261,41 +266,51 @@ def _tile_links(rule: JaccardJoin) -> Callable:
     return run
 
 
-def _tiles(members: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(node, tile, side): the tiles each set takes part in; side -1 means that all pairs of the tile count."""
+def _cut(rows: Column, shingles: Column, rule: JaccardJoin) -> Column:
+    """Into how many blocks sets are cut; two blocks keep within the limits of a tile."""
+    return F.ceil(F.greatest(rows / rule.tile_rows, shingles / rule.tile_shingles) * 2).cast("long")
+
+
+def _leader_tiles(stars: DataFrame, members: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece): every set with the one it shares most parts with as their first set."""
+    led = stars.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("leader")).join(members, "node")
+    cuts = led.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).select(
+        "leader", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
+    followers = led.join(cuts, "leader").select(
+        "node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cut"))).alias("tile"), F.lit(1).alias("side"))
+    leaders = cuts.select(F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("k")).select(
+        "node", F.xxhash64("node", "k").alias("tile"), F.lit(0).alias("side"))
+    return followers.unionByName(leaders).withColumn("piece", F.col("node"))
+
+
+def _open_tiles(members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece) for components of several connected pieces; side -1: all pairs of the tile count."""
+    named = members.join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    sizes = named.groupBy("label", "piece").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    total = sizes.groupBy("label").agg(
+        F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("pieces"),
+        F.max_by("piece", F.struct("rows", -F.col("piece"))).alias("main")).where("pieces > 1")
+    fits = (F.col("rows") <= rule.tile_rows) & (F.col("shingles") <= rule.tile_shingles)
     # linked sizes differ by less than one step of this base, so they are in the same or in adjacent bands
     step = math.log(100 / rule.threshold) * 1.0001 if rule.threshold < 100 else 1.0
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / step).alias("band")
-    members = members.select("node", "label", "n_shingles", band)
-    counts = members.groupBy("label", "band").agg(F.count("*").alias("n_band"), F.sum("n_shingles").alias("s_band"))
-    total = counts.groupBy("label").agg(F.sum("n_band").alias("n_all"), F.sum("s_band").alias("s_all"))
-    fits = (F.col("n_all") <= rule.tile_rows) & (F.col("s_all") <= rule.tile_shingles)
-    small = members.join(total.where(fits).select("label"), "label").select(
-        "node", F.xxhash64("label").alias("tile"), F.lit(-1).alias("side"))
-    blocks = F.greatest(F.col("n_band") / rule.tile_rows, F.col("s_band") / rule.tile_shingles) * 2
-    cuts = counts.join(total.where(~fits).select("label"), "label").select("label", "band", F.ceil(blocks).cast("long").alias("cut"))
-    beside = cuts.select("label", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up")).unionByName(
-        cuts.select("label", "band", F.lit(0).cast("long").alias("cut_up"))).groupBy("label", "band").agg(F.max("cut_up").alias("cut_up"))
-    below = cuts.select("label", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
-    around = cuts.join(beside, ["label", "band"], "left").join(below, ["label", "band"], "left").na.fill(0)
-    own = F.pmod(F.xxhash64("node"), F.col("cut"))
-    split = members.join(around, ["label", "band"]).withColumn("own", own)
-
-    def name(low_band, low, high_band, high):
-        return F.xxhash64("label", low_band, low, high_band, high)
-
-    here, up, down = F.col("band"), F.col("band") + 1, F.col("band") - 1
-    parts = [
-        # pairs of blocks of the own band, the block with itself among them
-        F.transform(F.expr("sequence(0L, cut - 1)"), lambda k: F.struct(
-            name(here, F.least(k, F.col("own")), here, F.greatest(k, F.col("own"))).alias("tile"),
-            F.when(k == F.col("own"), -1).when(k > F.col("own"), 0).otherwise(1).alias("side"))),
-        F.when(F.col("cut_up") > 0, F.transform(F.expr("sequence(0L, greatest(cut_up, 1L) - 1)"), lambda k: F.struct(
-            name(here, F.col("own"), up, k).alias("tile"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>")),
-        F.when(F.col("cut_down") > 0, F.transform(F.expr("sequence(0L, greatest(cut_down, 1L) - 1)"), lambda k: F.struct(
-            name(down, k, here, F.col("own")).alias("tile"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>")),
-    ]
-    split = split.select("node", F.explode(F.concat(*parts)).alias("at")).select("node", "at.tile", "at.side")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
+    rows = named.join(total.select("label", "main", fits.alias("fits")), "label").select(
+        "node", "label", "piece", "n_shingles", "fits", band.alias("band"), (F.col("piece") == F.col("main")).alias("main"))
+    small = rows.where("fits").select("node", F.xxhash64("label").alias("tile"), F.lit(-1).alias("side"), "piece")
+    large = rows.where("not fits")
+    cuts = large.groupBy("label", "band", "main").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).select(
+        "label", "band", "main", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
+    mine = large.join(cuts, ["label", "band", "main"]).select(
+        "node", "label", "piece", F.struct("band", "main", F.pmod(F.xxhash64("node"), F.col("cut")).alias("k")).alias("own"))
+    around = mine.withColumn("near_band", F.explode(F.array(*[F.col("own.band") + d for d in (-1, 0, 1)])))
+    other = cuts.select("label", F.col("band").alias("near_band"), F.col("main").alias("near_main"), "cut")
+    met = around.join(other, ["label", "near_band"]).where("not (own.main and near_main)").withColumn(
+        "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
+    block = F.struct(F.col("near_band").alias("band"), F.col("near_main").alias("main"), "k")
+    met = met.withColumn("block", block).withColumn("low", F.least("own", "block")).withColumn("high", F.greatest("own", "block"))
+    split = met.select(
+        "node", F.xxhash64("label", "low", "high").alias("tile"),
+        F.when(F.col("low") == F.col("high"), -1).when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"), "piece")
     return small.unionByName(split)
 
 
@@ -315,14 +330,22 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
     classes = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("node"))
     keys = docs.mapInArrow(_key_rows(rule), KEYS)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = keys.repartition(width, "part").sortWithinPartitions("part", "set_id", "node").mapInArrow(_stars, "a long, b long")
-    groups = components(stars.distinct(), "a", "b")
+    stars = keys.repartition(width, "part").sortWithinPartitions("part", "set_id", "node").mapInArrow(_stars, "a long, b long, n long")
+    stars = workspace.written(stars.groupBy("a", "b").agg(F.sum("n").alias("n")), "near_stars")
+    groups = components(stars, "a", "b")
     members = workspace.written(classes.join(groups, "node").select("node", "label", "n_shingles"), "near_members")
-    placed = _tiles(members, rule)
     texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node")
-    rows = texts.join(placed, "node").select("tile", "node", "text", "side")
-    links = rows.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_tile_links(rule), "a long, b long")
-    found = components(links, "a", "b")
+    # from here on only the texts that share a part with another one
+    texts = workspace.written(texts.join(members.select("node"), "node"), "near_texts")
+
+    def compared(placed: DataFrame) -> DataFrame:
+        rows = texts.join(placed, "node").select("tile", "node", "text", "side", "piece")
+        links = rows.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_tile_links(rule), "a long, b long")
+        return workspace.written(links, "near_links")
+
+    led = compared(_leader_tiles(stars, members, rule))
+    rest = compared(_open_tiles(members, components(led, "a", "b"), rule))
+    found = components(led.unionByName(rest), "a", "b")
     named = classes.join(found, "node", "left").select("set_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return sets.join(named, ["set_id", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
