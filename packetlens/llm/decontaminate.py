@@ -42,7 +42,7 @@ class Decontamination:
     size_step: float = 1.25
     seed: int = 20240229
     block_bytes: int = 8 << 20
-    chunk_bytes: int = 2 << 20
+    chunk_bytes: int = 1 << 20
 
     def edits(self, n: int) -> int:
         return int((1 - self.similarity) * n + 1e-9)

@@ -37,7 +37,7 @@ class Repeats:
     window: int = 35
     seed: int = 6
     hot: int = 20_000
-    chunk_bytes: int = 2 << 20
+    chunk_bytes: int = 1 << 20
 
 
 def minimisers(hashes: np.ndarray, first: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
