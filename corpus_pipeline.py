@@ -21,9 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Looser than op9's contract: copies with a changed word in fifty, or with a fifth of text added, are near copies here.
+NEAR = jaccard.JaccardJoin(threshold=80, shingle=5)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram links connect, the one with the smallest doc_id stays; rows without id stay."""
-    found = jaccard.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, NEAR)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

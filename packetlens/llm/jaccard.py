@@ -90,7 +90,8 @@ def part_keys(found: np.ndarray, rule: JaccardJoin) -> np.ndarray:
             continue
         # a set of the band and any partner that may be linked with it
         differing = rule.most_differing(upper + 100 * upper // rule.threshold)
-        spare = 1 + differing // 8
+        # below 90 percent parts are smaller and more of them empty; spare ones keep sets from meeting by empty parts
+        spare = 1 + (differing // 8 if rule.threshold >= 90 else differing // 4 + math.isqrt(differing))
         parts = differing + 1 + spare
         seed = np.uint64(band * 1_000_003 + 17)
         place = (((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)

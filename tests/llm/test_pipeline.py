@@ -60,3 +60,19 @@ def test_stages_take_odd_and_empty_tables(spark):
             if (name, stage) != P.STAGES[-1]:
                 assert docs.columns == columns, name
         assert docs.columns == ["doc_id", "n_tokens", "token_ids"]
+
+
+def test_near_duplicate_stage_drops_copies_between_80_and_90_percent(spark):
+    rows = []
+    for n in range(4):
+        base = texts.prose(n, 400, 5000).split()
+        edited = [f"new{n}x{k}" if k % 50 == 25 else w for k, w in enumerate(base)]   # a word in fifty is replaced
+        longer = base + texts.prose(100 + n, 72, 5000).split()                        # 18 percent are added
+        apart = [f"far{n}x{k}" if k % 20 == 10 else w for k, w in enumerate(base)]    # a word in twenty: no near copy
+        rows += [(10 * n + k, " ".join(w)) for k, w in enumerate((base, edited, longer, apart))]
+    sets = {k: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+    for n in range(0, 40, 10):
+        like = [len(sets[n] & sets[n + k]) / len(sets[n] | sets[n + k]) for k in (1, 2, 3)]
+        assert 0.8 <= like[0] < 0.9 and 0.8 <= like[1] < 0.9 and like[2] < 0.8
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    assert {r.doc_id for r in kept.collect()} == {n + k for n in range(0, 40, 10) for k in (0, 3)}
