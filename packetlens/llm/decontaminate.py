@@ -4,11 +4,13 @@ The CGK random walk maps edit distance to Hamming distance: a word sequence is r
 after each step the walk stays on its word or goes on, by a random bit of (step, word). Two sequences
 that differ by few edits give outputs that agree at most steps. Bit sampling LSH keeps ``sampled`` steps
 of the output as a key; windows the size of an item are looked up by key, in as many repetitions as
-the target recall needs at the largest allowed distance (measured on edited items when the probe is built).
+the target recall needs at the largest allowed distance (measured when the probe is built, on edited copies of
+all items, for each item size by itself).
 Every hit is verified by the exact edit distance.
 
 Two bounds say which windows cannot match, so that they need not be embedded; nothing is lost by them. A
 match keeps all but ``edits`` words of an item, and so at least one run of words / (edits + 1) words unchanged.
+A window may start with any word, as an item's first word may be the edited one.
 
 Items are a query set: they are read in blocks of bounded size, and each block is sent to all tasks.
 """
@@ -16,6 +18,7 @@ Items are a query set: they are read in blocks of bounded size, and each block i
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -32,7 +35,8 @@ from . import tokens
 class Decontamination:
     """Settings: a passage leaks if at most 1 - ``similarity`` of the item's words are edited.
 
-    Items of fewer than ``min_words`` words say nothing about a document and are not searched.
+    Items of fewer than ``min_words`` words say nothing about a document and are not searched. The recall is measured
+    on at least ``copies`` edited copies of the items of each size.
     """
 
     similarity: float = 0.8
@@ -41,6 +45,7 @@ class Decontamination:
     min_words: int = 5
     size_step: float = 1.25
     seed: int = 20240229
+    copies: int = 256
     block_bytes: int = 8 << 20
     chunk_bytes: int = 1 << 20
 
@@ -160,9 +165,11 @@ class Probe:
         edited = self._edited(places)
         rng = np.random.default_rng(self.rule.seed)
         missed = np.ones(len(edited[1]))
+        _, kind = np.unique(np.array(sizes)[edited[3]], return_inverse=True)
+        copies = np.bincount(kind)
         repetition = 0
-        # repeat until the edited copies are found with the target recall
-        while missed.mean() > 1 - self.rule.recall or repetition < 4:
+        # repeat until the edited copies of every size are found with the target recall
+        while repetition < 4 or (np.bincount(kind, missed) > (1 - self.rule.recall) * copies).any():
             seed = self.rule.seed + 1000 * repetition + int(places[0])
             length = min(walk_length(self.items[i], seed) for i in places)
             steps = np.sort(rng.choice(length, min(self.rule.sampled, length), replace=False))
@@ -176,19 +183,19 @@ class Probe:
         return found
 
     def _edited(self, places: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Copies of items with as many random edits as are allowed, followed by other words."""
+        """Copies of all items with as many random edits as are allowed, at any place, followed by other words."""
         rng = np.random.default_rng(self.rule.seed + 1)
         parts, starts, stops, owners, at = [], [], [], [], 0
-        for turn in range(max(1, 256 // len(places))):
-            for k, i in enumerate(places[:256]):
+        alike = Counter(len(self.items[i]) for i in places)
+        for k, i in enumerate(places):
+            for _ in range(-(-self.rule.copies // alike[len(self.items[i])])):
                 words = list(self.items[i])
-                # the first word stays: a match is looked for from a word that both have
                 for _ in range(self.rule.edits(len(words))):
-                    kind, place = rng.integers(3), 1 + int(rng.integers(max(1, len(words) - 1)))
+                    kind, place = rng.integers(3), int(rng.integers(max(1, len(words))))
                     if kind == 0:
                         words[place:place + 1] = [rng.integers(1 << 63)]
-                    elif kind == 1:
-                        words.insert(place, rng.integers(1 << 63))
+                    elif kind == 1:  # a word before the first is outside of the passage
+                        words.insert(place + 1, rng.integers(1 << 63))
                     else:
                         del words[place:place + 1]
                 words += list(rng.integers(1 << 63, size=len(words)))
@@ -243,7 +250,7 @@ class Probe:
                 known[self._members(hashes, self.vocabulary)[0]] = True
                 kept = np.concatenate([[0], np.cumsum(known)])
             stop = np.minimum(at + group.reach, row_end[at])
-            enough = known[at] & (kept[stop] - kept[at] >= group.least)
+            enough = kept[stop] - kept[at] >= group.least
             at, stop = at[enough], stop[enough]
             if not len(at):
                 continue

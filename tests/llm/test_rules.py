@@ -390,3 +390,26 @@ def test_recall_at_the_largest_distance():
     for a, _, data, offsets in tokens.chunks(pa.array(rows)):
         hits |= {(a + r, i) for r, i, *_ in probe.search(decontaminate.words_of(data, offsets))}
     assert sum((r, k) in hits for r, k in enumerate(want)) >= 0.9 * len(want)
+
+
+def test_recall_where_the_first_word_is_replaced():
+    """As many edits as allowed at different places, the first word among them; each size is calibrated on copies of all items."""
+    rng = np.random.default_rng(5)
+    items = [texts.prose(3000 + k, 14 + k, 3000) for k in range(40)]
+    rule = decontaminate.Decontamination()
+    probe = decontaminate.Probe(list(range(40)), items, rule)
+    rows, want = [], []
+    for k, text in enumerate(items):
+        for copy in range(40):
+            w = letters(text)
+            for at in sorted(rng.choice(np.arange(1, len(w)), rule.edits(len(w)) - 1, replace=False), reverse=True):
+                w[at:at + 1] = [[f"zz{rng.integers(99)}"], [w[at], f"zz{rng.integers(99)}"], []][int(rng.integers(3))]
+            rows.append(" ".join(["before"] * 9 + [f"yy{copy}", *w[1:]] + ["after"] * 9))
+            want.append(k)
+    hits = set()
+    for a, _, data, offsets in tokens.chunks(pa.array(rows)):
+        hits |= {(a + r, i) for r, i, *_ in probe.search(decontaminate.words_of(data, offsets))}
+    assert sum((r, k) in hits for r, k in enumerate(want)) >= 0.99 * len(want)
+    places = np.arange(40)
+    assert set(probe._edited(places)[3]) == set(places)
+    assert set(decontaminate.Probe(list(range(300)), [texts.prose(k, 20) for k in range(300)], rule)._edited(np.arange(300))[3]) == set(range(300))
