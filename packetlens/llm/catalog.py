@@ -77,7 +77,7 @@ def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_masked_lm(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    return lm.score(docs, lm.fit(docs)).select(
+    return lm.score_by_words(docs, lm.fit(docs)).select(
         "doc_id", "n_words", F.round("log_likelihood", 6).alias("log_likelihood"), F.round("per_word", 9).alias("per_word"))
 
 

@@ -1,9 +1,14 @@
 """Masked pseudo-likelihood: how well each word of a text follows from the words on both sides.
 
-Words are hashed to a fixed vocabulary; the most frequent entries are classes of their own, the
+For the network, words are hashed to a fixed vocabulary; the most frequent entries are classes of their own, the
 others share some. A small bidirectional network reads the class of the word before and after a masked
 place and gives the distribution of the class there; inside a class, words have their corpus frequency.
 
+The conditional of a word is how often it stands between the same two words elsewhere in the corpus, smoothed by
+a small network (``score_by_words``). These counts are keyed by the words themselves and grow with the corpus: each chunk
+of texts sends its distinct triples, as 8 bytes (40 bits of the context beside its bucket, 24 of the word), to buckets by
+context, and gets the counts back in the order in which it sent them. A hot triple is one entry for each chunk.
+
 All the network ever sees of the corpus is how often each class stands between each two others. These
 counts are taken over the whole corpus in Spark, so the network is trained in numpy on all of it, by full
 gradients, and does not depend on partitioning. Their number is fixed by the settings, not by the data.
@@ -17,15 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 
+_WORD = np.uint64((1 << 24) - 1)
+
 
 @dataclass(frozen=True)
 class MaskedLm:
-    """Settings: ``bits`` of the word hash are kept; class 0 is a text's border."""
+    """Settings: ``bits`` of the word hash are kept; class 0 is a text's border.
+
+    The network counts as much as ``weight`` occurrences of a context. A bucket has about ``bucket_words`` words.
+    """
 
     bits: int = 18
     frequent: int = 48
@@ -34,6 +45,8 @@ class MaskedLm:
     steps: int = 150
     rate: float = 0.05
     seed: int = 7
+    weight: float = 4.0
+    bucket_words: int = 1 << 21
 
     @property
     def classes(self) -> int:
@@ -46,6 +59,7 @@ class LmModel:
     inside: np.ndarray       # log-probability of each entry within its class
     between: np.ndarray      # log-probability of a class, by the classes before, at and after it
     rule: MaskedLm
+    total: int = 0           # words of the corpus
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +67,19 @@ def _codes(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
     return (words.hashes() >> np.uint64(64 - bits)).astype(np.int64), words.first
 
 
-def _cells(classes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """One number for each word: the classes before, at and after it."""
-    before, after = np.zeros_like(classes), np.zeros_like(classes)
-    before[1:], after[:-1] = classes[:-1], classes[1:]
+def _neighbours(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values before and after each word; 0 beyond a text's border."""
+    before, after = np.zeros_like(values), np.zeros_like(values)
+    before[1:], after[:-1] = values[:-1], values[1:]
     full = first[:-1] < first[1:]
     before[first[:-1][full]] = 0
     after[first[1:][full] - 1] = 0
+    return before, after
+
+
+def _cells(classes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """One number for each word: the classes before, at and after it."""
+    before, after = _neighbours(classes, first)
     return (before * n + classes) * n + after
 
 
@@ -130,7 +150,7 @@ def fit(docs: DataFrame, rule: MaskedLm = MaskedLm()) -> LmModel:
     cells = _counted(docs, rule, word_class)
     smooth = words + 0.5
     inside = np.log(smooth / np.bincount(word_class, smooth)[word_class])
-    return LmModel(word_class, inside, train_network(cells.reshape([rule.classes] * 3), rule).reshape(-1), rule)
+    return LmModel(word_class, inside, train_network(cells.reshape([rule.classes] * 3), rule).reshape(-1), rule, int(words.sum()))
 
 
 def _score_rows(model: LmModel) -> Callable:
@@ -156,3 +176,142 @@ def score(docs: DataFrame, model: LmModel) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_score_rows(model), "doc_id long, n_words long, log_likelihood double")
     return found.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+
+
+@dataclass
+class _Triples:
+    """Distinct (before, word, after) of a chunk, ordered by bucket."""
+
+    keys: np.ndarray
+    times: np.ndarray
+    edges: np.ndarray   # keys of bucket i are edges[i]:edges[i + 1]
+    place: np.ndarray   # of each word, among the keys
+
+
+def _triples(data: np.ndarray, offsets: np.ndarray, buckets: int) -> _Triples:
+    words = tokens.split_words(tokens.lower_ascii(data), offsets, tokens.is_letter(data))
+    hashes = words.hashes()
+    before, after = _neighbours(hashes, words.first)
+    context = tokens.mix(tokens.mix(before + np.uint64(1)) + after)
+    keys, index, place, times = np.unique(
+        (context & ~_WORD) | (hashes >> np.uint64(40)), return_index=True, return_inverse=True, return_counts=True)
+    bucket = ((context[index] & _WORD) * np.uint64(buckets)) >> np.uint64(24)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return _Triples(keys[order], times[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[place])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Numbered chunks of a task's rows; the same whenever the same rows are read."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for a, b, data, offsets in tokens.chunks(batch.column("text")):
+            yield number, batch.slice(a, b - a), data, offsets
+            number += 1
+
+
+def _triple_rows(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, data, offsets in _chunks(batches):
+            found = _triples(data, offsets, buckets)
+            full = np.flatnonzero(np.diff(found.edges))
+            spans = list(zip(found.edges[full].tolist(), found.edges[full + 1].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array(np.full(len(full), number), pa.int64()),
+                 pa.array([found.keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                 pa.array([found.times[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())],
+                ["bucket", "chunk", "keys", "times"])
+    return run
+
+
+def elsewhere(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key's word, and any word, stands in its context, the place itself left out."""
+    names, which = np.unique(keys, return_inverse=True)
+    n = np.bincount(which, times, len(names))
+    context = np.cumsum(np.diff(names >> np.uint64(24), prepend=names[:1] >> np.uint64(24)) != 0)
+    return n[which] - 1, np.bincount(context, n)[context][which] - 1
+
+
+def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: for each chunk the counts of its keys, in their order."""
+    bucket, rows = None, []
+
+    def solve() -> pa.RecordBatch:
+        keys = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
+        found = np.stack(elsewhere(np.concatenate(keys), np.concatenate([np.frombuffer(t, np.uint32) for *_, t in rows])), axis=1)
+        ends = np.cumsum([len(k) for k in keys])
+        found = found.astype(np.float32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for c, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()),
+             pa.array([found[e - len(k):e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())], ["chunk", "at", "counts"])
+
+    for batch in batches:
+        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "times")), strict=True):
+            if b != bucket:
+                if rows:
+                    yield solve()
+                bucket, rows = b, []
+            rows.append(row)
+    if rows:
+        yield solve()
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by chunk; their places are negative, so that they sort before the counts."""
+    for number, rows, _, _ in _chunks(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rows), number), pa.int64()), pa.array(np.arange(len(rows)) - len(rows), pa.int64()),
+             rows.column("doc_id"), rows.column("text")], ["chunk", "at", "doc_id", "text"])
+
+
+def _joined_rows(model: LmModel, buckets: int) -> Callable:
+    def solve(ids: list, text: list, counts: list) -> pa.RecordBatch:
+        (_, _, data, offsets), = tokens.chunks(pa.array(text, pa.large_string()), 1 << 62)
+        found = _triples(data, offsets, buckets)
+        n, total = np.frombuffer(b"".join(counts), np.float32).reshape(-1, 2).astype(np.float64).T
+        if len(n) != len(found.keys):
+            raise ValueError("the texts were not read in the same order again; write them to a table first")
+        codes, first = _codes(data, offsets, model.rule.bits)
+        network = model.between[_cells(model.word_class[codes], first, model.rule.classes)] + model.inside[codes]
+        weight = model.rule.weight
+        terms = np.log((n[found.place] + weight * np.exp(network)) / (total[found.place] + weight))
+        sums = [float(terms[s:e].sum()) for s, e in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(sums, pa.float64())],
+            ["doc_id", "n_words", "log_likelihood"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, text, counts = None, [], [], []
+        for batch in batches:
+            for c, at, doc, words, found in zip(*(batch.column(c).to_pylist() for c in ("chunk", "at", "doc_id", "text", "counts")), strict=True):
+                if c != chunk:
+                    if text:
+                        yield solve(ids, text, counts)
+                    chunk, ids, text, counts = c, [], [], []
+                if at < 0:
+                    ids.append(doc)
+                    text.append(words)
+                else:
+                    counts.append(found)
+        if text:
+            yield solve(ids, text, counts)
+    return run
+
+
+def score_by_words(docs: DataFrame, model: LmModel) -> DataFrame:
+    """Like ``score``, with each word's conditional from the counts of ``docs``, smoothed by the network of ``model``.
+
+    p = (n + weight * p of the network) / (N + weight): between the same two words, the word stands n times and any
+    word N times at other places of ``docs``. ``docs`` is read twice and must give its rows in the same order, as tables do.
+    """
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 24, max(width, -(-model.total // model.rule.bucket_words)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = rows.mapInArrow(_triple_rows(buckets), "bucket int, chunk long, keys binary, times binary")
+    sent = sent.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int")).sortWithinPartitions("bucket", "chunk")
+    counts = sent.mapInArrow(_answer_rows, "chunk long, at long, counts binary")
+    texts = rows.mapInArrow(_text_rows, "chunk long, at long, doc_id long, text string")
+    both = texts.unionByName(counts, allowMissingColumns=True).repartition(width, "chunk").sortWithinPartitions("chunk", "at")
+    found = both.mapInArrow(_joined_rows(model, buckets), "doc_id long, n_words long, log_likelihood double")
+    return found.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -111,6 +111,46 @@ def test_lm_learns_and_ignores_layout(spark):
     assert lm.score(texts.empty(spark), empty).count() == 0
 
 
+def test_lm_counts_by_words(spark):
+    """Each word by how often it stands between the same two words elsewhere, by plain loops."""
+    rows = [(r[0], r[1]) for r in texts.odd_rows()] + [(100 + k, texts.prose(k, 80, 3)) for k in range(30)]
+    # rare words that follow from both sides; a model of 64 classes cannot tell them from others of their class
+    rows += [(200 + k, " ".join(f"left{j} mid{j if k < 10 else (j + k) % 300} right{j}" for j in range(300))) for k in range(12)]
+    path_rows = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    rule = lm.MaskedLm(bits=12, steps=20, bucket_words=500)
+    model = lm.fit(path_rows, rule)
+    lines = []
+    for _, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        w = tokens.split_words(tokens.lower_ascii(data), np.array([0, len(data)]), tokens.is_letter(data))
+        lines.append([0, *w.hashes().tolist(), 0])
+    triple, context = {}, {}
+    for line in lines:
+        for b, w, a in zip(line, line[1:-1], line[2:]):
+            triple[b, w, a] = triple.get((b, w, a), 0) + 1
+            context[b, a] = context.get((b, a), 0) + 1
+    between = model.between.reshape([rule.classes] * 3)
+    want = {}
+    for (doc, _), line in zip(rows, lines, strict=True):
+        total = 0.0
+        codes = [h >> (64 - rule.bits) for h in line[1:-1]]
+        kinds = [0, *(int(model.word_class[c]) for c in codes), 0]
+        for k, (b, w, a) in enumerate(zip(line, line[1:-1], line[2:])):
+            network = np.exp(between[kinds[k], kinds[k + 1], kinds[k + 2]] + model.inside[codes[k]])
+            total += np.log((triple[b, w, a] - 1 + rule.weight * network) / (context[b, a] - 1 + rule.weight))
+        want.setdefault(doc, []).append((len(line) - 2, total))
+    found = {}
+    for r in lm.score_by_words(path_rows, model).collect():
+        assert (r.per_word is None) == (r.n_words == 0)
+        found.setdefault(r.doc_id, []).append((r.n_words, r.log_likelihood))
+    assert set(found) == set(want)
+    for doc, values in want.items():
+        for (n, x), (m, y) in zip(sorted(values), sorted(found[doc]), strict=True):
+            assert n == m and np.isclose(x, y, rtol=1e-6, atol=1e-6)
+    assert found[200][0][1] > found[211][0][1] + 300
+    assert lm.score_by_words(texts.empty(spark), lm.fit(texts.empty(spark), rule)).count() == 0
+
+
 def toxic_rows(n=900):
     rng = random.Random(5)
     insults = ["clodpate", "numskull", "dunderhead"]
