@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import workspace
-from . import bpe, chat, decontaminate, jaccard, lm, pii, quality, resharding, substrings, toxicity
+from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, substrings, toxicity
 from .oracles import ORACLES, SAYING
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,6 +90,14 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    rule = middle.FillInMiddle()
+    found = middle.fill_in_middle(read(spark, sf, "documents").select("doc_id", "text"), rule)
+    return found.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(middle.restored(F.col("output"), F.col("form"), rule)).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_decontamination": op2_decontamination,
@@ -101,4 +109,5 @@ QUERIES: dict[str, Query] = {
     "op8_masked_lm": op8_masked_lm,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }

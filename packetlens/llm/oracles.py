@@ -103,9 +103,31 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     not base_failed and judged.rid not in (select rid from over_) as kept from judged"""
 
 
+MIDDLE = """
+with docs as (
+    select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents),
+drawn as (
+    select *, cast('0x' || h[1:8] as bigint) % (n + 1) as a, cast('0x' || h[9:16] as bigint) % (n + 1) as b,
+        case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+            or cast('0x' || h[17:24] as bigint) % 100 >= 90 then 'plain'
+            when cast('0x' || h[25:32] as bigint) % 100 < 20 then 'spm' else 'psm' end as form
+    from docs),
+cut as (
+    select *, substr(text, 1, least(a, b)) as p, substr(text, least(a, b) + 1, abs(a - b)) as m, substr(text, greatest(a, b) + 1) as s
+    from drawn)
+select doc_id, n, form, case when form <> 'plain' then least(a, b) end as prefix_chars,
+    case when form <> 'plain' then abs(a - b) end as middle_chars,
+    sha256(case form when 'plain' then text when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m
+        else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256
+from cut"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat": CHAT,
     "op5_quality": _quality(QualityRules()),
     "op7_repeats": REPEATS,
     "op9_near_duplicates": NEAR,
+    "op11_fill_in_middle": MIDDLE,
 }
