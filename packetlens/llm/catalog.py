@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import workspace
-from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, substrings, toxicity
+from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, substrings, token_counts, toxicity
 from .oracles import ORACLES, SAYING
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,6 +98,12 @@ def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
         digest(F.col("output")).alias("output_sha256"), digest(middle.restored(F.col("output"), F.col("form"), rule)).alias("restored_sha256"))
 
 
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = token_counts.Tokenizer.load(public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_counts.count_tokens(read(spark, sf, "documents"), tokenizer)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_decontamination": op2_decontamination,
@@ -110,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
 }
