@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import workspace
-from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, substrings, token_counts, toxicity
+from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, spelling, substrings, token_counts, toxicity
 from .oracles import ORACLES, SAYING
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -104,6 +104,11 @@ def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(read(spark, sf, "documents"), spelling.Spelling(drop_every=31)).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_decontamination": op2_decontamination,
@@ -117,4 +122,5 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_counts": op12_token_counts,
+    "op13_spelling": op13_spelling,
 }

@@ -124,10 +124,49 @@ select doc_id, n, form, case when form <> 'plain' then least(a, b) end as prefix
 from cut"""
 
 
+# CRC-32 by a table made in the query; letters beyond ASCII take two bytes
+SPELLING = rf"""
+with recursive crc_table as (
+    select list(list_reduce([i::ubigint, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end) order by i) as t from range(256) r(i)),
+runs as (
+    select rid, doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run
+    from (select row_number() over () as rid, * from documents)),
+said as (select rid, doc_id, run, count(*) as n from runs where length(run) >= 7 group by all),
+drawn as (
+    select run, n, xor(list_reduce(
+        list_prepend(4294967295::ubigint, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''),
+            lambda c: case when unicode(c) < 128 then [unicode(c)::ubigint] else [195::ubigint, (unicode(c) - 64)::ubigint] end))),
+        lambda a, b: xor(a >> 8, t[(1 + (xor(a, b) & 255))::int])), 4294967295::ubigint) as h
+    from said, crc_table),
+words as (
+    select word, sum(n)::bigint as n
+    from (select n, case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from drawn)
+    where length(word) >= 7 group by word having sum(n) >= 2),
+cut as (
+    select word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) as gap, substr(word, 1, i - 1) || substr(word, i + 1) as less
+    from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+    select a.word, b.word as other, b.n as other_n from cut a join cut b on a.gap = b.gap and a.word <> b.word
+    union select l.word, s.word, s.n from cut l join words s on s.word = l.less
+    union select s.word, l.word, l.n from cut l join words s on s.word = l.less),
+best as (
+    select word, count(*) as n_near, arg_min(struct_pack(other, other_n), struct_pack(m := -other_n, other)) as top from near group by word),
+forms as (
+    select words.word, words.n, coalesce(n_near, 0) as n_near, case when top.other_n >= 10 * n then top.other end as form,
+        case when top.other_n >= 10 * n then top.other_n end as form_n
+    from words left join best using (word)),
+walk as (
+    select word, coalesce(form, word) as here, 0 as step from forms
+    union all select walk.word, forms.form, step + 1 from walk join forms on forms.word = walk.here where forms.form is not null)
+select word, form, arg_max(here, step) as root, n, n_near, form_n from forms join walk using (word) group by all"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat": CHAT,
     "op5_quality": _quality(QualityRules()),
     "op7_repeats": REPEATS,
     "op9_near_duplicates": NEAR,
     "op11_fill_in_middle": MIDDLE,
+    "op13_spelling": SPELLING,
 }
