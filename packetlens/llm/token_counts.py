@@ -1,17 +1,19 @@
 """Token counts of texts from counts of their pre-tokens, without any list of ids.
 
-1. Each task cuts its texts into pre-tokens and writes, for a few megabytes of text at a time, how often each document
-   has each of them: numbers into a list of the chunk's distinct pre-tokens. The texts are read once and never shuffled.
-2. The distinct pre-tokens of the corpus are found with a partial aggregation in each task; each is encoded once, only
-   to be counted.
-3. Chunks look their lists up by a join, which has at most one row per chunk and pre-token, and sum frequency times
-   pieces by document. A pre-token that stands in every text is one row per chunk there, and Spark may split its rows.
+1. Each task cuts its texts into pre-tokens and writes, for a few megabytes of text at a time (a chunk), the chunk's distinct
+   pre-tokens in the order of a hash, and how often each document has each of them, packed to about three bytes an entry.
+   The texts are read once and never shuffled.
+2. Ranges of the hash are buckets. A chunk sends each bucket the distinct pre-tokens in its range, as one row. There every
+   distinct pre-token of the corpus is encoded once, only to be counted, and each row gets its numbers back in order. A pre-token
+   that stands in every text is one entry for each chunk. The number of buckets follows from the bytes sent.
+3. Chunks join their frequencies with these numbers and sum frequency times pieces by document.
 
 The tokenizer's file is read on the driver; its size does not depend on the data.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -28,10 +30,11 @@ from . import bpe, tokens
 
 CHUNK_BYTES = 4 << 20  # of text behind one row of frequencies
 PART_BYTES = 1 << 20   # of text cut into pre-tokens at once
+BUCKET_BYTES = 16 << 20  # of pre-tokens that are counted together
 
 CHUNKS = (
     "chunk long, doc_id array<long>, n_bytes array<long>, special array<long>, ends array<int>, "
-    "piece array<int>, times array<int>, pieces array<binary>")
+    "gaps binary, times binary, names array<binary>")
 
 
 @dataclass(frozen=True)
@@ -99,7 +102,7 @@ def _readable(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def frequencies(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...], kinds: bpe.Kinds) -> tuple:
-    """Special strings per text, end of each text's entries, their pre-tokens and times, and the distinct pre-tokens."""
+    """Special strings per text, end of each text's entries, their pre-tokens and times, and the distinct pre-tokens by hash."""
     data, offsets = _readable(data, offsets)
     spans = special_spans(data, offsets, special)
     cuts = piece_offsets(data, offsets, spans, kinds)
@@ -114,10 +117,49 @@ def frequencies(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...
     def row_of(places: np.ndarray) -> np.ndarray:
         return np.searchsorted(offsets, places, "right") - 1
 
-    n = max(1, len(named.dictionary))
-    keys, times = np.unique(row_of(starts) * n + which, return_counts=True)
+    order = np.argsort(hashes(named.dictionary), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    n = max(1, len(order))
+    keys, times = np.unique(row_of(starts) * n + place[which], return_counts=True)
     ends = np.searchsorted(keys, np.arange(1, len(offsets)) * n)
-    return np.bincount(row_of(spans[:, 0]), minlength=len(offsets) - 1), ends, keys % n, times, named.dictionary
+    return np.bincount(row_of(spans[:, 0]), minlength=len(offsets) - 1), ends, keys % n, times, named.dictionary.take(pa.array(order))
+
+
+def hashes(names: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values; they only place values, and do not stand for them."""
+    names = names.cast(pa.large_binary())
+    bounds = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
+    raw = names.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0]:bounds[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return tokens.span_hashes(data, bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
+
+
+_GAP, _TIMES = 0xFFFF, 0xFF
+
+
+def packed(ends: np.ndarray, piece: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries as gaps of 16 bits and times of 8; wider ones become several entries, of no times or no gap.
+
+    ``piece`` ascends within each text. Also gives the new ends.
+    """
+    gap = np.diff(piece, prepend=0)
+    heads = np.append(0, ends[:-1])[np.diff(ends, prepend=0) > 0]
+    gap[heads] = piece[heads]
+    bridges, copies = gap // _GAP, -(-times // _TIMES)
+    last = np.append(0, np.cumsum(bridges + copies))
+    gaps, out = np.zeros(last[-1], np.uint16), np.full(last[-1], _TIMES, np.uint8)
+    main = last[:-1] + bridges
+    fill = np.repeat(last[:-1] - np.append(0, np.cumsum(bridges)[:-1]), bridges) + np.arange(bridges.sum()) if len(bridges) else main
+    gaps[fill], out[fill] = _GAP, 0
+    gaps[main], out[main] = gap % _GAP, times - _TIMES * (copies - 1)
+    return gaps, out, last[ends]
+
+
+def unpacked(ends: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The pre-token of each entry."""
+    total = np.append(0, np.cumsum(gaps, dtype=np.int64))
+    return total[1:] - np.repeat(total[np.append(0, ends[:-1])], np.diff(ends, prepend=0))
 
 
 def _chunk_rows(special: tuple[bytes, ...]) -> Callable:
@@ -126,43 +168,66 @@ def _chunk_rows(special: tuple[bytes, ...]) -> Callable:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b, data, offsets in tokens.chunks(batch.column("text"), CHUNK_BYTES):
-                fixed, ends, piece, times, pieces = frequencies(data, offsets, special, kinds)
+                fixed, ends, piece, times, names = frequencies(data, offsets, special, kinds)
+                gaps, few, ends = packed(ends, piece, times)
                 lists = [
                     batch.column("doc_id").slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(fixed, pa.int64()),
-                    pa.array(ends, pa.int32()), pa.array(piece, pa.int32()), pa.array(times, pa.int32()), pieces.cast(pa.binary())]
+                    pa.array(ends, pa.int32()), names.cast(pa.binary())]
+                ids, sizes, fixed, ends, names = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]],
-                    ["chunk", "doc_id", "n_bytes", "special", "ends", "piece", "times", "pieces"])
+                    [pa.array([number], pa.int64()), ids, sizes, fixed, ends, pa.array([gaps.tobytes()]), pa.array([few.tobytes()]), names],
+                    ["chunk", "doc_id", "n_bytes", "special", "ends", "gaps", "times", "names"])
                 number += 1
     return run
 
 
-def _counted_pieces(held: str) -> Callable:
+def _bucket_rows(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer as Library
-
-        model = Library.from_str(held).model
-        shown = {b: c for b, c in enumerate(bpe.byte_characters())}
         for batch in batches:
-            names = batch.column("name")
-            n = [len(model.tokenize(p.decode("latin-1").translate(shown))) for p in names.to_pylist()]
-            yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int32())], ["name", "n"])
+            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
+                names = batch.column("names").slice(k, 1).flatten()
+                place = ((hashes(names) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                edges = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.append(edges[full], len(names)), pa.int32()), names)], ["bucket", "chunk", "names"])
+    return run
+
+
+@functools.lru_cache(maxsize=1)
+def _model(text: str):
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_str(text).model
+
+
+def _answers(text: str) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        model = _model(text)
+        shown = dict(enumerate(bpe.byte_characters()))
+        table = table.combine_chunks()
+        names = table.column("names").combine_chunks()
+        held = names.flatten().dictionary_encode()
+        n = np.array([len(model.tokenize(p.decode("latin-1").translate(shown))) for p in held.dictionary.to_pylist()], np.int32)
+        bounds = np.append(0, np.cumsum(names.value_lengths().to_numpy()))
+        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(n[held.indices.to_numpy()], pa.int32()))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": found})
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):
-            def held(name: str, k: int = k, batch: pa.RecordBatch = batch) -> pa.Array:
-                return batch.column(name).slice(k, 1).flatten()
-
-            found = held("counts")
-            sizes = np.zeros(len(found), np.int64)
-            if len(found):
-                sizes[found.field("at").to_numpy()] = found.field("n").to_numpy()
-            total = np.append(0, np.cumsum(sizes[held("piece").to_numpy()] * held("times").to_numpy()))
-            n = np.diff(total[np.append(0, held("ends").to_numpy())]) + held("special").to_numpy()
-            yield pa.RecordBatch.from_arrays([held("doc_id"), held("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            ids, sizes, fixed, ends, counts = (batch.column(c).slice(k, 1).flatten() for c in ("doc_id", "n_bytes", "special", "ends", "counts"))
+            gaps, times = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("gaps", np.uint16), ("times", np.uint8)))
+            ends = ends.to_numpy()
+            order = np.argsort(counts.field("bucket").to_numpy()) if len(counts) else []
+            parts = counts.field("n")
+            n = np.concatenate([parts[int(i)].values.to_numpy() for i in order]) if len(order) else np.zeros(1, np.int64)
+            total = np.append(0, np.cumsum(n[unpacked(ends, gaps)].astype(np.int64) * times))
+            n = np.diff(total[np.append(0, ends)]) + fixed.to_numpy()
+            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -174,9 +239,11 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = workspace.written(rows.mapInArrow(_chunk_rows(tokenizer.special), CHUNKS), "token_chunks")
-    listed = chunks.select("chunk", F.posexplode("pieces").alias("at", "name"))
-    sizes = listed.select("name").distinct().mapInArrow(_counted_pieces(tokenizer.text), "name binary, n int")
-    counts = listed.join(sizes, "name").groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
-    none = F.array().cast("array<struct<at:int,n:int>>")
-    whole = chunks.drop("pieces").join(counts, "chunk", "left").withColumn("counts", F.coalesce("counts", none))
+    sent = chunks.agg(F.sum(F.expr("aggregate(names, 0L, (s, x) -> s + octet_length(x) + 8)"))).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sent // BUCKET_BYTES))
+    asked = chunks.select("chunk", "names").mapInArrow(_bucket_rows(buckets), "bucket int, chunk long, names array<binary>")
+    told = asked.groupBy("bucket").applyInArrow(_answers(tokenizer.text), "chunk long, bucket int, n array<int>")
+    counts = told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    none = F.array().cast("array<struct<bucket:int,n:array<int>>>")
+    whole = chunks.drop("names").join(counts, "chunk", "left").withColumn("counts", F.coalesce("counts", none))
     return whole.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")

@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import texts
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from packetlens.llm import bpe, catalog, token_counts
@@ -74,3 +77,29 @@ def test_query_counts_as_the_library(spark, library):
     assert len(rows) == len(docs)
     for d, k in zip(docs, n, strict=True):
         assert tuple(rows[d.doc_id]) == (d.doc_id, len((d.text or "").encode()), k, k > 1024)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 300_000), st.integers(1, 2000), max_size=6), min_size=1, max_size=5))
+def test_packed_entries(rows):
+    piece = np.array([p for r in rows for p in sorted(r)], np.int64)
+    times = np.array([r[p] for r in rows for p in sorted(r)], np.int64)
+    ends = np.cumsum([len(r) for r in rows])
+    gaps, few, last = token_counts.packed(ends, piece, times)
+    found = token_counts.unpacked(last, gaps)
+    begin = 0
+    for r, end in zip(rows, last.tolist(), strict=True):
+        total = {}
+        for p, t in zip(found[begin:end].tolist(), few[begin:end].tolist(), strict=True):
+            total[p] = total.get(p, 0) + t
+        assert {p: t for p, t in total.items() if t} == r
+        begin = end
+
+
+def test_buckets_hold_every_name_once():
+    names = pa.array([f"n{k}".encode() for k in range(500)])
+    order = np.argsort(token_counts.hashes(names))
+    names = names.take(pa.array(order))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.ListArray.from_arrays(pa.array([0, 500], pa.int32()), names)], ["chunk", "names"])
+    (out,) = token_counts._bucket_rows(23)(iter([batch]))
+    assert out.column("bucket").to_pylist() == list(range(23)) and out.column("names").flatten().equals(names)
