@@ -30,11 +30,11 @@ from . import bpe, tokens
 
 CHUNK_BYTES = 4 << 20  # of text behind one row of frequencies
 PART_BYTES = 1 << 20   # of text cut into pre-tokens at once
-BUCKET_BYTES = 16 << 20  # of pre-tokens that are counted together
+BUCKET_BYTES = 8 << 20  # of pre-tokens that are counted together
 
 CHUNKS = (
     "chunk long, doc_id array<long>, n_bytes array<long>, special array<long>, ends array<int>, "
-    "gaps binary, times binary, names array<binary>")
+    "gaps binary, times binary, sizes binary, names binary")
 
 
 @dataclass(frozen=True)
@@ -128,37 +128,51 @@ def frequencies(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...
 
 def hashes(names: pa.Array) -> np.ndarray:
     """64-bit hashes of binary values; they only place values, and do not stand for them."""
+    sizes, data = unjoined(names)
+    ends = np.cumsum(sizes)
+    return tokens.span_hashes(data, ends - sizes, ends)
+
+
+def joined(sizes: np.ndarray, data: bytes) -> pa.Array:
+    """Binary values from their sizes and their bytes one after another."""
+    bounds = np.append(0, np.cumsum(sizes))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def unjoined(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     names = names.cast(pa.large_binary())
     bounds = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
     raw = names.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[bounds[0]:bounds[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
-    return tokens.span_hashes(data, bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
+    return np.diff(bounds), data
 
 
-_GAP, _TIMES = 0xFFFF, 0xFF
+def squeezed(values: np.ndarray, kind: type = np.uint8) -> np.ndarray:
+    """Numbers from 0 in the width of ``kind``; for larger ones its highest number stands before, as often as it goes in."""
+    most = np.iinfo(kind).max
+    before = values // most
+    last = np.cumsum(before + 1)
+    out = np.full(last[-1] if len(last) else 0, most, kind)
+    out[last - 1] = values % most
+    return out
 
 
-def packed(ends: np.ndarray, piece: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries as gaps of 16 bits and times of 8; wider ones become several entries, of no times or no gap.
+def spread(held: np.ndarray) -> np.ndarray:
+    """The numbers that ``squeezed`` took."""
+    return np.diff(np.cumsum(held, dtype=np.int64)[held != np.iinfo(held.dtype).max], prepend=0)
 
-    ``piece`` ascends within each text. Also gives the new ends.
-    """
+
+def gaps_of(ends: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Steps between the ascending pre-tokens of each text; the first one counts from 0."""
     gap = np.diff(piece, prepend=0)
     heads = np.append(0, ends[:-1])[np.diff(ends, prepend=0) > 0]
     gap[heads] = piece[heads]
-    bridges, copies = gap // _GAP, -(-times // _TIMES)
-    last = np.append(0, np.cumsum(bridges + copies))
-    gaps, out = np.zeros(last[-1], np.uint16), np.full(last[-1], _TIMES, np.uint8)
-    main = last[:-1] + bridges
-    fill = np.repeat(last[:-1] - np.append(0, np.cumsum(bridges)[:-1]), bridges) + np.arange(bridges.sum()) if len(bridges) else main
-    gaps[fill], out[fill] = _GAP, 0
-    gaps[main], out[main] = gap % _GAP, times - _TIMES * (copies - 1)
-    return gaps, out, last[ends]
+    return gap
 
 
-def unpacked(ends: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+def pieces_of(ends: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """The pre-token of each entry."""
-    total = np.append(0, np.cumsum(gaps, dtype=np.int64))
+    total = np.append(0, np.cumsum(gaps))
     return total[1:] - np.repeat(total[np.append(0, ends[:-1])], np.diff(ends, prepend=0))
 
 
@@ -169,14 +183,15 @@ def _chunk_rows(special: tuple[bytes, ...]) -> Callable:
         for batch in batches:
             for a, b, data, offsets in tokens.chunks(batch.column("text"), CHUNK_BYTES):
                 fixed, ends, piece, times, names = frequencies(data, offsets, special, kinds)
-                gaps, few, ends = packed(ends, piece, times)
+                sizes, letters = unjoined(names)
                 lists = [
                     batch.column("doc_id").slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(fixed, pa.int64()),
-                    pa.array(ends, pa.int32()), names.cast(pa.binary())]
-                ids, sizes, fixed, ends, names = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
+                    pa.array(ends, pa.int32())]
+                held = [squeezed(gaps_of(ends, piece), np.uint16), squeezed(times), squeezed(sizes), letters]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), ids, sizes, fixed, ends, pa.array([gaps.tobytes()]), pa.array([few.tobytes()]), names],
-                    ["chunk", "doc_id", "n_bytes", "special", "ends", "gaps", "times", "names"])
+                    [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
+                     *[pa.array([x.tobytes()], pa.binary()) for x in held]],
+                    ["chunk", "doc_id", "n_bytes", "special", "ends", "gaps", "times", "sizes", "names"])
                 number += 1
     return run
 
@@ -184,14 +199,16 @@ def _chunk_rows(special: tuple[bytes, ...]) -> Callable:
 def _bucket_rows(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
-                names = batch.column("names").slice(k, 1).flatten()
-                place = ((hashes(names) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                edges = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
+            for chunk, sizes, names in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "names")), strict=True):
+                sizes = spread(np.frombuffer(sizes, np.uint8))
+                place = ((hashes(joined(sizes, names)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                edges, ends = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64)), np.append(0, np.cumsum(sizes))
                 full = np.flatnonzero(np.diff(edges))
+                spans = list(zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.append(edges[full], len(names)), pa.int32()), names)], ["bucket", "chunk", "names"])
+                     pa.array([squeezed(sizes[a:b]).tobytes() for a, b in spans], pa.binary()),
+                     pa.array([names[ends[a]:ends[b]] for a, b in spans], pa.binary())], ["bucket", "chunk", "sizes", "names"])
     return run
 
 
@@ -206,13 +223,13 @@ def _answers(text: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         model = _model(text)
         shown = dict(enumerate(bpe.byte_characters()))
-        table = table.combine_chunks()
-        names = table.column("names").combine_chunks()
-        held = names.flatten().dictionary_encode()
-        n = np.array([len(model.tokenize(p.decode("latin-1").translate(shown))) for p in held.dictionary.to_pylist()], np.int32)
-        bounds = np.append(0, np.cumsum(names.value_lengths().to_numpy()))
-        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(n[held.indices.to_numpy()], pa.int32()))
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": found})
+        sizes = [spread(np.frombuffer(x, np.uint8)) for x in table.column("sizes").to_pylist()]
+        held = joined(np.concatenate(sizes), b"".join(table.column("names").to_pylist())).dictionary_encode()
+        n = np.array([len(model.tokenize(p.decode("latin-1").translate(shown))) for p in held.dictionary.to_pylist()], np.int64)
+        parts = np.split(n[held.indices.to_numpy()], np.cumsum([len(x) for x in sizes])[:-1])
+        return pa.table({
+            "chunk": table.column("chunk"), "bucket": table.column("bucket"),
+            "n": pa.array([squeezed(x).tobytes() for x in parts], pa.binary())})
     return run
 
 
@@ -220,12 +237,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):
             ids, sizes, fixed, ends, counts = (batch.column(c).slice(k, 1).flatten() for c in ("doc_id", "n_bytes", "special", "ends", "counts"))
-            gaps, times = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("gaps", np.uint16), ("times", np.uint8)))
+            gaps, times = (spread(np.frombuffer(batch.column(c)[k].as_py(), t)) for c, t in (("gaps", np.uint16), ("times", np.uint8)))
             ends = ends.to_numpy()
             order = np.argsort(counts.field("bucket").to_numpy()) if len(counts) else []
-            parts = counts.field("n")
-            n = np.concatenate([parts[int(i)].values.to_numpy() for i in order]) if len(order) else np.zeros(1, np.int64)
-            total = np.append(0, np.cumsum(n[unpacked(ends, gaps)].astype(np.int64) * times))
+            parts = counts.field("n").to_pylist() if len(counts) else []
+            n = spread(np.frombuffer(b"".join([parts[i] for i in order]), np.uint8))
+            total = np.append(0, np.cumsum(n[pieces_of(ends, gaps)] * times))
             n = np.diff(total[np.append(0, ends)]) + fixed.to_numpy()
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
@@ -238,12 +255,14 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     white space, where no pre-token can go across. Special strings count one token each. Pre-tokens are compared whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = workspace.written(rows.mapInArrow(_chunk_rows(tokenizer.special), CHUNKS), "token_chunks")
-    sent = chunks.agg(F.sum(F.expr("aggregate(names, 0L, (s, x) -> s + octet_length(x) + 8)"))).first()[0] or 0
+    path = workspace.fresh(docs.sparkSession, "token_chunks")
+    rows.mapInArrow(_chunk_rows(tokenizer.special), CHUNKS).write.option("compression", "zstd").parquet(path)
+    chunks = docs.sparkSession.read.schema(CHUNKS).parquet(path)
+    sent = chunks.agg(F.sum(F.octet_length("names") + F.octet_length("sizes"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sent // BUCKET_BYTES))
-    asked = chunks.select("chunk", "names").mapInArrow(_bucket_rows(buckets), "bucket int, chunk long, names array<binary>")
-    told = asked.groupBy("bucket").applyInArrow(_answers(tokenizer.text), "chunk long, bucket int, n array<int>")
+    asked = chunks.select("chunk", "sizes", "names").mapInArrow(_bucket_rows(buckets), "bucket int, chunk long, sizes binary, names binary")
+    told = asked.groupBy("bucket").applyInArrow(_answers(tokenizer.text), "chunk long, bucket int, n binary")
     counts = told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    none = F.array().cast("array<struct<bucket:int,n:array<int>>>")
-    whole = chunks.drop("names").join(counts, "chunk", "left").withColumn("counts", F.coalesce("counts", none))
+    none = F.array().cast("array<struct<bucket:int,n:binary>>")
+    whole = chunks.drop("sizes", "names").join(counts, "chunk", "left").withColumn("counts", F.coalesce("counts", none))
     return whole.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")

@@ -85,21 +85,19 @@ def test_packed_entries(rows):
     piece = np.array([p for r in rows for p in sorted(r)], np.int64)
     times = np.array([r[p] for r in rows for p in sorted(r)], np.int64)
     ends = np.cumsum([len(r) for r in rows])
-    gaps, few, last = token_counts.packed(ends, piece, times)
-    found = token_counts.unpacked(last, gaps)
-    begin = 0
-    for r, end in zip(rows, last.tolist(), strict=True):
-        total = {}
-        for p, t in zip(found[begin:end].tolist(), few[begin:end].tolist(), strict=True):
-            total[p] = total.get(p, 0) + t
-        assert {p: t for p, t in total.items() if t} == r
-        begin = end
+    gaps = token_counts.gaps_of(ends, piece)
+    assert (gaps >= 0).all() and token_counts.pieces_of(ends, gaps).tolist() == piece.tolist()
+    for values, kind in ((gaps, np.uint16), (times, np.uint8), (times * 0, np.uint8), (gaps, np.uint8)):
+        assert token_counts.spread(token_counts.squeezed(values, kind)).tolist() == values.tolist()
 
 
 def test_buckets_hold_every_name_once():
-    names = pa.array([f"n{k}".encode() for k in range(500)])
-    order = np.argsort(token_counts.hashes(names))
-    names = names.take(pa.array(order))
-    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.ListArray.from_arrays(pa.array([0, 500], pa.int32()), names)], ["chunk", "names"])
+    names = pa.array([f"n{k}".encode() * (1 + k % 100) for k in range(500)], pa.large_binary())
+    names = names.take(pa.array(np.argsort(token_counts.hashes(names))))
+    sizes, letters = token_counts.unjoined(names)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7]), pa.array([token_counts.squeezed(sizes).tobytes()]), pa.array([letters.tobytes()])], ["chunk", "sizes", "names"])
     (out,) = token_counts._bucket_rows(23)(iter([batch]))
-    assert out.column("bucket").to_pylist() == list(range(23)) and out.column("names").flatten().equals(names)
+    found = [token_counts.joined(token_counts.spread(np.frombuffer(s, np.uint8)), n).to_pylist()
+             for s, n in zip(out.column("sizes").to_pylist(), out.column("names").to_pylist(), strict=True)]
+    assert out.column("bucket").to_pylist() == list(range(23)) and [n for part in found for n in part] == names.to_pylist()
