@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from helpers import profile, when
@@ -65,6 +66,55 @@ def test_zscores_keep_hosts_apart(spark):
     assert json.loads(found[0].details) == {"z_scores": {"pps": 7.0}, "threshold": 4.0}
 
 
+def long_history(spark, hosts, n):
+    """Profiles of hosts over weeks: steps, constant stretches and outliers, with equal window ends."""
+    rows = []
+    for h in range(hosts):
+        rng = random.Random(h)
+        for i in range(n):
+            kind = ("tumbling", "sliding", "session")[i % 3]
+            v = 1e8 if (i // 40) % 2 else rng.uniform(0, 10) + 50 * (rng.random() < 0.05)
+            rows.append((f"h{h}" if h else None, when(3600 * (i // 3) - 60 * (i % 3)), when(3600 * (i // 3) + 3600), kind, 1, 1, v, v * 8, i % 7, 3,
+                         0, 0, 0, 0.0, 0.0))
+    return spark.createDataFrame(rows, schemas.PROFILES)
+
+
+@pytest.mark.parametrize("stretch_sec", [3600, 86_400, 10 ** 9])
+def test_zscores_of_stretches_are_those_of_one_fold(spark, stretch_sec):
+    table = long_history(spark, 3, 400).repartition(5)
+    order = {"tumbling": 1, "sliding": 2, "session": 3}
+    expected = {}
+    for host in {r.host_id for r in table.collect()}:
+        state = None
+        for r in sorted((r for r in table.collect() if r.host_id == host), key=lambda r: (r.window_end, order[r.window_type], r.window_start)):
+            state, z = advance(state, [r.pps, r.bps, float(r.uniq_dst_ip), float(r.uniq_dst_port)], 0.2)
+            expected[host, r.window_type, r.window_end] = z
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # runs go on from batch to batch
+    try:
+        rows = zscores(table, stretch_sec=stretch_sec).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(expected) == 1200
+    for r in rows:
+        assert [r.z_pps, r.z_bps, r.z_uniq_dst_ip, r.z_uniq_dst_port] == pytest.approx(
+            expected[r.host_id, r.window_type, r.window_end], rel=1e-6, abs=1e-6)
+    assert zscores(table.limit(0)).count() == 0
+
+
+def test_no_task_folds_a_whole_host(spark):
+    """One host: its profiles are spread over tasks, and only one row for each stretch meets in one group."""
+    table = long_history(spark, 2, 1200).where("host_id is not null")
+    spread = zscores(table).groupBy(F.spark_partition_id()).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in spread.collect()]
+        plan = zscores(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1 and max(sizes) < 1200
+    assert "hashpartitioning(host_id" in plan and "stretch" in plan
+
+
 def test_combined_risk(spark):
     def alerts(*found):
         rows = [("x", f"h{i}", when(0), when(60), "tumbling", d, "c", 2, r, "", "{}") for i, d, r in found]
