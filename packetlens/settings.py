@@ -16,6 +16,9 @@ def largest_divisor(n: int, at_most: int) -> int:
     return next(d for d in range(min(n, at_most), 0, -1) if n % d == 0)
 
 
+# ---- fixed values: the defaults of the settings below, and the names of topics, detectors and settings ----
+
+
 @dataclass(frozen=True)
 class WindowSettings:
     """Sizes of the three windows, in whole seconds.
@@ -58,6 +61,10 @@ class WindowSettings:
             common = common or limit
         return largest_divisor(common, limit)
 
+    def page_sec(self) -> int:
+        """Longest slot that no boundary of a tumbling or sliding window cuts; panes divide it."""
+        return gcd(self.tumbling_sec, self.sliding_sec, self.sliding_step_sec)
+
     def order_slice_sec(self, kinds: tuple[str, ...]) -> int:
         return largest_divisor(self.pane_sec(kinds), self.slice_sec)
 
@@ -101,3 +108,6 @@ class AnalyzerSettings:
     thresholds: Thresholds = field(default_factory=Thresholds)
     windows: WindowSettings = field(default_factory=WindowSettings)
     topics: Topics = field(default_factory=Topics)
+
+
+# -------------------------------------------------------------------------------------------------

@@ -15,13 +15,14 @@ from ..functions.scalars import window_type_code
 from ..operators import windows as W
 from ..operators.alerts import alerts_of
 from ..operators.detector import Detector
-from ..operators.registry import score_safely
+from ..operators.registry import ZScore, score_safely
 from ..operators.zscore import KEY, METRICS, SCORED, advance, zscore_hits
-from ..plans import store
+from ..plans import store, workspace
 from ..settings import Topics, WindowSettings
 from ..sources import rows
 from .runs import stream_settings
-from .sessions import closed_shares, merge_shares
+from . import hosts, scores
+from .sessions import late_counts, merge_shares
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -50,25 +51,39 @@ def topic_sinks(topics: Topics = Topics()) -> tuple[BatchSink, BatchSink]:
 def live(
     packets: DataFrame, detectors: list[Detector], sinks: tuple[BatchSink, BatchSink], checkpoint: str,
     settings: WindowSettings = WindowSettings(), shares: int = 16, available_now: bool = False, state_partitions: int | None = None,
+    on_late: BatchSink | None = None,
 ) -> StreamingQuery:
     """Profiles of all three windows and their alerts, from a stream of packets.
 
-    One query holds all windows, so each table has one writer. Window state lives in the
-    checkpoint, and a restart goes on with the open windows. A detector that fails while it scores a batch
-    is logged and left out of that batch. Detectors with state across batches (z-scores) run in
-    ``live_zscores`` over the profile table.
+    One query holds all windows, so each table has one writer. Window state lives in the checkpoint, and a restart goes
+    on with the open windows. What comes too late for a window that was reported is reported as a newer profile of that window, and
+    ``on_late`` gets (host_id, packets) with the packets behind the watermark. A detector that fails while it scores a
+    batch is logged and left out of that batch. Z-scores are folded in order by a second stateful operator, at most one
+    timeout after a window is closed; late parts are not folded.
     """
-    if any(not d.needs_model and not d.adds_columns for d in detectors):
-        raise ValueError("z-scores need state across batches: run live_zscores over the profile table")
+    folding = [d for d in detectors if isinstance(d, ZScore)]
+    others = [d for d in detectors if not isinstance(d, ZScore)]
+    if len(folding) > 1:
+        raise ValueError("a live query keeps one state of z-scores")
     on_profiles, on_alerts = sinks
-
-    def handle(closed: DataFrame, batch: int) -> None:
-        profiles = merge_shares(closed, settings).persist()
+    if folding:
+        rows = scores.scored_rows(packets, settings, shares, folding[0].alpha)
+    else:
+        rows = hosts.closed_rows(packets, settings, shares)
+
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        found = workspace.written(batch_rows, "closed_windows")  # stateful operators run once
+        closed = found.where("z is null").drop("z") if folding else found
+        profiles = workspace.written(merge_shares(closed, settings), "closed_profiles")
         on_profiles(profiles, batch)
-        on_alerts(score_safely(profiles, detectors), batch)
-        profiles.unpersist()
+        alerts = score_safely(profiles, others)
+        if folding:
+            alerts = alerts.unionByName(alerts_of(scores.zscore_columns(found), [zscore_hits(folding[0].z_threshold)]))
+        on_alerts(alerts, batch)
+        if on_late:
+            on_late(late_counts(closed), batch)
 
-    return start(closed_shares(packets, settings, shares), handle, checkpoint, available_now, state_partitions=state_partitions)
+    return start(rows, handle, checkpoint, available_now, state_partitions=state_partitions)
 
 
 def load_tables(messages: DataFrame, schema: T.StructType, path: str, ts: str, key: list[str], checkpoint: str,
@@ -176,6 +191,6 @@ def reemit_late(
     return start(packets, emit, checkpoint, available_now)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table as a stream of its new files."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType, files: int = 256) -> DataFrame:
+    """A stored table as a stream of its new files, a bounded number in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -1,143 +1,31 @@
-"""Session profiles over a stream, with bounded state however long a session lasts.
-
-The packets of a host are first reduced to closed cells (``stream_cells``). A stateful processor
-per (host, share) then chains the slices of the host into sessions. Every share follows all slices,
-which are few, but only its part of the addresses and ports, whose set is kept on disk in the state
-store. So all shares close a session in the same batch, and ``merge_shares`` adds up their counts.
-
-Packets reach the processor when their pane is over, so a session is closed once the start of the
-first pane still open lies more than the timeout after it: at most one pane (``slice_sec``) later
-than the watermark alone would allow.
-"""
+"""Profiles from closed windows of a stream; one row per window, host and share before."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.windows import MICROS, profile_columns
+from ..operators.windows import profile_columns
 from ..settings import WindowSettings
-from .windows import PORT, SLICE, closed_windows, stream_cells
-
-PARTIALS = (
-    "host_id string, start_us long, last_us long, packets long, bytes long, tcp long, udp long, "
-    "gap_high long, gap_low long, new_ips long, new_ports long")
-_OPEN = "start_us long, last_us long, packets long, bytes long, tcp long, udp long, gap_sq string, new_ips long, new_ports long"
-
-
-class SessionShare(StatefulProcessor):
-    """One share of one host: the open session and the values seen in it."""
-
-    def __init__(self, timeout_us: int, pane_us: int) -> None:
-        self.timeout_us = timeout_us
-        self.pane_us = pane_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", _OPEN)
-        self.seen = handle.getMapState("seen", "kind int, value long", "there boolean")
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        host, share = key
-        cells = pd.concat(list(rows))
-        slices = cells[cells["kind"] == SLICE].sort_values("value")
-        values = cells[cells["kind"] != SLICE].drop_duplicates(["kind", "value", "pane_us"]).sort_values("pane_us")
-        waiting = list(values[["pane_us", "kind", "value"]].itertuples(index=False, name=None))
-        session = list(self.open.get()) if self.open.exists() else None
-        done, at = [], 0
-        panes = slices["pane_us"].tolist()
-        for i, s in enumerate(slices.itertuples(index=False)):
-            if session is not None and s.first_us - session[1] > self.timeout_us:
-                done.append(self._finish(host, share, session))
-                session = None
-            if session is None:
-                session = [int(s.first_us), int(s.first_us), 0, 0, 0, 0, "0", 0, 0]
-            gap = int(s.first_us) - session[1]
-            session[1] = int(s.last_us)
-            for j, n in enumerate((s.packets, s.bytes, s.tcp, s.udp), start=2):
-                session[j] += int(n)
-            session[6] = str(int(session[6]) + int(s.gap_sq) + gap * gap)
-            if i + 1 == len(panes) or panes[i + 1] != s.pane_us:  # no session breaks inside a pane
-                while at < len(waiting) and waiting[at][0] <= s.pane_us:
-                    self._count(session, *waiting[at][1:])
-                    at += 1
-        if session is not None and self._idle(session, timerValues):
-            done.append(self._finish(host, share, session))
-            session = None
-        if session is None:
-            self.open.clear()
-        else:
-            self.open.update(tuple(session))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            over_us = session[1] + self.timeout_us
-            self.handle.registerTimer((over_us - over_us % self.pane_us + self.pane_us) // 1000)
-        yield self._frame(done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = []
-        if self.open.exists():
-            session = list(self.open.get())
-            if self._idle(session, timerValues):
-                done.append(self._finish(key[0], key[1], session))
-                self.open.clear()
-        yield self._frame(done)
-
-    def _idle(self, session: list, timerValues) -> bool:
-        """No packet that could still arrive would join the session."""
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        return watermark_us - watermark_us % self.pane_us - session[1] > self.timeout_us
-
-    def _count(self, session: list, kind: int, value: int) -> None:
-        entry = (int(kind), int(value))
-        if not self.seen.containsKey(entry):
-            self.seen.updateValue(entry, (True,))
-            session[8 if kind == PORT else 7] += 1
-
-    def _finish(self, host: str, share: int, session: list) -> tuple:
-        self.seen.clear()
-        # the slices are followed by every share but reported by one
-        squares = int(session[6])
-        own = [*session[2:6], squares >> 30, squares % 2**30] if share == 0 else [0] * 6
-        return (host, session[0], session[1], *own, *session[7:9])
-
-    @staticmethod
-    def _frame(done: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(done, columns=[c.split()[0] for c in PARTIALS.split(", ")])
+from .hosts import LATE, closed_rows
 
 
 def session_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(), shares: int = 16) -> DataFrame:
-    """Closed sessions of a stream, in ``shares`` rows each."""
-    pane_sec = settings.order_slice_sec(("session",))
-    cells = stream_cells(packets, pane_sec, settings.stream_slice_sec(pane_sec), settings.watermark_sec)
-    mine = F.when(F.col("kind") == SLICE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(
-        F.array(F.pmod(F.xxhash64("kind", "value"), F.lit(shares)).cast("int")))
-    spread = cells.select("*", F.unix_micros("pane.start").alias("pane_us"), F.explode(mine).alias("share"))
-    processor = SessionShare(settings.session_timeout_sec * MICROS, pane_sec * MICROS)
-    partials = spread.groupBy("host_id", "share").transformWithStateInPandas(processor, PARTIALS, "Append", "EventTime")
-    return partials.select(
-        "host_id", F.lit("session").alias("window_type"), "start_us", F.col("last_us").alias("end_us"),
-        F.col("start_us").alias("first_us"), "last_us", "packets", "bytes", "tcp", "udp",
-        "gap_high", "gap_low", F.col("new_ips").alias("uniq_dst_ip"),
-        F.col("new_ports").alias("uniq_dst_port"))
-
+    """Closed sessions of a stream, in ``shares`` rows each.
 
-def closed_shares(packets: DataFrame, settings: WindowSettings = WindowSettings(), shares: int = 16) -> DataFrame:
-    """Closed windows of all three kinds in one stream; ``merge_shares`` turns them into profiles."""
-    return closed_windows(packets, "tumbling", settings).unionByName(
-        closed_windows(packets, "sliding", settings)).unionByName(session_shares(packets, settings, shares))
+    A session is over once the watermark is more than the timeout past its last packet.
+    """
+    return closed_rows(packets, settings, shares, ("session",)).where(F.col("window_type") != LATE)
 
 
 def merge_shares(rows: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
-    """Profiles from the closed windows of a batch, or of a whole table of them."""
+    """Profiles from the closed windows of a batch, or of a whole table of them. Counts of late packets are left out."""
     counts = ["packets", "bytes", "tcp", "udp", "gap_high", "gap_low", "uniq_dst_ip", "uniq_dst_port"]
-    return rows.groupBy("host_id", "window_type", "start_us", "end_us").agg(
+    return rows.where(F.col("window_type") != LATE).groupBy("host_id", "window_type", "start_us", "end_us").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
         *[F.sum(c).alias(c) for c in counts]).select(*profile_columns(settings.min_duration_sec))
+
+
+def late_counts(rows: DataFrame) -> DataFrame:
+    """(host_id, packets): packets that came after the watermark had passed them."""
+    return rows.where(F.col("window_type") == LATE).groupBy("host_id").agg(F.sum("packets").alias("packets"))

@@ -82,10 +82,9 @@ def test_stream_equals_batch(spark, seed, settings):
                               available_now=True)
             query.awaitTermination()
     top = max(round(r[1] * 1e6) for r in rows) // 1000 * 1000 - settings.watermark_sec * 1_000_000
-    pane = settings.order_slice_sec(("session",)) * 1_000_000
     expected = {
         key: value for key, value in accumulate([(r[0], round(r[1] * 1e6), *r[2:]) for r in rows], settings).items()
-        if (top - top % pane - value[0] > settings.session_timeout_sec * 1_000_000 if key[1] == "session" else value[0] <= top)}
+        if (top - value[0] > settings.session_timeout_sec * 1_000_000 if key[1] == "session" else value[0] <= top)}
     table = spark.read.parquet(f"{base}/profiles")
     assert table.count() == len(expected)  # every window once
     same(as_map(store.latest(table, schemas.PROFILE_KEY)), expected)
@@ -103,9 +102,23 @@ def test_stateful_zscores_across_batches(spark):
     assert [(r.window_start, r.risk_score) for r in found] == [(when(120), 0.875)]
 
 
-def test_live_refuses_detectors_with_state(spark):
+def test_live_refuses_two_states_of_zscores():
     with pytest.raises(ValueError):
-        live.live(None, [registry.detector("zscore")], (None, None), "")
+        live.live(None, [registry.detector("zscore"), registry.detector("zscore", alpha=0.5)], (None, None), "")
+
+
+def test_live_late_packets(spark):
+    """What comes behind the watermark is counted, joins open windows and makes closed ones appear again."""
+    base, late = workspace.fresh(spark, "live_late"), []
+    folder, df = stream(spark, LATE)
+    live.live(df, [registry.detector("rule", thresholds=Thresholds())], live.table_sinks(f"{base}/profiles", f"{base}/alerts"), f"{base}/checkpoint",
+              WindowSettings(), 2, available_now=True, on_late=lambda rows, _: late.extend(r.packets for r in rows.collect())).awaitTermination()
+    rows = spark.read.parquet(f"{base}/profiles").where("window_type = 'tumbling'").collect()
+    # watermarks by batch: none, none, 90, 90, 120, 370, 375; 30 comes in the batch that closes [0, 60), 25 after it
+    assert sorted((r.window_start, r.packets) for r in rows) == [(when(0), 1), (when(0), 3), (when(60), 2), (when(120), 2)]
+    assert sum(late) == 3  # 30 and 70 behind 90, 25 behind 375
+    newest = store.latest(spark.read.parquet(f"{base}/profiles"), schemas.PROFILE_KEY).where("window_type = 'tumbling' and window_start < timestamp'1970-01-01 00:01:00'")
+    assert [r.packets for r in newest.collect()] == [1]
 
 
 def test_kafka_source_is_declared(spark):
