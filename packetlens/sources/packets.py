@@ -14,11 +14,16 @@ from .rows import publish
 from .wire import from_wire, to_wire
 
 EVENT = schemas.PACKET_EVENT.names
+OFFSETS_PER_TRIGGER, FILES_PER_TRIGGER = 1_000_000, 1_000
 ANALYZED = ["dst_ip", "dst_port", "pkt_len", "protocol"]
 
 
 def read_topic(spark: SparkSession, topic: str, topics: Topics = Topics(), **options: str) -> DataFrame:
-    """A Kafka topic as a stream of (key, value); offsets are kept in the query's checkpoint."""
+    """A Kafka topic as a stream of (key, value); offsets are kept in the query's checkpoint.
+
+    A micro-batch takes a bounded number of messages, so a long backlog is worked off in pieces.
+    """
+    options.setdefault("maxOffsetsPerTrigger", str(OFFSETS_PER_TRIGGER))
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", topics.brokers)
               .option("subscribe", topic).option("startingOffsets", topics.starting_offsets)
               .option("groupIdPrefix", topics.group_id))
@@ -26,7 +31,8 @@ def read_topic(spark: SparkSession, topic: str, topics: Topics = Topics(), **opt
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A folder of files as a stream."""
+    """A folder of files as a stream, a bounded number of them in each micro-batch."""
+    options.setdefault("maxFilesPerTrigger", str(FILES_PER_TRIGGER))
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 

@@ -1,7 +1,7 @@
 """Protobuf message shapes and their conversion to and from Spark rows.
 
 Spark's own ``from_protobuf`` / ``to_protobuf`` do the work where the spark-protobuf package is on
-the classpath; otherwise an Arrow UDF with the ``protobuf`` Python package does.
+the classpath; otherwise an Arrow UDF reads and writes whole columns (``codec.py``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from .codec import Codec
 
 PACKAGE = "traffic"
 
@@ -80,72 +81,24 @@ def message_class(name: str):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"{PACKAGE}.{name}"))
 
 
-def _signed(x: int) -> int:
-    """The 64 bits of an unsigned integer as Spark's signed long."""
-    return x - 2**64 if x >= 2**63 else x
-
-
-def _event_row(e) -> dict:
-    return {
-        "timestamp_ns": _signed(e.timestamp_ns), "src_ip": e.src_ip, "dst_ip": e.dst_ip,
-        "src_port": e.src_port, "dst_port": e.dst_port, "pkt_len": e.pkt_len, "protocol": e.protocol,
-        "hook": schemas.HOOK_NAMES.get(e.hook, str(e.hook)),
-        "direction": schemas.DIRECTION_NAMES.get(e.direction, str(e.direction)), "ifindex": e.ifindex,
-    }
-
-
-def _row_of(name: str, m) -> dict:
-    if name == "PacketBatch":
-        return {"host_id": m.host_id, "batch_ts": m.batch_ts, "events": [_event_row(e) for e in m.events]}
-    row = {field: getattr(m, field) for field, kind, _ in MESSAGES[name] if not kind.startswith("map")}
-    return {**row, "interfaces": list(m.interfaces.items())}
-
-
-def _message_of(cls, row: dict):
-    m = cls()
-    if "events" in row:
-        for e in row["events"] or []:
-            m.events.add(**{k: v % 2**64 if k == "timestamp_ns" else v for k, v in e.items() if v is not None})
-    else:
-        m.interfaces.update(dict(row["interfaces"] or []))
-    for field in row.keys() - {"events", "interfaces"}:
-        if row[field] is not None:
-            setattr(m, field, row[field])
-    return m
-
-
-def _python_decoder(name: str, schema: T.StructType):
+def _decoder(name: str, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = to_arrow_type(schema)
-    held: list = []  # the class is made once per task
+    arrow, codec = to_arrow_type(schema), Codec(name, MESSAGES, ENUMS)
 
     @F.arrow_udf(returnType=schema)
     def decode(values: pa.Array) -> pa.Array:
-        if not held:
-            held.append(message_class(name))
-        rows, cls = [], held[0]
-        for value in values.to_pylist():
-            try:
-                rows.append(None if value is None else _row_of(name, cls.FromString(value)))
-            except Exception:  # a broken message becomes NULL, like in Spark's PERMISSIVE mode
-                rows.append(None)
-        return pa.array(rows, arrow)
+        return codec.decode(values, arrow)
 
     return decode
 
 
-def _python_encoder(name: str):
-    held: list = []
+def _encoder(name: str):
+    codec = Codec(name, MESSAGES, ENUMS)
 
     @F.arrow_udf(returnType=T.BinaryType())
     def encode(rows: pa.Array) -> pa.Array:
-        if not held:
-            held.append(message_class(name))
-        cls = held[0]
-        return pa.array(
-            [None if r is None else _message_of(cls, r).SerializeToString(deterministic=True) for r in rows.to_pylist()],
-            pa.binary())
+        return codec.encode(rows)
 
     return encode
 
@@ -187,7 +140,7 @@ def from_wire(value: Column, name: str, schema: T.StructType, native: bool | Non
         # fields that hold zero are not on the wire; without the second option they would be NULL
         options = {"mode": "PERMISSIVE", "emit.default.values": "true"}
         return unsigned(from_protobuf(value, name, options=options, binaryDescriptorSet=descriptor_set()), name).cast(schema)
-    return _python_decoder(name, schema)(value)
+    return _decoder(name, schema)(value)
 
 
 def to_wire(row: Column, name: str, native: bool | None = None) -> Column:
@@ -195,4 +148,4 @@ def to_wire(row: Column, name: str, native: bool | None = None) -> Column:
         from pyspark.sql.protobuf.functions import to_protobuf
 
         return to_protobuf(row, name, binaryDescriptorSet=descriptor_set())
-    return _python_encoder(name)(row)
+    return _encoder(name)(row)
