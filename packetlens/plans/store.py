@@ -97,33 +97,57 @@ def profile_history(spark: SparkSession, path: str, as_of: Column | None = None,
 def expire(spark: SparkSession, path: str, as_of: datetime, days: int, ts: str, key: list[str]) -> list[str]:
     """Retention on disk: remove expired day folders and rewrite the day the limit falls in.
 
-    Only folder names are handled on the driver. The rewritten day is complete under a hidden name
-    before the old folder goes, and a run that was cut short is finished by the next one. Returns
-    the folders that were removed.
+    Only file names are handled on the driver. The files of that day are listed first; what is kept of exactly these files
+    is complete under a hidden name, with the list beside it, before any of them goes. Files that are appended meanwhile
+    stay, and a run that was cut short is finished by the next one. Returns the folders that were removed.
     """
     limit = as_of - timedelta(days=days)
     file_system = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = file_system.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def replace_day(staged: str) -> None:
-        day = file_system.Path(f"{path}/{staged.removeprefix(_STAGED)}")
-        fs.delete(day, True)
-        fs.rename(file_system.Path(f"{path}/{staged}"), day)
+    def at(name: str):
+        return file_system.Path(f"{path}/{name}")
+
+    def files(name: str) -> list[str]:
+        """Data files under a folder, by their path inside it."""
+        found, rows = fs.listFiles(at(name), True), []
+        base = fs.makeQualified(at(name)).toString()
+        while found.hasNext():
+            place = found.next().getPath().toString().removeprefix(base).lstrip("/")
+            if place.endswith(".parquet") and not any(part.startswith(("_", ".")) for part in place.split("/")):
+                rows.append(place)
+        return sorted(rows)
+
+    def swap(staged: str) -> None:
+        day = staged.removeprefix(_STAGED)
+        for row in spark.read.text(f"{path}/{staged}/_old").collect():  # file names of one day
+            fs.delete(at(f"{day}/{row[0]}"), False)
+        for name in files(f"{staged}/_new"):
+            fs.mkdirs(at(f"{day}/{name}").getParent())
+            fs.rename(at(f"{staged}/_new/{name}"), at(f"{day}/{name}"))
+        fs.delete(at(staged), True)
 
     def names() -> list[str]:
         return [status.getPath().getName() for status in fs.listStatus(folder)]
 
     for name in names():
-        if name.startswith(_STAGED) and fs.exists(file_system.Path(f"{path}/{name}/_SUCCESS")):
-            replace_day(name)
+        if name.startswith(_STAGED):
+            if fs.exists(at(f"{name}/_old/_SUCCESS")):
+                swap(name)
+            else:
+                fs.delete(at(name), True)
     edge = f"day={limit:%Y-%m-%d}"
     removed = [name for name in names() if name.startswith("day=") and name < edge]
     for name in removed:
-        fs.delete(file_system.Path(f"{path}/{name}"), True)
-    if fs.exists(file_system.Path(f"{path}/{edge}")):
-        kept = retain(spark.read.parquet(f"{path}/{edge}"), F.lit(as_of), days, ts)
+        fs.delete(at(name), True)
+    old = files(edge) if fs.exists(at(edge)) else []
+    if old:
+        table = spark.read.option("basePath", f"{path}/{edge}").parquet(*[f"{path}/{edge}/{name}" for name in old])
+        kept = retain(table, F.lit(as_of), days, ts)
         parts = [c for c in kept.columns if c == "batch_id"]
-        kept.sortWithinPartitions(*parts, *key).write.partitionBy(*parts).mode("overwrite").parquet(f"{path}/{_STAGED}{edge}")
-        replace_day(f"{_STAGED}{edge}")
+        staged = f"{_STAGED}{edge}"
+        kept.sortWithinPartitions(*parts, *key).write.partitionBy(*parts).mode("overwrite").parquet(f"{path}/{staged}/_new")
+        spark.createDataFrame([(name,) for name in old], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{staged}/_old")
+        swap(staged)
     return removed

@@ -61,6 +61,29 @@ def test_load_history_and_expire(spark):
     assert spark.read.parquet(path).count() == 6
 
 
+def test_expire_keeps_what_is_appended_meanwhile(spark, monkeypatch):
+    """A batch that is loaded while the day is rewritten stays whole until the next run."""
+    path = workspace.fresh(spark, "test_table")
+    as_of = datetime(2024, 3, 1, 12)
+    rows = table(spark, *[{"window_start": as_of - timedelta(days=d)} for d in (0, 29.8, 30.2)])
+    store.load_profiles(rows, path, 0)
+    retain = store.retain
+
+    def appended(*args):
+        kept = retain(*args)
+        store.load_profiles(rows.withColumn("packets", F.lit(77).cast("long")), path, 1)
+        return kept
+
+    monkeypatch.setattr(store, "retain", appended)
+    store.expire(spark, path, as_of, 30, "window_start", schemas.PROFILE_KEY)
+    monkeypatch.undo()
+    found = sorted((r.batch_id, (as_of - r.window_start).total_seconds() / DAY, r.packets) for r in spark.read.parquet(path).collect())
+    assert [(b, round(d, 1), p) for b, d, p in found] == [(0, 0.0, 10), (0, 29.8, 10), (1, 0.0, 77), (1, 29.8, 77), (1, 30.2, 77)]
+    store.expire(spark, path, as_of, 30, "window_start", schemas.PROFILE_KEY)
+    left = sorted((r.batch_id, round((as_of - r.window_start).total_seconds() / DAY, 1)) for r in spark.read.parquet(path).collect())
+    assert left == [(0, 0.0), (0, 29.8), (1, 0.0), (1, 29.8)]
+
+
 def test_second_pass(spark):
     path = workspace.fresh(spark, "test_table")
     as_of = when(10 * DAY)
