@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -11,9 +15,10 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.scalars import clip01
 from ..schemas import FEATURES
 from .alerts import HIT, graded, hit
-from .detector import Detector
-from .gradients import moments, summed
+from .detector import KEY, Detector
+from .gradients import moments
 
+_UNIT = float(1 << 34)  # averages are taken over whole numbers of this fraction
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -48,16 +53,23 @@ def gradient(flat: np.ndarray, sizes: list[int], x: np.ndarray) -> np.ndarray:
 
 
 class Autoencoder(Detector):
-    """Full-batch Adam: every step is one job that adds up the gradients of all rows."""
+    """Local Adam steps and averaged weights: ``iterations`` passes over the rows, one job each.
+
+    Rows are dealt to shards and ordered inside them by a hash of their key; the number of shards follows from the number of rows. In a
+    pass every shard starts from the same weights and moments and takes steps over batches of its rows, several times over them if
+    they are few, and the shards' results are averaged as whole numbers. So the model does not depend on partitions.
+    """
 
     name = "mlp"
 
     def __init__(self, hidden: tuple[int, ...] = (16, 4, 16), percentile: float = 99.0, seed: int = 42,
-                 iterations: int = 300, learning_rate: float = 0.01, l2: float = 1e-4, model_version: str = "v1") -> None:
+                 iterations: int = 16, learning_rate: float = 0.01, l2: float = 1e-4, model_version: str = "v1",
+                 batch: int = 128, shard_rows: int = 50_000, least_steps: int = 40) -> None:
         super().__init__(model_version)
         self.sizes = [len(FEATURES), *hidden, len(FEATURES)]
         self.percentile, self.seed = percentile, seed
         self.iterations, self.learning_rate, self.l2 = iterations, learning_rate, l2
+        self.batch, self.shard_rows, self.least_steps = batch, shard_rows, least_steps
 
     def _start(self) -> np.ndarray:
         rng = np.random.default_rng(self.seed)
@@ -67,25 +79,90 @@ class Autoencoder(Detector):
             parts += [rng.uniform(-bound, bound, a * b), rng.uniform(-bound, bound, b)]
         return np.concatenate(parts)
 
+    def _pass(self, state: np.ndarray, steps: int, rate: float, n: int, mean: np.ndarray, scale: np.ndarray):
+        """Train each shard of sorted rows; one row per shard: weights, both moments, steps taken and mean error, as whole numbers."""
+        sizes, size, l2, least = self.sizes, self.batch, self.l2, self.least_steps
+        count = len(state) // 3
+
+        def train(shard: int, batches: Iterator[np.ndarray]) -> tuple:
+            w, m, v = (part.copy() for part in state.reshape(3, -1))
+            done, errors, rows, kept = 0, 0.0, 0, []
+
+            def step(x: np.ndarray) -> float:
+                nonlocal w, m, v, done
+                total = gradient(w, sizes, x)
+                g = total[:-1] / len(x) + l2 * w / n
+                done += 1
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - rate * (m / (1 - 0.9 ** (steps + done))) / (np.sqrt(v / (1 - 0.999 ** (steps + done))) + 1e-8)
+                return total[-1]
+
+            for x in batches:
+                x = (x - mean) / scale
+                errors, rows = errors + step(x), rows + len(x)
+                if done <= least:
+                    kept.append(x)
+            while done < least:
+                for x in kept:
+                    step(x)
+            return (shard, *[np.rint(p * _UNIT).astype(np.int64).tolist() for p in (w, m, v)], done, int(round(errors / rows / sizes[0] * _UNIT)))
+
+        def blocks(shards: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+            """Batches of equal size, whatever the size of the pieces that rows come in."""
+            for shard, parts in groupby(shards, key=lambda part: part[0]):
+                def cut(parts=parts) -> Iterator[np.ndarray]:
+                    held = np.zeros((0, len(FEATURES)))
+                    for _, x in parts:
+                        held = np.concatenate([held, x])
+                        while len(held) >= 2 * size:
+                            yield held[:size]
+                            held = held[size:]
+                    if len(held):
+                        yield held
+                yield shard, cut()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def pieces() -> Iterator[tuple[int, np.ndarray]]:
+                for batch in batches:
+                    shard = batch.column("shard").to_numpy()
+                    x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
+                    edges = np.flatnonzero(np.diff(shard, prepend=-1))
+                    for a, b in zip(edges, [*edges[1:], len(x)]):
+                        yield int(shard[a]), x[a:b]
+
+            for shard, parts in blocks(pieces()):
+                found = train(shard, parts)
+                yield pa.RecordBatch.from_pydict({
+                    "i": np.arange(3 * count + 2), "x": np.concatenate([*found[1:4], [found[4] * int(_UNIT), found[5]]]).astype(np.int64)})
+
+        return run
+
     def _fit(self, rows: DataFrame) -> None:
-        rows = rows.select(*FEATURES).persist()
         n, mean, std = moments(rows)
         scale = np.where(std > 0, std, 1.0)
-        flat, sizes = self._start(), self.sizes
-        m, v = np.zeros_like(flat), np.zeros_like(flat)
-        best, quiet = np.inf, 0
-        for t in range(1, self.iterations + 1):
-            total = summed(rows, len(flat) + 1, lambda x, flat=flat: gradient(flat, sizes, (x - mean) / scale))
-            g, loss = total[:-1] / n + self.l2 * flat / n, total[-1] / n / sizes[0]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat = flat - self.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        shards = max(4, -(-n // self.shard_rows))
+        dealt = rows.select(
+            F.pmod(F.xxhash64(F.lit(self.seed), *KEY), F.lit(shards)).alias("shard"), F.xxhash64(F.lit(self.seed + 1), *KEY).alias("order"), *FEATURES)
+        dealt = dealt.repartitionById(min(shards, 4096), F.pmod("shard", F.lit(min(shards, 4096))).cast("int"))
+        dealt = dealt.sortWithinPartitions("shard", "order", *FEATURES).drop("order").persist()
+        found = dealt.select("shard").distinct().count()
+        start = self._start()
+        state = np.concatenate([start, np.zeros(2 * len(start))])  # weights and both moments
+        steps, best, quiet = 0, np.inf, 0
+        for t in range(self.iterations):
+            rate = self.learning_rate * (1 - 0.9 * t / self.iterations)
+            total = dealt.mapInArrow(self._pass(state, steps, rate, n, mean, scale), "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+            out = np.zeros(3 * len(start) + 2)
+            out[total.column("i").to_numpy()] = total.column("x").to_numpy() / found / _UNIT
+            state, loss = out[:-2], out[-1]
+            steps += int(out[-2])
             quiet = 0 if loss < best - 1e-4 else quiet + 1
             best = min(best, loss)
-            if quiet > 10:
+            if quiet > 3:
                 break
-        self.model = {"weights": flat.tolist(), "sizes": sizes, "mean": mean.tolist(), "scale": scale.tolist(), "threshold": 0.0}
+        dealt.unpersist()
+        self.model = {"weights": state[:len(start)].tolist(), "sizes": self.sizes, "mean": mean.tolist(), "scale": scale.tolist(), "threshold": 0.0}
         self.model["threshold"] = self._quantile(self._scored(rows), "mlp_error", self.percentile / 100)
-        rows.unpersist()
 
     def _scored(self, profiles: DataFrame) -> DataFrame:
         layers = unpack(np.array(self.model["weights"]), self.model["sizes"])

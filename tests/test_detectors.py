@@ -113,6 +113,33 @@ def test_trained_detectors(spark, vectors, core, share):
     assert sorted(loaded.score(profiles).collect()) == sorted(found)
 
 
+def test_autoencoder_needs_few_passes_and_no_layout(spark, vectors):
+    """The error is that of 300 full-batch steps, within a tenth, and the model that of any partitioning."""
+    from packetlens.operators import autoencoder
+
+    profiles = workspace.written(table(spark, vectors), "profiles")
+    maker = registry.detector("mlp")
+    assert maker.iterations <= 20
+    model = maker.fit(profiles).model
+    other = registry.detector("mlp").fit(profiles.repartition(7, "host_id")).model
+    for part in ("weights", "mean", "scale", "threshold"):
+        assert np.array(other[part]) == pytest.approx(np.array(model[part]), rel=1e-6, abs=1e-9)
+    x = np.array([[float(r[f]) for f in schemas.FEATURES] for r in profiles.collect()])
+    x = (x - model["mean"]) / model["scale"]
+
+    def error(flat):
+        layers = autoencoder.unpack(np.asarray(flat), model["sizes"])
+        return ((autoencoder.forward(layers, x)[-1] - x) ** 2).mean()
+
+    flat = registry.detector("mlp")._start()
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    for t in range(1, 301):
+        g = autoencoder.gradient(flat, model["sizes"], x)[:-1] / len(x) + 1e-4 * flat / len(x)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat - 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    assert error(model["weights"]) <= 1.1 * error(flat)
+
+
 def test_forest_is_reproducible(spark, vectors):
     profiles = table(spark, vectors)
     a, b = (registry.detector("isoforest", n_trees=20).fit(profiles).model for _ in range(2))
