@@ -7,11 +7,15 @@ that results can be compared between engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import schemas
+from .functions import scalars
 from .operators import alerts as A
 from .operators import windows as W
 from .operators.filters import capture_scope, late_events, recent
@@ -19,9 +23,9 @@ from .operators.rules import rule_alerts
 from .operators.zscore import zscore_alerts
 from .operators import registry
 from .plans import jobs, store, workspace
+from .settings import AnalyzerSettings
 from .sources import frames, packets, rows
-from .streaming import live, runs, sessions
-from .streaming import windows as stream_windows
+from .streaming import hosts, live, runs, sessions
 from .testpackets import (
     THRESHOLDS, WINDOWS, capture_events, frames_from, hosts_from, load_events, load_packets, packets_from, records_from,
 )
@@ -87,18 +91,23 @@ def _time(seconds: int):
     return F.timestamp_seconds(F.lit(seconds))
 
 
-def _messages(messages: DataFrame, names: list[str]) -> DataFrame:
-    return messages.select("key", *[F.get_json_object("value", f"$.{n}").alias(n) for n in names])
+def _messages(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """Every field of the messages; times as the texts they hold, details as the names in them."""
+    told = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema.fields])
+    found = messages.select("key", F.from_json("value", told).alias("m")).select("key", "m.*")
+    if "details" in schema.names:
+        names = F.map_keys(F.from_json("details", "map<string,double>"))
+        found = found.withColumn("details", F.array_join(F.array_sort(names), ","))
+    return plain(found)
 
 
 def profiles_json(spark: SparkSession, sf: str) -> DataFrame:
-    messages = rows.profiles_as_json(W.profiles(load_packets(spark, sf), WINDOWS))
-    return _messages(messages, ["window_start", "window_end", "window_type", "packets", "bytes", "uniq_dst_ip"])
+    return _messages(rows.profiles_as_json(W.profiles(load_packets(spark, sf), WINDOWS)), schemas.PROFILES)
 
 
 def alerts_json(spark: SparkSession, sf: str) -> DataFrame:
     found = rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS)
-    return _messages(rows.alerts_as_json(found), ["alert_id", "detected_at", "detector", "category", "severity"])
+    return _messages(rows.alerts_as_json(found), schemas.ALERT_ROWS)
 
 
 def _with_broken(messages: DataFrame, spark: SparkSession, sf: str, renames: dict[str, str]) -> DataFrame:
@@ -131,6 +140,30 @@ def alerts_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return plain(good.drop("details"))
 
 
+def alert_tables_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert messages from text files through the loading job into the stored table."""
+    base = workspace.fresh(spark, "alert_tables")
+    messages = rows.alerts_as_json(rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS))
+    unknown = {f'"severity":{code}': '"severity":9' for code in schemas.SEVERITIES}
+    _with_broken(messages, spark, sf, unknown).write.text(f"{base}/messages")
+    live.load_tables(spark.readStream.text(f"{base}/messages"), schemas.ALERT_ROWS, f"{base}/alerts", store.ALERT_TS, schemas.ALERT_KEY,
+                     f"{base}/checkpoint", f"{base}/quarantine", available_now=True).awaitTermination()
+    return plain(spark.read.parquet(f"{base}/alerts").select(*schemas.ALERT_ROWS.names).drop("details"))
+
+
+def feature_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of every profile by place and by name, and window types by code, also for codes that are none."""
+    profiles = W.profiles(load_packets(spark, sf), WINDOWS)
+    code = scalars.window_type_code("window_type")
+    keyed = profiles.select(
+        "host_id", "window_type", "window_start", scalars.window_type_name(code).alias("named"),
+        scalars.window_type_name(code + 7).alias("unnamed"), scalars.feature_vector().alias("v"), scalars.feature_map().alias("m"))
+    out = keyed.select("host_id", "window_type", "window_start", "named", "unnamed", "v", F.explode("m").alias("feature", "number"))
+    shift = F.when(F.col("feature").startswith("conn_interval"), OFF_TIE).otherwise(0.0)
+    place = F.array_position(F.array(*[F.lit(f) for f in schemas.FEATURES]), F.col("feature")).cast("int")
+    return plain(out.withColumn("at_place", F.element_at("v", place) + shift).withColumn("number", F.col("number") + shift).drop("v"))
+
+
 def alert_details(spark: SparkSession, sf: str) -> DataFrame:
     """What the rules' JSON details say, one row per number."""
     found = rule_alerts(W.profiles(load_packets(spark, sf), WINDOWS), THRESHOLDS)
@@ -194,6 +227,15 @@ def profile_history(spark: SparkSession, sf: str) -> DataFrame:
     return plain(store.profile_history(spark, _stored_profiles(spark, sf), _time(AS_OF), 72))
 
 
+def clustered_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each day of the stored table, and how many of them stand before the row ahead of them in their file."""
+    table = spark.read.parquet(_stored_profiles(spark, sf))
+    placed = table.select("day", F.struct(*schemas.PROFILE_KEY).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    return placed.withColumn("wrong", (F.col("key") < before).cast("long")).groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("profiles"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("out_of_order"))
+
+
 # ---- decoding and batches -----------------------------------------------------------------------
 
 FRAME_FIELDS = ["host_id", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "pkt_len", "protocol"]
@@ -271,33 +313,75 @@ def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
     return packets_from(runs.read_new(spark, sf, schema, "events.parquet"))
 
 
-def _stream_fixed(kind: str) -> Query:
-    return lambda spark, sf: plain(runs.run_available(
-        stream_windows.fixed_profiles(_packet_stream(spark, sf), kind, WINDOWS), f"stream_{kind}", STATE_PARTITIONS))
+def _merged(rows: DataFrame) -> DataFrame:
+    return plain(sessions.merge_shares(rows, WINDOWS))
+
+
+def _stream(*kinds: str) -> Query:
+    return lambda spark, sf: _merged(runs.run_available(
+        hosts.closed_rows(_packet_stream(spark, sf), WINDOWS, 4, kinds), f"stream_{'_'.join(kinds)}", STATE_PARTITIONS))
+
+
+BATCHES = 8
+
+
+def _by_time(events: DataFrame) -> Column:
+    """Which of eight files, of about the same size, an event is in if they come in order of time."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(us, [k / BATCHES for k in range(1, BATCHES)], 10_000)).first()[0]
+    return reduce(lambda a, b: a + b, [F.coalesce(us > F.lit(cut), F.lit(False)).cast("int") for cut in cuts])
+
+
+def _by_arrival(events: DataFrame) -> Column:
+    """The same if events come shuffled within blocks of a thousand."""
+    eid = F.col("event_id")
+    arrival = eid - eid % 1000 + (eid * 37) % 1000
+    top = events.agg(F.max(arrival)).first()[0]
+    return F.floor(arrival * BATCHES / F.lit((top or 0) + 1))
+
+
+def _in_batches(spark: SparkSession, sf: str, name: str, place: Callable[[DataFrame], Column], run: Callable[[DataFrame, str], None]) -> str:
+    """Run a stream over eight files, one per micro-batch, with a restart after the fourth; the folder it worked in."""
+    base, events = workspace.fresh(spark, name), load_events(spark, sf)
+    placed = events.withColumn("place", place(events))
+    for half in (range(BATCHES // 2), range(BATCHES // 2, BATCHES)):
+        for k in half:
+            placed.where(F.col("place") == k).drop("place").coalesce(1).write.parquet(f"{base}/events/{k}")
+        stream = packets_from(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option(
+            "maxFilesPerTrigger", 1).parquet(f"{base}/events"))
+        run(stream, base)
+    return base
 
 
-def _in_batches(name: str, build: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] = plain) -> Query:
-    """The stream over eight files in order of time, one per micro-batch, with a restart after the fourth."""
+def _stream_batches(kind: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        base, events = workspace.fresh(spark, name), load_events(spark, sf)
-        us = F.unix_micros(F.col("ts").cast("timestamp"))
-        cuts = events.select(F.percentile_approx(us, [k / 8 for k in range(1, 8)], 10_000)).first()[0]
-        edges = [None, *cuts, None]
-        for half in (range(4), range(4, 8)):
-            for k in half:
-                own = events.where(F.coalesce(us > F.lit(edges[k]), F.lit(True)) & F.coalesce(us <= F.lit(edges[k + 1]), F.lit(True)))
-                own.coalesce(1).write.parquet(f"{base}/events/{k}")
-            stream = packets_from(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option(
-                "maxFilesPerTrigger", 1).parquet(f"{base}/events"))
-            out = build(stream)
-            runs.to_table(out, f"{base}/out", f"{base}/checkpoint", available_now=True, state_partitions=STATE_PARTITIONS).awaitTermination()
-        return finish(spark.read.schema(out.schema).parquet(f"{base}/out"))
+        def append(stream: DataFrame, base: str) -> None:
+            runs.to_table(hosts.closed_rows(stream, WINDOWS, 4, (kind,)), f"{base}/out", f"{base}/checkpoint", available_now=True,
+                          state_partitions=STATE_PARTITIONS).awaitTermination()
+
+        base = _in_batches(spark, sf, f"{kind}_batches", _by_time, append)
+        return _merged(spark.read.schema(hosts.CLOSED).parquet(f"{base}/out"))
     return run
 
 
-def stream_session(spark: SparkSession, sf: str) -> DataFrame:
-    shares = runs.run_available(sessions.session_shares(_packet_stream(spark, sf), WINDOWS, 4), "stream_session", STATE_PARTITIONS)
-    return plain(sessions.merge_shares(shares, WINDOWS))
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets that arrive out of order: every report of a tumbling or sliding window, and how many packets each host sent late."""
+    kinds = ("tumbling", "sliding")
+
+    def append(stream: DataFrame, base: str) -> None:
+        def load(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+        live.start(hosts.closed_rows(stream, WINDOWS, 4, kinds), load, f"{base}/checkpoint", available_now=True,
+                   state_partitions=STATE_PARTITIONS).awaitTermination()
+
+    base = _in_batches(spark, sf, "late_batches", _by_arrival, append)
+    found = spark.read.schema(f"{hosts.CLOSED}, batch int").parquet(f"{base}/out")
+    reports = found.where(F.col("window_type") != hosts.LATE).groupBy("host_id", "window_type", "start_us", "batch").agg(
+        *[F.sum(c).alias(c) for c in ("packets", "bytes", "uniq_dst_ip", "uniq_dst_port")], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    counted = sessions.late_counts(found).select(
+        "host_id", F.lit(hosts.LATE).alias("window_type"), "packets")
+    return reports.drop("batch").unionByName(counted, allowMissingColumns=True)
 
 
 def _live(spark: SparkSession, sf: str) -> tuple[str, str]:
@@ -319,6 +403,20 @@ def live_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return plain(spark.read.parquet(_live(spark, sf)[1]).select(*schemas.ALERT_ROWS.names).drop("details"))
 
 
+def live_all_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules, z-scores and a saved model in the live job, over eight micro-batches with a restart."""
+    root = _model_root(spark)
+
+    def run(stream: DataFrame, base: str) -> None:
+        detectors = [registry.detector("rule", thresholds=THRESHOLDS), registry.detector("zscore"),
+                     registry.detector("isoforest").load(spark, root)]
+        live.live(stream, detectors, live.table_sinks(f"{base}/profiles", f"{base}/alerts"), f"{base}/checkpoint", WINDOWS, 4,
+                  available_now=True, state_partitions=STATE_PARTITIONS).awaitTermination()
+
+    base = _in_batches(spark, sf, "live_batches", _by_time, run)
+    return plain(spark.read.parquet(f"{base}/alerts").select(*schemas.ALERT_ROWS.names).drop("details"))
+
+
 def stream_zscore(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.fresh(spark, "profiles")
     W.profiles(load_packets(spark, sf), WINDOWS).write.parquet(path)
@@ -391,15 +489,61 @@ def given_forest() -> dict:
     return {**columns, "roots": [sum(sizes[:i]) for i in range(len(sizes))], "sample": 256, "offset": GIVEN_OFFSET}
 
 
+def _model_root(spark: SparkSession) -> str:
+    """A folder with a saved forest."""
+    root = workspace.fresh(spark, "models")
+    maker = registry.detector("isoforest")
+    maker.model = given_forest()
+    maker.save(spark, root)
+    return root
+
+
 def all_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    detectors = [registry.detector("rule", thresholds=THRESHOLDS), registry.detector("zscore"), registry.detector("isoforest")]
-    return alert_rows(registry.score_all(_profile_rows(spark, sf), detectors))
+    """All detectors that the settings name, one of them with a saved model."""
+    settings = AnalyzerSettings(detectors=("rule", "zscore", "isoforest"), model_root=_model_root(spark), thresholds=THRESHOLDS)
+    return alert_rows(registry.score_all(_profile_rows(spark, sf), registry.build_detectors(spark, settings)))
 
 
 def second_pass_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return alert_rows(jobs.second_pass(spark, _stored_profiles(spark, sf), "zscore", 240, _time(AS_OF)))
 
 
+def second_pass_model(spark: SparkSession, sf: str) -> DataFrame:
+    settings = AnalyzerSettings(model_root=_model_root(spark))
+    return alert_rows(jobs.second_pass(spark, _stored_profiles(spark, sf), None, 240, _time(AS_OF), settings))
+
+
+# most alerts that a core may give on the profiles it was trained on, as a share
+SHARES = {"isoforest": 0.02, "kmeans": 0.01}
+
+
+def training_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Trained twice on all profiles: whether alerts are one for a profile and as rare as the cutoff says, and the same again."""
+    profiles, out = _profile_rows(spark, sf), []
+    key = ["host_id", "window_type", "window_start"]
+    for core, share in SHARES.items():
+        rows_ = profiles.select(F.lit("all").alias("part"), *key, F.lit(0.0).alias("risk_score"))
+        for version in ("first", "second"):
+            root = workspace.fresh(spark, "models")
+            jobs.train(profiles, core, root, version)
+            found = registry.detector(core, model_version=version).load(spark, root).score(profiles)
+            rows_ = rows_.unionByName(workspace.written(found, "trained").select(F.lit(version).alias("part"), *key, "risk_score"))
+        named, mark = F.xxhash64(*key).cast("decimal(38,0)"), F.xxhash64(*key, "risk_score").cast("decimal(38,0)")
+
+        def of(part: str, value: Column) -> Column:
+            return F.when(F.col("part") == part, value)
+
+        found = rows_.agg(
+            F.count_if(F.col("part") == "all").alias("profiles"), F.count_if(F.col("part") == "first").alias("alerts"),
+            F.count_distinct(of("first", named)).alias("windows"), F.sum(of("first", mark)).alias("one"), F.sum(of("second", mark)).alias("two"),
+            F.min("risk_score").alias("least"), F.max("risk_score").alias("most"))
+        out.append(found.select(
+            F.lit(core).alias("core"), "profiles", (F.col("alerts") == F.col("windows")).alias("one_each"),
+            F.col("alerts").between(1, F.ceil(F.col("profiles") * share)).alias("rare"),
+            ((F.col("least") >= 0) & (F.col("most") <= 1)).alias("in_range"), F.col("one").eqNullSafe(F.col("two")).alias("same_again")))
+    return reduce(DataFrame.unionByName, out)
+
+
 QUERIES: dict[str, Query] = {
     "packets_view": packets_view,
     "tumbling_profiles": _profiles("tumbling"),
@@ -415,7 +559,9 @@ QUERIES: dict[str, Query] = {
     "profiles_loaded": profiles_loaded,
     "profiles_quarantined": profiles_quarantined,
     "alerts_loaded": alerts_loaded,
+    "alert_tables_loaded": alert_tables_loaded,
     "alert_details": alert_details,
+    "feature_columns": feature_columns,
     "analyzer_view": analyzer_view,
     "nonempty_batches": nonempty_batches,
     "latest_profiles": latest_profiles,
@@ -423,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "recent_profiles": recent_profiles,
     "retained_profiles": retained_profiles,
     "profile_history": profile_history,
+    "clustered_layout": clustered_layout,
     "batch_pack": batch_pack,
     "batch_roundtrip": batch_roundtrip,
     "host_registrations": host_registrations,
@@ -432,18 +579,21 @@ QUERIES: dict[str, Query] = {
     "wallclock": wallclock,
     "capture_scope": scope,
     "late_events": late,
-    "stream_tumbling": _stream_fixed("tumbling"),
-    "stream_sliding": _stream_fixed("sliding"),
-    "stream_session": stream_session,
-    "stream_tumbling_batches": _in_batches("tumbling_batches", lambda p: stream_windows.fixed_profiles(p, "tumbling", WINDOWS)),
-    "stream_session_batches": _in_batches(
-        "session_batches", lambda p: sessions.session_shares(p, WINDOWS, 4), lambda t: plain(sessions.merge_shares(t, WINDOWS))),
+    "stream_tumbling": _stream("tumbling"),
+    "stream_sliding": _stream("sliding"),
+    "stream_session": _stream("session"),
+    "stream_tumbling_batches": _stream_batches("tumbling"),
+    "stream_session_batches": _stream_batches("session"),
+    "stream_late": stream_late,
     "stream_all": stream_all,
     "live_alerts": live_alerts,
+    "live_all_alerts": live_all_alerts,
     "stream_zscore": stream_zscore,
     "tables_loaded": tables_loaded,
     "all_alerts": all_alerts,
     "second_pass_zscore": second_pass_zscore,
+    "second_pass_model": second_pass_model,
+    "training_invariants": training_invariants,
     "kmeans_given_centres": kmeans_given_centres,
     "isoforest_given_forest": _given("isoforest", given_forest()),
     "ocsvm_given_weights": _given("ocsvm", {k: v for k, v in GIVEN_SVM.items() if k != "n_features"}, n_features=GIVEN_SVM["n_features"]),

@@ -293,13 +293,35 @@ network_alerts as (
 
 _ALL = (PACKETS, MEMBERS, PROFILES)
 
-# windows that a stream over all packets has closed: a session when the last closed slice of 600
-# seconds lies more than the timeout after it
+# windows that a stream over all packets has closed; its watermark has milliseconds
 CLOSED = """
+mark as (select max(us) // 1000 * 1000 - 3600000000 as wm from packets),
 closed as (
-  select profiles.* from profiles, (select max(us) - 3600000000 as wm from packets)
-  where case when window_type = 'session' then wm - wm % 600000000 - window_end_us > 1800000000
-             else window_end_us <= wm end)"""
+  select profiles.* from profiles, mark
+  where case when window_type = 'session' then wm - window_end_us > 1800000000 else window_end_us <= wm end)"""
+
+# micro-batches of the files by arrival, with the one without data before the restart and at the end: file and watermark
+_REPORTS = """
+arrived as (select *, event_id - event_id % 1000 + (event_id * 37) % 1000 as arrival from packets),
+filed as (select *, floor(arrival * 8 / (max(arrival) over () + 1))::int as file from arrived),
+tops as (
+  select f.file, coalesce((select max(us) // 1000 * 1000 - 3600000000 from filed where file < f.file), 0) as wm from range(9) f(file)),
+steps as (
+  select case when file >= 4 then file + 1 else file end as step, case when file < 8 then file end as file, wm from tops
+  union all select 4, null, wm from tops where file = 4),
+fixed as (
+  select members.* exclude (host_id), members.host_id, s.step from members join filed using (event_id) join steps s on s.file = filed.file
+  where window_type <> 'session'),
+told as (
+  select fixed.*, (select min(step) from steps where steps.step >= fixed.step and wm >= end_us) as batch from fixed)"""
+
+_REPORTED = """
+select host_id, window_type, start_us, count(*) as packets, cast(sum(pkt_len) as bigint) as bytes, count(distinct dst_ip) as uniq_dst_ip,
+       count(distinct dst_port) as uniq_dst_port, min(us) as first_us, max(us) as last_us
+from told where batch is not null group by host_id, window_type, start_us, batch
+union all
+select host_id, 'late', null, count(*), null, null, null, null, null
+from filed join steps using (file) where us < wm group by host_id"""
 
 
 def _closed(kind: str | None = None) -> str:
@@ -318,12 +340,15 @@ ORACLES: dict[str, str] = {
     "zscore_alerts": sql(*_ALL, ZSCORE, alerts_out("zscore_alerts"), recursive=True),
     "combined_risk": sql(*_ALL, RULES, ZSCORE, COMBINED, _COMBINED_OUT, recursive=True),
     "profiles_json": sql(*_ALL, f"""
-select host_id as key, {_text("window_start_us")} as window_start, {_text("window_end_us")} as window_end, window_type,
-       cast(packets as varchar) as packets, cast(bytes as varchar) as bytes, cast(uniq_dst_ip as varchar) as uniq_dst_ip
-from profiles"""),
+select host_id as key, host_id, {_text("window_start_us")} as window_start, {_text("window_end_us")} as window_end,
+       * exclude (host_id, window_start_us, window_end_us)
+from ({_PROFILE_OUT})"""),
     "alerts_json": sql(*_ALL, RULES, f"""
-select host_id as key, alert_id, {_text("window_start_us")} as detected_at, detector, category,
-       cast(severity as varchar) as severity from ({alerts_out("rule_alerts")})"""),
+select host_id as key, alert_id, host_id, {_text("window_start_us")} as detected_at, {_text("window_start_us")} as window_start,
+       detector, category, severity, risk_score, model_version,
+       case detector when 'rule:volume' then 'bps,bps_thr,pps,pps_thr' when 'rule:port_scan' then 'threshold,uniq_dst_port'
+         when 'rule:host_scan' then 'threshold,uniq_dst_ip' else 'conn_interval_avg,conn_interval_std,connections' end as details
+from ({alerts_out("rule_alerts")})"""),
     "profiles_loaded": sql(*_ALL, _LOADED),
     "profiles_quarantined": sql(*_ALL, """
 select 'not a message of this schema' as error, count(*) as messages from events
@@ -332,6 +357,16 @@ union all select 'unknown window type', count(*) from profiles where window_type
 select alert_id, host_id, detector, category, severity, risk_score, model_version,
        {_ms("window_start_us")} as detected_at_us, {_ms("window_start_us")} as window_start_us
 from ({alerts_out("rule_alerts")})"""),
+    "alert_tables_loaded": sql(*_ALL, RULES, f"""
+select alert_id, host_id, detector, category, severity, risk_score, model_version,
+       {_ms("window_start_us")} as detected_at_us, {_ms("window_start_us")} as window_start_us
+from ({alerts_out("rule_alerts")})"""),
+    "feature_columns": sql(*_ALL, f"""
+select host_id, window_type, window_start_us, window_type as named, 'tumbling' as unnamed, feature, number, number as at_place
+from (select host_id, window_type, window_start_us, {", ".join(f"{f}::double as {f}" for f in _FEATURES)} from ({_PROFILE_OUT}))
+unpivot (number for feature in ({", ".join(_FEATURES)}))"""),
+    "clustered_layout": sql(*_ALL, """
+select strftime(make_timestamp(window_start_us), '%Y-%m-%d') as day, 2 * count(*) as profiles, 0::bigint as out_of_order from profiles group by day"""),
     "latest_profiles": sql(*_ALL, """
 select host_id, window_type, window_start_us, packets + 3 as packets, cast(3 as bigint) as version from profiles"""),
     "latest_alerts": sql(*_ALL, RULES, f"""
@@ -386,11 +421,24 @@ select host_id, event_id, timestamp_ns + cast(host_id[2:] as bigint) * 100000000
 select alert_id, host_id, detector, category, severity, risk_score, model_version,
        window_start_us as detected_at_us, window_start_us
 from ({alerts_out("rule_alerts")})"""),
+    "stream_late": sql(PACKETS, MEMBERS, _REPORTS, _REPORTED),
+    "live_all_alerts": sql(
+        *_ALL, CLOSED, "turn as (select closed.* from closed, mark where window_end_us < wm - 1800000000)",
+        RULES.replace("from profiles", "from closed"), zscore("turn"), _forest().replace("from profiles", "from closed"), f"""
+select alert_id, host_id, detector, category, severity, risk_score, model_version,
+       window_start_us as detected_at_us, window_start_us
+from ({alerts_out("rule_alerts")} union all {alerts_out("zscore_alerts")} union all {alerts_out("forest_alerts")})""", recursive=True),
     "stream_zscore": sql(*_ALL, ZSCORE, alerts_out("zscore_alerts"), recursive=True),
     "tables_loaded": sql(*_ALL, _LOADED),
     "all_alerts": sql(
-        *_ALL, RULES, ZSCORE,
-        f'{alerts_out("rule_alerts")} union all {alerts_out("zscore_alerts")}', recursive=True),
+        *_ALL, RULES, ZSCORE, _forest(),
+        " union all ".join(alerts_out(t) for t in ("rule_alerts", "zscore_alerts", "forest_alerts")), recursive=True),
+    "second_pass_model": sql(
+        *_ALL, "history as (select * replace (packets + 1000 as packets) from profiles where window_start_us >= (1705752000 - 240 * 3600)::bigint * 1000000)",
+        _forest().replace("from profiles", "from history"), alerts_out("forest_alerts")),
+    "training_invariants": sql(*_ALL, """
+select core, count(*) as profiles, true as one_each, true as rare, true as in_range, true as same_again
+from profiles, (values ('isoforest'), ('kmeans')) c(core) group by core"""),
     "isoforest_given_forest": sql(*_ALL, _forest(), alerts_out("forest_alerts")),
     "ocsvm_given_weights": sql(*_ALL, _svm(), alerts_out("svm_alerts")),
     "mlp_given_weights": sql(*_ALL, _network(), alerts_out("network_alerts")),
