@@ -6,8 +6,9 @@ place and gives the distribution of the class there; inside a class, words have
 
 The conditional of a word is how often it stands between the same two words elsewhere in the corpus, smoothed by
 a small network (``score_by_words``). These counts are keyed by the words themselves and grow with the corpus: each chunk
-of texts sends its distinct triples, as 8 bytes (40 bits of the context beside its bucket, 24 of the word), to buckets by
-context, and gets the counts back in the order in which it sent them. A hot triple is one entry for each chunk.
+of texts sends each of its words once to a bucket by context, as 8 bytes (40 bits of the context beside its bucket, 24 of the
+word), with the network's probability and the place of its text in the chunk. The bucket adds up the terms of each text, and
+only these sums travel on; texts are read once and never shuffled, and no order of rows matters.
 
 All the network ever sees of the corpus is how often each class stands between each two others. These
 counts are taken over the whole corpus in Spark, so the network is trained in numpy on all of it, by full
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,140 +180,110 @@ def score(docs: DataFrame, model: LmModel) -> DataFrame:
     return found.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
-@dataclass
-class _Triples:
-    """Distinct (before, word, after) of a chunk, ordered by bucket."""
-
-    keys: np.ndarray
-    times: np.ndarray
-    edges: np.ndarray   # keys of bucket i are edges[i]:edges[i + 1]
-    place: np.ndarray   # of each word, among the keys
-
+def _word_rows(model: LmModel, buckets: int) -> Callable:
+    """For each chunk of texts one row with its ids and sizes, and one for each bucket it has words for."""
 
-def _triples(data: np.ndarray, offsets: np.ndarray, buckets: int) -> _Triples:
-    words = tokens.split_words(tokens.lower_ascii(data), offsets, tokens.is_letter(data))
-    hashes = words.hashes()
-    before, after = _neighbours(hashes, words.first)
-    context = tokens.mix(tokens.mix(before + np.uint64(1)) + after)
-    keys, index, place, times = np.unique(
-        (context & ~_WORD) | (hashes >> np.uint64(40)), return_index=True, return_inverse=True, return_counts=True)
-    bucket = ((context[index] & _WORD) * np.uint64(buckets)) >> np.uint64(24)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return _Triples(keys[order], times[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[place])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Numbered chunks of a task's rows; the same whenever the same rows are read."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for a, b, data, offsets in tokens.chunks(batch.column("text")):
-            yield number, batch.slice(a, b - a), data, offsets
-            number += 1
-
-
-def _triple_rows(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, data, offsets in _chunks(batches):
-            found = _triples(data, offsets, buckets)
-            full = np.flatnonzero(np.diff(found.edges))
-            spans = list(zip(found.edges[full].tolist(), found.edges[full + 1].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array(np.full(len(full), number), pa.int64()),
-                 pa.array([found.keys[a:b].tobytes() for a, b in spans], pa.binary()),
-                 pa.array([found.times[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary())],
-                ["bucket", "chunk", "keys", "times"])
+        number = TaskContext.get().partitionId() << 32  # only has to differ from the other chunks'
+        for batch in batches:
+            for a, b, data, offsets in tokens.chunks(batch.column("text")):
+                words = tokens.split_words(tokens.lower_ascii(data), offsets, tokens.is_letter(data))
+                hashes = words.hashes()
+                before, after = _neighbours(hashes, words.first)
+                context = tokens.mix(tokens.mix(before + np.uint64(1)) + after)
+                codes = (hashes >> np.uint64(64 - model.rule.bits)).astype(np.int64)
+                network = np.exp(model.between[_cells(model.word_class[codes], words.first, model.rule.classes)] + model.inside[codes])
+                bucket = (((context & _WORD) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                keys = ((context & ~_WORD) | (hashes >> np.uint64(40)))[order]
+                network = network[order].astype(np.float32)
+                row = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(words.first))[order]
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(edges))
+                spans = list(zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True))
+                none = [None] * len(full)
+                columns = [
+                    [-1, *full.tolist()], [number] * (len(full) + 1), [batch.column("doc_id").slice(a, b - a).to_pylist(), *none],
+                    [np.diff(words.first).tolist(), *none]]
+                types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                packed = [pa.array([None, *[x[s:e].tobytes() for s, e in spans]], pa.binary()) for x in (keys, network, row)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], *packed], _SENT)
+                number += 1
     return run
 
 
-def elsewhere(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_SENT = ["bucket", "chunk", "ids", "sizes", "keys", "network", "row"]
+_SUMS = ["chunk", "bucket", "ids", "sizes", "row", "sum"]
+
+
+def elsewhere(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each key's word, and any word, stands in its context, the place itself left out."""
-    names, which = np.unique(keys, return_inverse=True)
-    n = np.bincount(which, times, len(names))
+    names, which, n = np.unique(keys, return_inverse=True, return_counts=True)
     context = np.cumsum(np.diff(names >> np.uint64(24), prepend=names[:1] >> np.uint64(24)) != 0)
     return n[which] - 1, np.bincount(context, n)[context][which] - 1
 
 
-def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: for each chunk the counts of its keys, in their order."""
-    bucket, rows = None, []
+def _sum_rows(weight: float) -> Callable:
+    """From rows sorted by bucket: for each chunk the sums of the terms of its texts; rows with ids pass."""
 
-    def solve() -> pa.RecordBatch:
-        keys = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
-        found = np.stack(elsewhere(np.concatenate(keys), np.concatenate([np.frombuffer(t, np.uint32) for *_, t in rows])), axis=1)
-        ends = np.cumsum([len(k) for k in keys])
-        found = found.astype(np.float32)
+    def solve(bucket: int, rows: list) -> pa.RecordBatch:
+        keys, network, row = ([np.frombuffer(r[k], t) for r in rows] for k, t in ((1, np.uint64), (2, np.float32), (3, np.int32)))
+        n, total = elsewhere(np.concatenate(keys))
+        terms = np.log((n + weight * np.concatenate(network).astype(np.float64)) / (total + weight))
+        out, at = [], 0
+        for own in row:  # texts come in order within a chunk
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            out.append((own[heads].tobytes(), np.add.reduceat(terms[at:at + len(own)], heads).tobytes()))
+            at += len(own)
+        none = [None] * len(rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()),
-             pa.array([found[e - len(k):e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())], ["chunk", "at", "counts"])
-
-    for batch in batches:
-        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "times")), strict=True):
-            if b != bucket:
-                if rows:
-                    yield solve()
-                bucket, rows = b, []
-            rows.append(row)
-    if rows:
-        yield solve()
-
-
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts by chunk; their places are negative, so that they sort before the counts."""
-    for number, rows, _, _ in _chunks(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(rows), number), pa.int64()), pa.array(np.arange(len(rows)) - len(rows), pa.int64()),
-             rows.column("doc_id"), rows.column("text")], ["chunk", "at", "doc_id", "text"])
-
-
-def _joined_rows(model: LmModel, buckets: int) -> Callable:
-    def solve(ids: list, text: list, counts: list) -> pa.RecordBatch:
-        (_, _, data, offsets), = tokens.chunks(pa.array(text, pa.large_string()), 1 << 62)
-        found = _triples(data, offsets, buckets)
-        n, total = np.frombuffer(b"".join(counts), np.float32).reshape(-1, 2).astype(np.float64).T
-        if len(n) != len(found.keys):
-            raise ValueError("the texts were not read in the same order again; write them to a table first")
-        codes, first = _codes(data, offsets, model.rule.bits)
-        network = model.between[_cells(model.word_class[codes], first, model.rule.classes)] + model.inside[codes]
-        weight = model.rule.weight
-        terms = np.log((n[found.place] + weight * np.exp(network)) / (total[found.place] + weight))
-        sums = [float(terms[s:e].sum()) for s, e in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(sums, pa.float64())],
-            ["doc_id", "n_words", "log_likelihood"])
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(none, pa.list_(pa.int64())),
+             pa.array(none, pa.list_(pa.int64())), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], _SUMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, ids, text, counts = None, [], [], []
+        bucket, rows = None, []
         for batch in batches:
-            for c, at, doc, words, found in zip(*(batch.column(c).to_pylist() for c in ("chunk", "at", "doc_id", "text", "counts")), strict=True):
-                if c != chunk:
-                    if text:
-                        yield solve(ids, text, counts)
-                    chunk, ids, text, counts = c, [], [], []
-                if at < 0:
-                    ids.append(doc)
-                    text.append(words)
-                else:
-                    counts.append(found)
-        if text:
-            yield solve(ids, text, counts)
+            whole = batch.filter(pc.equal(batch.column("bucket"), -1))
+            if len(whole):
+                none = pa.nulls(len(whole), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(whole.column(c) for c in ("chunk", "bucket", "ids", "sizes")), none, none], _SUMS)
+            batch = batch.filter(pc.not_equal(batch.column("bucket"), -1))
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "network", "row")), strict=True):
+                if b != bucket:
+                    if rows:
+                        yield solve(bucket, rows)
+                    bucket, rows = b, []
+                rows.append(row)
+        if rows:
+            yield solve(bucket, rows)
     return run
 
 
+def _scored_chunk(table: pa.Table) -> pa.Table:
+    """The texts of a chunk with their sums, added up in the order of the buckets."""
+    table = table.sort_by("bucket").combine_chunks()
+    ids, sizes = table.column("ids")[0].as_py(), table.column("sizes")[0].as_py()
+    total = np.zeros(len(ids))
+    for row, part in zip(table.column("row").to_pylist()[1:], table.column("sum").to_pylist()[1:], strict=True):
+        total[np.frombuffer(row, np.int32)] += np.frombuffer(part, np.float64)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "log_likelihood": pa.array(total)})
+
+
 def score_by_words(docs: DataFrame, model: LmModel) -> DataFrame:
     """Like ``score``, with each word's conditional from the counts of ``docs``, smoothed by the network of ``model``.
 
     p = (n + weight * p of the network) / (N + weight): between the same two words, the word stands n times and any
-    word N times at other places of ``docs``. ``docs`` is read twice and must give its rows in the same order, as tables do.
+    word N times at other places of ``docs``. ``docs`` is read once, in any order.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 24, max(width, -(-model.total // model.rule.bucket_words)))
+    parts = max(width, buckets)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = rows.mapInArrow(_triple_rows(buckets), "bucket int, chunk long, keys binary, times binary")
-    sent = sent.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int")).sortWithinPartitions("bucket", "chunk")
-    counts = sent.mapInArrow(_answer_rows, "chunk long, at long, counts binary")
-    texts = rows.mapInArrow(_text_rows, "chunk long, at long, doc_id long, text string")
-    both = texts.unionByName(counts, allowMissingColumns=True).repartition(width, "chunk").sortWithinPartitions("chunk", "at")
-    found = both.mapInArrow(_joined_rows(model, buckets), "doc_id long, n_words long, log_likelihood double")
+    sent = rows.mapInArrow(
+        _word_rows(model, buckets), "bucket int, chunk long, ids array<long>, sizes array<long>, keys binary, network binary, row binary")
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(parts))).otherwise(F.pmod("bucket", F.lit(parts)))
+    sent = sent.repartitionById(parts, place.cast("int")).sortWithinPartitions("bucket", "chunk")
+    sums = sent.mapInArrow(_sum_rows(model.rule.weight), "chunk long, bucket int, ids array<long>, sizes array<long>, row binary, sum binary")
+    found = sums.groupBy("chunk").applyInArrow(_scored_chunk, "doc_id long, n_words long, log_likelihood double")
     return found.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
