@@ -177,15 +177,16 @@ def reemit_late(
     def emit(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         top = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
-        if batch_id > 0:
-            earlier = spark.read.schema(top_type).parquet(marks_path).where(F.col("batch_id") < batch_id)
-            seen = earlier.agg(F.max("top_us")).first()[0]
+        if batch_id > 0:  # the mark of the batch before holds the highest time of all batches up to it
+            seen = spark.read.schema(top_type).parquet(f"{marks_path}/part={batch_id - 1}").agg(F.max("top_us")).first()[0]
             if seen is not None:
                 watermark = F.timestamp_micros(F.lit(int(seen - settings.watermark_sec * 1_000_000)))
                 late = batch.where(F.col("ts") < watermark)
                 partial = W.profiles(late, settings, ("tumbling", "sliding"))
                 sink(W.closed_profiles(partial, watermark, settings.session_timeout_sec), batch_id)
+                top = seen if top is None else max(top, seen)
         spark.createDataFrame([(batch_id, top)], top_type).coalesce(1).write.mode("overwrite").parquet(f"{marks_path}/part={batch_id}")
+        workspace.remove(spark, f"{marks_path}/part={batch_id - 2}")
         batch.unpersist()
 
     return start(packets, emit, checkpoint, available_now)
