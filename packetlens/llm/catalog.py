@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import workspace
 from . import bpe, chat, decontaminate, jaccard, lm, middle, pii, quality, resharding, spelling, substrings, token_counts, toxicity
@@ -39,9 +40,16 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_resharding(spark: SparkSession, sf: str) -> DataFrame:
-    rule = resharding.Resharding()
-    found = resharding.reshard(read(spark, sf, "documents"), resharding.old_shard(F.col("source"), rule.shards), rule)
-    return found.select(
+    """The documents in shards by source, rewritten to shards of equal bytes; all columns come from the files read back."""
+    rule, path = resharding.Resharding(), workspace.fresh(spark, "shards")
+    docs = read(spark, sf, "documents")
+    docs.withColumn("shard", resharding.old_shard(F.col("source"), rule.shards)).write.partitionBy("shard").parquet(path)
+    layout = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType())])
+    resharding.rewrite(spark.read.schema(layout).parquet(path), F.col("shard"), path, rule)
+    found = spark.read.schema(layout).parquet(path).select(
+        "doc_id", resharding.size_of(F.col("text")).alias("size"), resharding.crc_of(F.col("text")).alias("text_crc32"), "shard",
+        resharding.old_shard(F.col("source"), rule.shards).alias("old_shard"))
+    return resharding.with_slots(workspace.written(found, "shard_rows"), rule).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

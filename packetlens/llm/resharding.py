@@ -1,28 +1,35 @@
 """Moving rows from uneven shards to new capacities with the fewest bytes moved.
 
 The rows of each old shard fall into blocks by a hash of their id and text. Block sizes are summed in
-Spark; their number is fixed by the settings, so they fit on the driver whatever the data. A minimum-cost
+Spark; their number is bounded by the settings, so they fit on the driver whatever the data. A minimum-cost
 flow from old shard sizes to new capacities says how many bytes go from where to where, and blocks are
-chosen to carry them. The plan (old shard, block -> new shard) is joined back to the rows.
+chosen to carry them. The plan (old shard, block -> new shard) is joined back to the rows, and the files of shards that gain
+or lose rows are written anew.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans import workspace
 
 
 @dataclass(frozen=True)
 class Resharding:
-    """Settings: ``shards`` new shards of equal capacity; each old shard is cut into ``blocks`` blocks."""
+    """Settings: ``shards`` new shards of equal capacity; each old shard is cut into ``blocks`` blocks.
+
+    There may be ``most_old`` old shards: blocks of all of them are planned on the driver and broadcast.
+    """
 
     shards: int = 16
     blocks: int = 1024
+    most_old: int = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -103,20 +110,28 @@ def plan_blocks(sizes: dict[tuple[int, int], int], rule: Resharding, cost: list[
     return out
 
 
-def reshard(docs: DataFrame, old: Column, rule: Resharding = Resharding()) -> DataFrame:
-    """(doc_id, text_crc32, size, old_shard, shard, slot) for each row of ``docs`` (doc_id, text; ``old`` may read others).
+def crc_of(text: Column) -> Column:
+    """Unsigned CRC-32 of the UTF-8 text; a null text counts as the empty one."""
+    return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
-    Shards get nearly equal bytes. ``slot`` counts the rows of a shard from 0 without gaps. Null and empty
-    texts have size 1; null ids are a value like any other; rows alike in id and text share a block but have
-    slots of their own. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    key = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(rule.blocks)).cast("int")
+
+def block_of(doc_id: Column, crc: Column, rule: Resharding) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long"), crc), F.lit(rule.blocks)).cast("int")
+
+
+def _short(docs: DataFrame, old: Column, rule: Resharding) -> DataFrame:
+    """(doc_id, text_crc32, size, old_shard, block) of all rows, written: texts are read once for them."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
-        size_of(F.col("text").cast("string")).alias("size"), old.cast("int").alias("old_shard"))
-    # the texts are read once; everything below works on these short rows
-    rows = workspace.written(rows.withColumn("block", key), "reshard_rows")
+        F.col("doc_id").cast("long").alias("doc_id"), crc_of(F.col("text")).alias("text_crc32"), size_of(F.col("text").cast("string")).alias("size"),
+        old.cast("int").alias("old_shard"))
+    return workspace.written(rows.withColumn("block", block_of(F.col("doc_id"), F.col("text_crc32"), rule)), "reshard_rows")
+
+
+def _planned(rows: DataFrame, rule: Resharding) -> DataFrame:
+    """(old_shard, block, shard, first_slot) from short rows; at most most_old * blocks rows."""
+    found = rows.select("old_shard").distinct().count()
+    if found > rule.most_old:
+        raise ValueError(f"{found} old shards, most_old is {rule.most_old}")
     sums = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     plan = plan_blocks({(r["old_shard"], r["block"]): r["size"] for r in sums}, rule)
     first, at = {}, [0] * rule.shards
@@ -125,32 +140,69 @@ def reshard(docs: DataFrame, old: Column, rule: Resharding = Resharding()) -> Da
         first[place] = at[plan[place]]
         at[plan[place]] += r["n"]
     schema = "old_shard int, block int, shard int, first_slot long"
-    # at most old shards * blocks rows
-    table = spark.createDataFrame([(*k, plan[k], first[k]) for k in sorted(plan)], schema)
-    from pyspark.sql import Window
+    return rows.sparkSession.createDataFrame([(*k, plan[k], first[k]) for k in sorted(plan)], schema)
 
-    within = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("within", within).join(F.broadcast(table), ["old_shard", "block"]).select(
+
+def reshard(docs: DataFrame, old: Column, rule: Resharding = Resharding()) -> DataFrame:
+    """(doc_id, text_crc32, size, old_shard, shard, slot) for each row of ``docs`` (doc_id, text; ``old`` may read others).
+
+    Shards get nearly equal bytes. ``slot`` counts the rows of a shard from 0 without gaps. Null and empty
+    texts have size 1; null ids are a value like any other; rows alike in id and text share a block but have
+    slots of their own. An empty table gives no rows; more old shards than ``most_old`` are refused.
+    """
+    rows = _short(docs, old, rule)
+    order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
+    within = F.row_number().over(order) - 1
+    return rows.withColumn("within", within).join(F.broadcast(_planned(rows, rule)), ["old_shard", "block"]).select(
         "doc_id", "text_crc32", "size", "old_shard", "shard", (F.col("first_slot") + F.col("within")).alias("slot"))
 
 
+def with_slots(rows: DataFrame, rule: Resharding = Resharding()) -> DataFrame:
+    """``rows`` (doc_id, text_crc32, size, shard and others) with slot, gapless from 0 in each shard.
+
+    Counted in two steps: blocks of a shard get their first slots from the numbers of rows before them, and rows
+    are numbered inside their block, so no task sorts a shard.
+    """
+    rows = rows.withColumn("__block", block_of(F.col("doc_id"), F.col("text_crc32"), rule))
+    counts = rows.groupBy("shard", "__block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy("shard", "__block").orderBy("doc_id", "text_crc32", "size")) - 1
+    # at most shards * blocks rows
+    numbered = rows.withColumn("__within", within).join(F.broadcast(starts), ["shard", "__block"])
+    return numbered.withColumn("slot", F.col("__first") + F.col("__within")).drop("__block", "__first", "__within")
+
+
 def rewrite(docs: DataFrame, old: Column, path: str, rule: Resharding = Resharding()) -> DataFrame:
     """Rewrite the shard folders (``path``/shard=N) that gain or lose rows; others are not touched.
 
-    ``docs`` holds the rows of all old shards. The placement is joined to the rows by id and text; returns
-    (old_shard, shard, n, bytes) of the moved rows. New files are written before old ones are replaced. Folders of
-    old shards beyond the new number are left for the caller to drop.
+    ``docs`` holds the rows of all old shards, for example as read from ``path``; a column named shard is the place of a row
+    and not one of its values. Returns (old_shard, shard, n, bytes) of the moved rows. Each row finds its place by its block, so texts are
+    not shuffled. New files are complete beside the table before the first folder is replaced; a shard that loses its last
+    row loses its folder.
     """
-    placed = workspace.written(reshard(docs, old, rule), "reshard_plan")
-    moved = placed.where("old_shard <> shard").groupBy("old_shard", "shard").agg(
+    spark = docs.sparkSession
+    rows = _short(docs, old, rule)
+    plan = workspace.written(_planned(rows, rule), "reshard_plan")
+    moved = rows.join(F.broadcast(plan), ["old_shard", "block"]).where("old_shard <> shard").groupBy("old_shard", "shard").agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"))
     moved = workspace.written(moved, "reshard_moved")
-    touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    places = placed.join(F.broadcast(touched), "shard").select(
-        F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard")).distinct()
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")))
-    staged = workspace.written(rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__shard"), "reshard_files")
-    staged = staged.withColumnRenamed("__shard", "shard").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    staged.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    # at most most_old + shards numbers
+    touched = sorted({n for r in moved.collect() for n in (r["old_shard"], r["shard"])})
+    if not touched:
+        return moved
+    places = plan.select(F.col("old_shard").alias("__old"), F.col("block").alias("__block"), F.col("shard").alias("__shard"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    placed = docs.withColumn("__old", old.cast("int")).withColumn("__block", block_of(F.col("doc_id"), crc_of(F.col("text")), rule)).join(
+        F.broadcast(places), ["__old", "__block"]).where(F.col("__shard").isin(touched))
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    placed.select(*own, F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in touched:
+        here, new = hadoop.Path(f"{path}/shard={n}"), hadoop.Path(f"{staged}/shard={n}")
+        files.delete(here, True)
+        if files.exists(new):
+            files.rename(new, here)
+    files.delete(hadoop.Path(staged), True)
     return moved
