@@ -7,13 +7,15 @@ expand to are recorded. A turn becomes one segment of its conversation's string:
     <|im_start|>role, newline, body, <|im_end|>, newline
 
 Every ``<|`` in a text gets a backslash in between, and one more where there are backslashes already, so
-texts never hold a control string and can be read back exactly. Segments are made row by row; the
+texts never hold a control string and can be read back exactly. Texts that follow each other without an attachment between
+them are escaped as one text, so none can be put together from the ends of parts. Segments are made row by row; the
 string of a conversation is its segments in order, so a very long conversation is never held in one row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -66,7 +68,7 @@ class PartVisitor:
         self.form = form
 
     def text(self, part: Column) -> tuple[Column, Column, Column]:
-        return escape(F.coalesce(part["text"], F.lit(""))), F.lit(0), F.lit(None).cast("string")
+        return F.coalesce(part["text"], F.lit("")), F.lit(0), F.lit(None).cast("string")
 
     def image(self, part: Column) -> tuple[Column, Column, Column]:
         rows, columns = (F.ceil(F.coalesce(part[side], F.lit(0)) / self.form.patch) for side in ("height", "width"))
@@ -88,6 +90,26 @@ class PartVisitor:
             F.coalesce(shown, F.lit("")).alias("shown"), tokens.cast("long").alias("tokens"), kind.alias("kind"), part["ref"].alias("ref"))
 
 
+def flattened(rows: DataFrame, form: ChatFormat) -> DataFrame:
+    """``rows`` with parts instead of content: (shown, tokens, kind, ref), texts, escaped, and attachments by turns; first and last are texts."""
+    empty = F.expr(f"cast(array() as {CONTENT})")
+    rows = rows.withColumn("visited", F.transform(F.coalesce(F.col("content"), empty), PartVisitor(form).visit)).drop("content")
+    # texts are joined with a mark for each attachment that none of them can hold, escaped, and cut at the marks again
+    whole = F.array_join(F.transform("visited", lambda p: p["shown"]), "")
+    rows = rows.withColumn("files", F.filter("visited", lambda p: p["kind"].isNotNull())).withColumn(
+        "mark", F.when(F.size("files") > 0, F.concat(F.lit("\u0000"), F.sha2(whole.cast("binary"), 256))).otherwise(F.lit("\u0000")))
+    marked = F.array_join(F.transform("visited", lambda p: F.when(p["kind"].isNull(), p["shown"]).otherwise(F.col("mark"))), "")
+    texts = F.when(F.size("files") > 0, F.split(marked, F.col("mark"), -1)).otherwise(F.array(marked))
+    rows = rows.withColumn("texts", F.transform(texts, escape)).drop("visited", "mark")
+
+    def part(text: Column, k: Column) -> Column:
+        own = F.struct(text.alias("shown"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("kind"),
+                       F.lit(None).cast("string").alias("ref"))
+        return F.when(k < F.size("files"), F.array(own, F.get(F.col("files"), k))).otherwise(F.array(own))
+
+    return rows.withColumn("parts", F.flatten(F.transform("texts", part))).drop("texts", "files")
+
+
 def text_content(text: Column) -> Column:
     """A plain text as content: one text part."""
     return F.array(F.struct(
@@ -101,16 +123,17 @@ def format_turns(messages: DataFrame, form: ChatFormat = ChatFormat()) -> DataFr
 
     ``messages``: conv_id, turn, role, content (see ``CONTENT``); other columns are ignored. Returns conv_id,
     position (from 0), segment, start (its place in the conversation, in code points), loss_start and loss_stop
-    (the body of a trained turn, else null), tokens (that attachments expand to) and attachments (kind, ref,
-    ordinal in the turn, at: place of the placeholder in the conversation, tokens).
+    (the body of a trained turn, else null), loss_spans (start and stop of the texts in it, without placeholders; else null),
+    tokens (that attachments expand to) and attachments (kind, ref, ordinal in the turn, at: place of the placeholder in
+    the conversation, tokens).
     Rows go by turn; ties by role, then body. Null roles and contents are empty; a null conv_id is a
     conversation of its own; a repeated row is one more turn. An empty table gives no rows.
     """
-    visitor = PartVisitor(form)
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.transform(F.coalesce(F.col("content"), F.expr(f"cast(array() as {CONTENT})")), visitor.visit).alias("parts"))
+        "content")
+    rows = flattened(rows, form)
     body = F.array_join(F.transform("parts", lambda p: p["shown"]), "")
     rows = rows.withColumn("body", body).withColumn("head", F.concat(F.lit(form.start), escape_role(F.col("role")), F.lit("\n")))
     rows = rows.withColumn("segment", F.concat("head", "body", F.lit(form.end + "\n")))
@@ -125,25 +148,36 @@ def format_turns(messages: DataFrame, form: ChatFormat = ChatFormat()) -> DataFr
         (acc, p) -> named_struct('at', acc.at + char_length(p.shown), 'n', acc.n + if(p.kind is null, 0, 1), 'out',
             if(p.kind is null, acc.out, concat(acc.out, array(named_struct(
                 'kind', p.kind, 'ref', p.ref, 'ordinal', acc.n, 'at', acc.at, 'tokens', p.tokens))))), acc -> acc.out)""")
-    rows = rows.withColumn("places", places)
+    # every second part is a text, and starts where the attachment ahead of it ends
+    sizes = F.transform("parts", lambda p: F.char_length(p["shown"]).cast("long"))
+    ends = F.expr("""aggregate(sizes, cast(named_struct('at', 0L, 'n', 0, 'out', array()) as struct<at:bigint,n:int,out:array<struct<start:bigint,stop:bigint>>>),
+        (acc, s) -> named_struct('at', acc.at + s, 'n', acc.n + 1, 'out', if(acc.n % 2 = 1 or s = 0, acc.out,
+            concat(acc.out, array(named_struct('start', acc.at, 'stop', acc.at + s))))), acc -> acc.out)""")
+    rows = rows.withColumn("places", places).withColumn("sizes", sizes).withColumn("texts", ends)
     moved = F.transform("places", lambda p: F.struct(
         p["kind"].alias("kind"), p["ref"].alias("ref"), p["ordinal"].alias("ordinal"), (p["at"] + inner).alias("at"), p["tokens"].alias("tokens")))
     return rows.select(
         "conv_id", "position", "segment", "start", F.when(trained, inner).alias("loss_start"),
         F.when(trained, inner + F.char_length("body")).alias("loss_stop"),
+        F.when(trained, F.transform("texts", lambda t: F.struct((t["start"] + inner).alias("start"), (t["stop"] + inner).alias("stop")))).alias("loss_spans"),
         F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["tokens"]).alias("tokens"), moved.alias("attachments"))
 
 
 def read_turns(segments: DataFrame, form: ChatFormat = ChatFormat()) -> DataFrame:
-    """``segments`` with the role, the text and the text under the loss mask (null: none) read back from them."""
+    """``segments`` with what they say: the role, the text with its placeholders, the text under the loss mask (null: none),
+    and placeholders, the control strings of attachments in order (what looks like one in a text is escaped and not among them).
+    """
     rest = F.substring("segment", len(form.start) + 1, 2_000_000_000)
     head = F.substring_index(rest, "\n", 1)
     first = F.char_length(head) + len(form.start) + 2
     size = F.char_length("segment") - F.char_length(head) - len(form.start) - len(form.end) - 2
-    masked = F.col("segment").substr((F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))
+    body = F.col("segment").substr(first, size)
+    said = F.transform("loss_spans", lambda t: unescape(F.substr(
+        F.col("segment"), (t["start"] - F.col("start") + 1).cast("int"), (t["stop"] - t["start"]).cast("int"))))
+    controls = "|".join(re.escape(x) for x in (form.image, form.audio, form.document))
     return segments.select(
-        "*", unescape_role(head).alias("role"), unescape(F.col("segment").substr(first, size)).alias("text"),
-        unescape(masked).alias("loss_text"))
+        "*", unescape_role(head).alias("role"), unescape(body).alias("text"), F.array_join(said, "").alias("loss_text"),
+        F.regexp_extract_all(body, F.lit(controls), 0).alias("placeholders"))
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
