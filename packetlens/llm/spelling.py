@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -301,7 +302,7 @@ def cell_trees(words: DataFrame, rule: Spelling) -> dict[int, KdTree]:
     held = drawn.select("word", length.alias("length")).orderBy("word").toArrow()
     out = {}
     for n, (rows, cells) in large.items():
-        some = held.filter(pa.compute.equal(held.column("length"), n)).column("word")
+        some = held.filter(pc.equal(held.column("length"), n)).column("word")
         if len(some) > 1:
             tree = KdTree.of(points_of(*letter_codes(some)), max(rule.least_sample, int(len(some) / cells)))
             out[n] = KdTree(tree.letter, tree.cut, tree.left, tree.right, [])  # without the sample
