@@ -6,6 +6,10 @@ above; only pairs that pass the bound get an exact intersection of their sorted
 1. ``part_keys`` cuts the hash space of a size band into more parts than two linked sets can differ
    in, so linked sets agree on a whole part (nothing is lost). One row per set and part is
    shuffled by part content; copies are merged per task before that.
+   With ``prefix`` the keys are instead the first elements of each set, as many as a linked set may lack and one more, in one
+   order for all sets: rare ones first by a sketch of fixed size that counts in how many texts hashes stand. Linked sets
+   share one of them whatever the sketch says, and it keeps passages that many texts share from being keys. Below 90 percent
+   parts would be so small that such passages meet in them.
 2. Parts shared by different sets give candidate edges to the smallest member; their components
    hold every link. A set is shipped once per tile instead of once per shared part.
 3. Leaders: every set is compared with the set it shares most first parts with. This is linear, and
@@ -14,8 +18,9 @@ above; only pairs that pass the bound get an exact intersection of their sorted
    pieces are left to compare, and none of them within the largest piece. A component is a tile; one of more
    than ``tile_rows`` sets or ``tile_shingles`` shingles is cut by size band and hash into blocks, and pairs of
    blocks whose sizes can match become tiles, so no task holds more than two blocks.
-5. Inside a tile numpy compares bitmaps, then arrays, and skips pairs already connected. The verified links
-   (less than one per set and tile) are contracted to classes.
+5. Bitmaps go to the tiles first, a few dozen bytes a set. Sets whose bit counts rule out every partner in a tile stay
+   behind; only the texts of the others follow. There numpy compares bitmaps, then arrays, and skips pairs already
+   connected. The verified links (less than one per set and tile) are contracted to classes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from . import tokens
 from .graph import components
 
 BAND_STEP = 1.5
+BROADCAST_ROWS = 1 << 19  # of 8-byte ids; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,8 @@ class JaccardJoin:
     lower: bool = True
     tile_rows: int = 1024
     tile_shingles: int = 1_000_000
+    prefix: bool = False
+    sketch_bits: int = 21
 
     def most_differing(self, total: int) -> int:
         """Largest symmetric difference of two linked sets whose sizes add up to ``total``."""
@@ -106,6 +114,60 @@ def part_keys(found: np.ndarray, rule: JaccardJoin) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else found[:0]
 
 
+def prefix_keys(found: np.ndarray, ranks: np.ndarray, rule: JaccardJoin) -> np.ndarray:
+    """The first elements of a sorted set by (rank, hash): at most so many can be missing in a linked set, and one more."""
+    n = len(found)
+    first = np.argsort(ranks[_cells(found, rule)], kind="stable")[:n - -(-rule.threshold * n // 100) + 1]
+    return tokens.mix(found[first])
+
+
+def _cells(found: np.ndarray, rule: JaccardJoin) -> np.ndarray:
+    return (found >> np.uint64(64 - rule.sketch_bits)).astype(np.int64)
+
+
+_BLOCK = 1 << 16  # cells of the sketch that are added up together
+
+
+def _sketch_rows(rule: JaccardJoin) -> Callable:
+    """How often hashes of each cell stand in a task's sets; equal sets of a batch count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << rule.sketch_bits
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            seen = set()
+            for _, _, data, offsets in tokens.chunks(batch.column("text")):
+                fresh = []
+                for found in shingle_sets(data, offsets, rule):
+                    name = _identity(found)
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(found)
+                total += np.bincount(_cells(np.concatenate(fresh), rule), minlength=size) if fresh else 0
+        step = min(size, _BLOCK)
+        for k in range(0, size, step):
+            part = np.minimum(total[k:k + step], (1 << 32) - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+    return run
+
+
+def _ranked(table: pa.Table) -> pa.Table:
+    """Sums of a block of cells as ranks: a step for each doubling."""
+    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+    ranks = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+
+def rarity(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
+    """The rank of each cell of hashes; 2^sketch_bits bytes, whatever the data."""
+    out = np.zeros(1 << rule.sketch_bits, np.uint8)
+    found = docs.mapInArrow(_sketch_rows(rule), "block int, counts binary").groupBy("block").applyInArrow(_ranked, "block int, ranks binary")
+    step = min(len(out), _BLOCK)
+    for r in found.collect():
+        out[r["block"] * step:(r["block"] + 1) * step] = np.frombuffer(r["ranks"], np.uint8)
+    return out
+
+
 def _identity(found: np.ndarray) -> int:
     """One number for a whole set."""
     return int(tokens.mix(np.array([found.sum(dtype=np.uint64)]) ^ tokens.mix(np.array([len(found)], np.uint64)))[0])
@@ -115,7 +177,7 @@ def _long(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-SETS = "doc_id long, n_shingles long, set_id long"
+SETS = "doc_id long, n_shingles long, set_id long, map binary"
 KEYS = "part long, set_id long, node long"
 
 
@@ -126,12 +188,13 @@ def _set_rows(rule: JaccardJoin) -> Callable:
                 sets = shingle_sets(data, offsets, rule)
                 ids = np.array([_identity(s) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_long(ids))],
-                    ["doc_id", "n_shingles", "set_id"])
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_long(ids)),
+                     pa.array([bitmap(s, map_bits(len(s), rule)).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "set_id", "map"])
     return run
 
 
-def _key_rows(rule: JaccardJoin) -> Callable:
+def _key_rows(rule: JaccardJoin, ranks: np.ndarray | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, int] = {}
@@ -142,7 +205,7 @@ def _key_rows(rule: JaccardJoin) -> Callable:
                     if len(found) and doc is not None:
                         name = _identity(found)
                         if name not in arrays:
-                            arrays[name] = part_keys(found, rule)
+                            arrays[name] = part_keys(found, rule) if ranks is None else prefix_keys(found, ranks, rule)
                         seen[name] = min(doc, seen.get(name, doc))
             if not seen:
                 continue
@@ -180,6 +243,58 @@ def bitmap(found: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def map_bits(n: int, rule: JaccardJoin) -> int:
+    """Bits of the bitmap of a set: about four for each element that a linked set of its size may differ in."""
+    bits = 256
+    while bits < 4 * rule.most_differing(2 * n):
+        bits *= 2
+    return bits
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of fewer 64-bit words: parities of the bits that fall together."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def hopeful(maps: list[np.ndarray], sizes: np.ndarray, rule: JaccardJoin, left: np.ndarray | None, piece: np.ndarray) -> np.ndarray:
+    """Which sets of a tile have a partner, in another piece and on the other side if there are sides, that bit counts allow."""
+    n = len(maps)
+    order = np.lexsort((np.arange(n), sizes))
+    sizes, piece = sizes[order], piece[order]
+    side = None if left is None else left[order]
+    words = np.array([len(maps[i]) for i in order])  # ascending, as the sizes are
+    held: dict[int, np.ndarray] = {}
+    found = np.zeros(n, bool)
+    for i in range(n):
+        size, end = int(sizes[i]), int(np.searchsorted(sizes, 100 * int(sizes[i]) // rule.threshold, "right"))
+        if end <= i + 1:
+            continue
+        width = int(words[i])
+        if width not in held:  # of all sets with bitmaps at least as wide
+            begin = int(np.searchsorted(words, width))
+            parts = [folded(np.stack([maps[k] for k in order[a:b]]), width) for a, b in _equal_runs(words, begin)]
+            held = {width: np.concatenate([np.zeros((begin, width), np.uint64), *parts])}
+        others = np.arange(i + 1, end)
+        others = others[piece[i + 1:end] != piece[i]]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        total = sizes[others] + size
+        most = (total - np.bitwise_count(held[width][others] ^ held[width][i]).sum(axis=1, dtype=np.int64)) // 2
+        passed = others[100 * most >= rule.threshold * (total - most)]
+        if len(passed):
+            found[order[i]] = True
+            found[order[passed]] = True
+    return found
+
+
+def _equal_runs(values: np.ndarray, begin: int) -> list[tuple[int, int]]:
+    edges = begin + np.flatnonzero(np.diff(values[begin:], prepend=-1))
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(values)], strict=True))
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted distinct arrays."""
     at = np.searchsorted(y, x)
@@ -198,9 +313,7 @@ def linked_pairs(
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.arange(n), sizes))
-    bits = 256
-    while bits < 4 * rule.most_differing(2 * int(sizes.max(initial=0))):
-        bits *= 2
+    bits = map_bits(int(sizes.max(initial=0)), rule)
     maps = np.array([bitmap(sets[i], bits) for i in order])
     sorted_sizes = sizes[order]
     side = None if left is None else left[order]
@@ -240,6 +353,32 @@ def linked_pairs(
     return out
 
 
+def _tile_hopes(rule: JaccardJoin) -> Callable:
+    """From bitmaps sorted by tile: the rows of the sets that may have a link."""
+    names = ["tile", "node", "side", "piece"]
+
+    def solve(rows: list) -> Iterator[pa.RecordBatch]:
+        node, side, piece, sizes, maps = zip(*(r[1:] for r in rows), strict=True)
+        side, piece = np.array(side), np.array(piece)
+        keep = hopeful([np.frombuffer(m, np.uint64) for m in maps], np.array(sizes), rule, None if (side < 0).all() else side, piece)
+        if keep.any():
+            kept = [np.full(int(keep.sum()), rows[0][0]), np.array(node)[keep], side[keep], piece[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in kept], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in [*names, "n_shingles", "map"]), strict=True):
+                if rows and row[0] != rows[0][0]:
+                    if len(rows) > 1:
+                        yield from solve(rows)
+                    rows = []
+                rows.append(row)
+        if len(rows) > 1:
+            yield from solve(rows)
+    return run
+
+
 def _tile_links(rule: JaccardJoin) -> Callable:
     def solve(rows: list) -> list[tuple[int, int]]:
         sets: list[np.ndarray] = []
@@ -286,7 +425,7 @@ def _leader_tiles(stars: DataFrame, members: DataFrame, rule: JaccardJoin) -> Da
 
 def _open_tiles(members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
     """(node, tile, side, piece) for components of several connected pieces; side -1: all pairs of the tile count."""
-    named = members.join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    named = members.drop("set_id").join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
     sizes = named.groupBy("label", "piece").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
     total = sizes.groupBy("label").agg(
         F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("pieces"),
@@ -326,21 +465,28 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = workspace.written(docs.mapInArrow(_set_rows(rule), SETS), "shingle_sets")
+    sets = workspace.written(docs.mapInArrow(_set_rows(rule), SETS), "shingle_sets")  # and their bitmaps
     # a set is known by its smallest doc_id
     classes = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("node"))
-    keys = docs.mapInArrow(_key_rows(rule), KEYS)
+    keys = docs.mapInArrow(_key_rows(rule, rarity(docs, rule) if rule.prefix else None), KEYS)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stars = keys.repartition(width, "part").sortWithinPartitions("part", "set_id", "node").mapInArrow(_stars, "a long, b long, n long")
     stars = workspace.written(stars.groupBy("a", "b").agg(F.sum("n").alias("n")), "near_stars")
     groups = components(stars, "a", "b")
-    members = workspace.written(classes.join(groups, "node").select("node", "label", "n_shingles"), "near_members")
+    members = workspace.written(classes.join(groups, "node").select("node", "label", "n_shingles", "set_id"), "near_members")
     texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node")
-    # from here on only the texts that share a part with another one
-    texts = workspace.written(texts.join(members.select("node"), "node"), "near_texts")
+    maps = workspace.written(
+        sets.select(F.col("doc_id").alias("node"), "set_id", "map").join(members.select("node", "set_id", "n_shingles"), ["node", "set_id"])
+        .dropDuplicates(["node", "set_id"]).select("node", "n_shingles", "map"), "near_maps")
 
     def compared(placed: DataFrame) -> DataFrame:
-        rows = texts.join(placed, "node").select("tile", "node", "text", "side", "piece")
+        rows = maps.join(placed, "node").select("tile", "node", "side", "piece", "n_shingles", "map")
+        hopes = rows.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(
+            _tile_hopes(rule), "tile long, node long, side long, piece long").distinct()
+        hopes = workspace.written(hopes, "near_hopes")
+        nodes = hopes.select("node").distinct()
+        few = hopes.count() <= BROADCAST_ROWS  # then the other texts need no shuffle
+        rows = texts.join(F.broadcast(nodes) if few else nodes, "node").join(hopes, "node").select("tile", "node", "text", "side", "piece")
         links = rows.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_tile_links(rule), "a long, b long")
         return workspace.written(links, "near_links")
 
@@ -348,5 +494,5 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
     rest = compared(_open_tiles(members, components(led, "a", "b"), rule))
     found = components(led.unionByName(rest), "a", "b")
     named = classes.join(found, "node", "left").select("set_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
-    return sets.join(named, ["set_id", "n_shingles"], "left").select(
+    return sets.drop("map").join(named, ["set_id", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,6 +1,7 @@
 """Near-duplicate links, repeated passages and connected components against plain counterparts."""
 
 from collections import Counter
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -12,9 +13,9 @@ from hypothesis import strategies as st
 from packetlens.llm import graph, jaccard, substrings
 
 
-def shingles(text, lower=True):
+def shingles(text, lower=True, width=3):
     w = texts.words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "") if lower else text)
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
 def classes(sets, threshold=90):
@@ -40,10 +41,10 @@ def check_near(spark, rows, rule=jaccard.JaccardJoin()):
     sets = {}
     for doc, text in rows:
         if doc is not None:
-            sets.setdefault(doc, []).append(shingles(text))
-    want = classes(sets)
+            sets.setdefault(doc, []).append(shingles(text, width=rule.shingle))
+    want = classes(sets, rule.threshold)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
-        (doc, len(shingles(text)), want.get(doc)) for doc, text in rows)
+        (doc, len(shingles(text, width=rule.shingle)), want.get(doc)) for doc, text in rows)
 
 
 def near_rows():
@@ -71,6 +72,48 @@ def test_near_duplicates_in_many_small_tiles(spark):
     check_near(spark, rows, jaccard.JaccardJoin(tile_shingles=900))
 
 
+@pytest.mark.parametrize("prefix", [False, True])
+def test_looser_links_by_brute_force(spark, prefix):
+    """80 percent of five words, with a passage that most texts share, copies and odd rows; also in small tiles."""
+    passage = texts.prose(99, 60)
+    shared = [(3000 + k, f"{texts.prose(500 + k, 80)} {passage} {texts.prose(800 + k, 70)}") for k in range(40)]
+    base = texts.prose(7, 200).split()
+    group = [(1000 + k, " ".join(base[:k] + [f"own{k}"] + base[k + 1:])) for k in range(40)]
+    odd = [(r[0], r[1]) for r in texts.odd_rows()]
+    rule = jaccard.JaccardJoin(threshold=80, shingle=5, prefix=prefix, sketch_bits=10)
+    check_near(spark, near_rows() + shared + odd, rule)
+    check_near(spark, near_rows() + shared + group, replace(rule, tile_rows=8))
+    assert jaccard.near_duplicates(texts.empty(spark), rule).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([50, 80, 90, 100]), st.integers(0, 2 ** 31))
+def test_linked_sets_share_a_first_element(common, left, right, threshold, seed):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    rng.shuffle(pool)
+    x, y = np.sort(pool[:common + left]), np.sort(np.r_[pool[:common], pool[500:500 + right]])
+    rule = jaccard.JaccardJoin(threshold=threshold, prefix=True, sketch_bits=6)
+    ranks = rng.integers(0, 4, 64).astype(np.uint8)
+    if 100 * common >= threshold * (common + left + right):
+        assert np.intersect1d(jaccard.prefix_keys(x, ranks, rule), jaccard.prefix_keys(y, ranks, rule)).size
+
+
+def test_shared_passages_are_no_keys(spark):
+    """Texts that share a passage and nothing else meet in no key once many of them do."""
+    passage = texts.prose(99, 60, 100_000)
+    rows = [(k, f"{texts.prose(500 + k, 120, 100_000)} {passage} {texts.prose(5000 + k, 100, 100_000)}") for k in range(300)]
+    rule = jaccard.JaccardJoin(threshold=80, shingle=5, prefix=True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = jaccard.rarity(docs, rule)
+    keys = Counter()
+    for _, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        (found,) = jaccard.shingle_sets(data, np.array([0, len(data)]), rule)
+        keys.update(jaccard.prefix_keys(found, ranks, rule).tolist())
+    assert max(keys.values()) < 20
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(r[0], r[1]) for r in texts.odd_rows()]
     check_near(spark, rows)
@@ -143,3 +186,26 @@ def test_sliding_min_and_super_kmers_cover_all_windows():
     for r, s, e, v in zip(row, start, stop, value, strict=True):
         for k in range(s, e - 5):
             assert seeds[first[r] + k:first[r] + k + 5].min() == v
+
+
+@pytest.mark.parametrize("rule", [jaccard.JaccardJoin(), jaccard.JaccardJoin(threshold=80, shingle=5)])
+def test_bitmaps_rule_out_no_link(rule):
+    """Every linked pair of different pieces, and of different sides, is among the sets that bit counts leave."""
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (3, 40, 700, 705, 6000)]
+    sets = []
+    for found in base:
+        for share in (0.0, 0.02, 0.05, 0.1, 0.3):
+            part = found.copy()
+            part[:int(share * len(part))] = rng.integers(0, 1 << 63, int(share * len(part)))
+            sets.append(np.unique(part))
+    sets += [rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(40)]
+    sets = [np.unique(x) for x in sets]
+    maps = [jaccard.bitmap(x, jaccard.map_bits(len(x), rule)) for x in sets]
+    sizes, n = np.array([len(x) for x in sets]), len(sets)
+    linked = {(i, j) for i in range(n) for j in range(i) if 100 * (c := jaccard.overlap(sets[i], sets[j])) >= rule.threshold * (sizes[i] + sizes[j] - c)}
+    for sides, piece in ((None, np.arange(n)), (np.arange(n) % 2, np.arange(n)), (None, np.arange(n) // 2)):
+        kept = jaccard.hopeful(maps, sizes, rule, sides, piece)
+        wanted = {k for i, j in linked if piece[i] != piece[j] and (sides is None or sides[i] != sides[j]) for k in (i, j)}
+        assert wanted and wanted <= set(np.flatnonzero(kept).tolist())
+        assert not kept[-40:].any()

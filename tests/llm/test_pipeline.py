@@ -31,8 +31,8 @@ def test_stages_by_plain_counterparts(spark):
     # too few labels for any cutoff: the base rules alone decide
     fine = {k for k, r in source.items() if (m := plain_measures(r.text))[0] >= 50 and 100 * m[4] <= 50 * m[0]}
     assert set(good) == fine
-    sets = {k: [shingles(r.text)] for k, r in good.items()}
-    assert set(single) == {k for k, c in classes(sets).items() if c == k}
+    sets = {k: [shingles(r.text, width=5)] for k, r in good.items()}
+    assert set(single) == {k for k, c in classes(sets, 80).items() if c == k}
     items = [letters(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rule = decontaminate.Decontamination()
     spelled = {k: f" {' '.join(letters(r.text))} " for k, r in single.items()}
