@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 #: Looser than op9's contract: copies with a changed word in fifty, or with a fifth of text added, are near copies here.
-NEAR = jaccard.JaccardJoin(threshold=80, shingle=5)
+NEAR = jaccard.JaccardJoin(threshold=80, shingle=5, prefix=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
