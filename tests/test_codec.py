@@ -169,3 +169,28 @@ def test_varints_at_every_size():
 @pytest.mark.parametrize("name", KINDS)
 def test_names_of_wire_types(name):
     assert all(0 <= wire.MESSAGES[name][k][2] - k - 1 < 1 for k in range(len(wire.MESSAGES[name])))
+
+
+def test_memory_beside_a_column_does_not_follow_its_size():
+    """A column four times as long takes about the same numpy memory at its peak, both ways, and gives the same messages."""
+    import tracemalloc
+
+    def column(n):
+        event = {"timestamp_ns": 1 << 60, "src_ip": 1 << 31, "dst_ip": 7, "src_port": 1024, "dst_port": 80, "pkt_len": 99, "protocol": 6,
+                 "hook": "HOOK_TC", "direction": "EGRESS", "ifindex": 2}
+        one = pa.array([{"host_id": "h1", "batch_ts": 5, "events": [event] * 64}], ARROW["PacketBatch"])
+        return one.take(pa.array(np.zeros(n, np.int64)))
+
+    def peak(work, *args):
+        tracemalloc.start()
+        out = work(*args)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, out
+
+    codec = CODECS["PacketBatch"]
+    short, long = column(1000), column(4000)
+    (small_up, _), (large_up, coded) = peak(codec.encode, short), peak(codec.encode, long)
+    (small_down, _), (large_down, back) = peak(codec.decode, coded[:1000], ARROW["PacketBatch"]), peak(codec.decode, coded, ARROW["PacketBatch"])
+    assert back.equals(long)
+    assert large_up < 2 * small_up and large_down < 2 * small_down
