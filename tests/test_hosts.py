@@ -273,3 +273,14 @@ def test_scores_in_order_of_windows(cuts):
     assert found.keys() == wanted.keys() and len(found) > 50
     for key, z in found.items():
         assert z == pytest.approx(wanted[key], rel=1e-9, abs=1e-9)
+
+
+def test_a_task_sends_a_pane_once_however_its_packets_are_batched():
+    rows = [("h1", 1_000_000 * k, 5 + k % 3, 80, 100, 6) for k in range(120)]
+    names = ("host_id", "us", "dst_ip", "dst_port", "pkt_len", "protocol")
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True))]) for r in rows]
+    sent = pa.Table.from_batches(hosts._pane_rows(60_000_000, 2)(iter(batches)))
+    whole = pa.Table.from_batches(hosts._pane_rows(60_000_000, 2)(iter([pa.concat_batches(batches)])))
+    assert len(sent) == 4 and sent.equals(whole)
+    split = pa.Table.from_batches(hosts._pane_rows(60_000_000, 2, held=30)(iter(batches)))
+    assert len(split) == 8 and sum(split["packets"].to_pylist()) == 120
