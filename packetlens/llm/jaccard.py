@@ -15,9 +15,11 @@ above; only pairs that pass the bound get an exact intersection of their sorted
 3. Leaders: every set is compared with the set it shares most first parts with. This is linear, and
    connects most of a large group of near copies.
 4. Components that are connected by then are done. In the others only pairs from different connected
-   pieces are left to compare, and none of them within the largest piece. A component is a tile; one of more
-   than ``tile_rows`` sets or ``tile_shingles`` shingles is cut by size band and hash into blocks, and pairs of
-   blocks whose sizes can match become tiles, so no task holds more than two blocks.
+   pieces are left to compare. A component is a tile. In one of more than ``tile_rows`` sets or ``tile_shingles`` shingles
+   most sets share no part, so its pairs come from the parts: sets of matching sizes and different pieces that share one,
+   and with ``prefix`` as many first elements as a link of their sizes needs. They are counted as bare numbers; the pairs of a
+   set are then its tile. A part of more than ``tile_rows`` such sets is cut by size band and hash into blocks, and pairs of
+   blocks whose sizes can match are counted by themselves, none of them within the part's largest piece.
 5. Bitmaps go to the tiles first, a few dozen bytes a set. Sets whose bit counts rule out every partner in a tile stay
    behind; only the texts of the others follow. There numpy compares bitmaps, then arrays, and skips pairs already
    connected. The verified links (less than one per set and tile) are contracted to classes.
@@ -218,8 +220,12 @@ def _key_rows(rule: JaccardJoin, ranks: np.ndarray | None = None) -> Callable:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by part, set and node: edges of the sets of each part to its first set; constant memory."""
+    """From rows sorted by part, set and node: edges of the sets of each part to its first set; constant memory.
+
+    ``opens`` marks the first edge of a part.
+    """
     part = first = last = None
+    opened = False
     for batch in batches:
         p, s, n = (batch.column(c).to_numpy() for c in ("part", "set_id", "node"))
         if not len(p):
@@ -231,10 +237,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.r_[first if first is not None else 0, n[new_part]]
         head = heads[group]
         keep = new_set & ~new_part
+        own = group[keep]
+        opens = np.diff(own, prepend=0 if opened else -1) != 0
+        opened = bool((own == group[-1]).any()) or (opened and group[-1] == 0)
         part, last, first = p[-1], s[-1], head[-1]
         if keep.any():
-            pairs, times = np.unique(np.stack([n[keep], head[keep]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times.astype(np.int64))], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(n[keep]), pa.array(head[keep]), pa.array(opens)], ["part", "a", "b", "opens"])
 
 
 def bitmap(found: np.ndarray, bits: int) -> np.ndarray:
@@ -423,35 +431,106 @@ def _leader_tiles(stars: DataFrame, members: DataFrame, rule: JaccardJoin) -> Da
     return followers.unionByName(leaders).withColumn("piece", F.col("node"))
 
 
-def _open_tiles(members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
+def _open_tiles(edges: DataFrame, members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
     """(node, tile, side, piece) for components of several connected pieces; side -1: all pairs of the tile count."""
     named = members.drop("set_id").join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
     sizes = named.groupBy("label", "piece").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
     total = sizes.groupBy("label").agg(
-        F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("pieces"),
-        F.max_by("piece", F.struct("rows", -F.col("piece"))).alias("main")).where("pieces > 1")
+        F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("pieces")).where("pieces > 1")
     fits = (F.col("rows") <= rule.tile_rows) & (F.col("shingles") <= rule.tile_shingles)
+    rows = named.join(total.select("label", fits.alias("fits")), "label").select("node", "label", "piece", "n_shingles", "fits")
+    small = rows.where("fits").select("node", F.xxhash64("label").alias("tile"), F.lit(-1).alias("side"), "piece")
+    return small.unionByName(_pair_tiles(edges, rows.where("not fits").select("node", "piece", "n_shingles"), rule))
+
+
+def _pair_tiles(edges: DataFrame, sets: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece): each of ``sets`` with those of other pieces that may be linked with it by the parts they share."""
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = edges.select("part", F.col("a").alias("node")).unionByName(edges.where("opens").select("part", F.col("b").alias("node")))
+    met = workspace.written(held.join(sets, "node"), "near_met")
+    shared = met.groupBy("part").agg(F.count("*").alias("rows"), F.min("piece").alias("least"), F.max("piece").alias("most"))
+    met = met.join(shared.where("least <> most").select("part", "rows"), "part")
+    few = met.where(F.col("rows") <= rule.tile_rows).select("node", "piece", "n_shingles", F.col("part").alias("tile"), F.lit(-1).alias("side"))
+    placed = few.unionByName(_blocks(met.where(F.col("rows") > rule.tile_rows).drop("rows"), rule))
+    pairs = placed.repartition(width, "tile").sortWithinPartitions("tile", "n_shingles").mapInArrow(
+        _tile_pairs(rule), "a long, b long, a_size long, b_size long, a_piece long, b_piece long")
+    pairs = pairs.groupBy("a", "b", "a_size", "b_size", "a_piece", "b_piece").agg(F.count("*").alias("n"))
+    if rule.prefix:
+        # of the set whose keys end first, what is common stands among its keys, and so the other's, or after them
+        need = F.ceil(rule.threshold * (F.col("a_size") + F.col("b_size")) / (100 + rule.threshold))
+        pairs = pairs.where(F.col("n") + F.ceil(rule.threshold * F.greatest("a_size", "b_size") / 100) - 1 >= need)
+    pairs = workspace.written(pairs.groupBy("a", "b", "a_piece", "b_piece").agg(F.max("b_size").alias("b_size")), "near_pairs")
+    cuts = pairs.groupBy("a", "a_piece").agg(F.count("*").alias("rows"), F.sum("b_size").alias("shingles")).select(
+        "a", "a_piece", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
+    partners = pairs.join(cuts, ["a", "a_piece"]).select(
+        F.col("b").alias("node"), F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cut"))).alias("tile"), F.lit(1).alias("side"), F.col("b_piece").alias("piece"))
+    heads = cuts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("k"), "a_piece").select(
+        "node", F.xxhash64("node", "k").alias("tile"), F.lit(0).alias("side"), F.col("a_piece").alias("piece"))
+    return partners.unionByName(heads)
+
+
+def _blocks(met: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Rows of parts that many sets share, in tiles of two blocks."""
     # linked sizes differ by less than one step of this base, so they are in the same or in adjacent bands
     step = math.log(100 / rule.threshold) * 1.0001 if rule.threshold < 100 else 1.0
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
-    rows = named.join(total.select("label", "main", fits.alias("fits")), "label").select(
-        "node", "label", "piece", "n_shingles", "fits", band.alias("band"), (F.col("piece") == F.col("main")).alias("main"))
-    small = rows.where("fits").select("node", F.xxhash64("label").alias("tile"), F.lit(-1).alias("side"), "piece")
-    large = rows.where("not fits")
-    cuts = large.groupBy("label", "band", "main").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).select(
-        "label", "band", "main", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
-    mine = large.join(cuts, ["label", "band", "main"]).select(
-        "node", "label", "piece", F.struct("band", "main", F.pmod(F.xxhash64("node"), F.col("cut")).alias("k")).alias("own"))
+    largest = met.groupBy("part", "piece").agg(F.count("*").alias("rows")).groupBy("part").agg(
+        F.max_by("piece", F.struct("rows", -F.col("piece"))).alias("most"))
+    large = met.join(largest, "part").select(
+        "part", "node", "piece", "n_shingles", band.alias("band"), (F.col("piece") == F.col("most")).alias("main"))
+    cuts = large.groupBy("part", "band", "main").agg(F.count("*").alias("rows")).select(
+        "part", "band", "main", F.ceil(F.col("rows") / rule.tile_rows * 2).cast("long").alias("cut"))
+    mine = large.join(cuts, ["part", "band", "main"]).select(
+        "node", "part", "piece", "n_shingles", F.struct("band", "main", F.pmod(F.xxhash64("node"), F.col("cut")).alias("k")).alias("own"))
     around = mine.withColumn("near_band", F.explode(F.array(*[F.col("own.band") + d for d in (-1, 0, 1)])))
-    other = cuts.select("label", F.col("band").alias("near_band"), F.col("main").alias("near_main"), "cut")
-    met = around.join(other, ["label", "near_band"]).where("not (own.main and near_main)").withColumn(
+    other = cuts.select("part", F.col("band").alias("near_band"), F.col("main").alias("near_main"), "cut")
+    met = around.join(other, ["part", "near_band"]).where("not (own.main and near_main)").withColumn(
         "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
     block = F.struct(F.col("near_band").alias("band"), F.col("near_main").alias("main"), "k")
     met = met.withColumn("block", block).withColumn("low", F.least("own", "block")).withColumn("high", F.greatest("own", "block"))
-    split = met.select(
-        "node", F.xxhash64("label", "low", "high").alias("tile"),
-        F.when(F.col("low") == F.col("high"), -1).when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"), "piece")
-    return small.unionByName(split)
+    return met.select(
+        "node", "piece", "n_shingles", F.xxhash64("part", "low", "high").alias("tile"),
+        F.when(F.col("low") == F.col("high"), -1).when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"))
+
+
+def _tile_pairs(rule: JaccardJoin) -> Callable:
+    """From rows sorted by tile and size: pairs of sets of different pieces, and sides if there are, whose sizes can match."""
+    names = ["a", "b", "a_size", "b_size", "a_piece", "b_piece"]
+
+    def pairs(tile: np.ndarray, node: np.ndarray, size: np.ndarray, piece: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, apart, out, rows = np.arange(len(tile)), 0, [], 0
+        while len(at):
+            apart += 1
+            at = at[at + apart < len(tile)]
+            on = at + apart
+            # sizes ascend within a tile: a row that has met one too large meets no more
+            near = (tile[at] == tile[on]) & (100 * size[at] >= rule.threshold * size[on])
+            at, on = at[near], on[near]
+            kept = (piece[at] != piece[on]) & ((side[at] != side[on]) | (side[at] < 0)) & (node[at] != node[on])
+            x, y = at[kept], on[kept]
+            x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+            out.append([c[k] for c in (node, size, piece) for k in (x, y)])
+            rows += len(x)
+            if rows >= 1 << 16 or not len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                out, rows = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            fresh = [batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "node", "n_shingles", "piece", "side")]
+            begin = int(np.searchsorted(fresh[0], fresh[0][-1]))  # the last tile may go on
+            if held and (begin or held[0][0][0] != fresh[0][0]):
+                yield from pairs(*(np.concatenate(c) for c in zip(*held, [c[:begin] for c in fresh], strict=True)))
+                held = []
+            elif begin:
+                yield from pairs(*(c[:begin] for c in fresh))
+            held.append([c[begin:] for c in fresh])
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    return run
 
 
 def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -470,8 +549,10 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
     classes = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("node"))
     keys = docs.mapInArrow(_key_rows(rule, rarity(docs, rule) if rule.prefix else None), KEYS)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = keys.repartition(width, "part").sortWithinPartitions("part", "set_id", "node").mapInArrow(_stars, "a long, b long, n long")
-    stars = workspace.written(stars.groupBy("a", "b").agg(F.sum("n").alias("n")), "near_stars")
+    edges = keys.repartition(width, "part").sortWithinPartitions("part", "set_id", "node").mapInArrow(
+        _stars, "part long, a long, b long, opens boolean")
+    edges = workspace.written(edges, "near_edges")
+    stars = workspace.written(edges.groupBy("a", "b").agg(F.count("*").alias("n")), "near_stars")
     groups = components(stars, "a", "b")
     members = workspace.written(classes.join(groups, "node").select("node", "label", "n_shingles", "set_id"), "near_members")
     texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node")
@@ -491,7 +572,7 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
         return workspace.written(links, "near_links")
 
     led = compared(_leader_tiles(stars, members, rule))
-    rest = compared(_open_tiles(members, components(led, "a", "b"), rule))
+    rest = compared(_open_tiles(edges, members, components(led, "a", "b"), rule))
     found = components(led.unionByName(rest), "a", "b")
     named = classes.join(found, "node", "left").select("set_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return sets.drop("map").join(named, ["set_id", "n_shingles"], "left").select(

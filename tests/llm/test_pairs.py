@@ -209,3 +209,32 @@ def test_bitmaps_rule_out_no_link(rule):
         wanted = {k for i, j in linked if piece[i] != piece[j] and (sides is None or sides[i] != sides[j]) for k in (i, j)}
         assert wanted and wanted <= set(np.flatnonzero(kept).tolist())
         assert not kept[-40:].any()
+
+
+def test_tiles_of_a_large_component_follow_its_shared_parts(spark):
+    """A chain of sets is one component; its sets meet their neighbours and not all others."""
+    def placed(n):
+        edges = spark.createDataFrame([(k, k + 1, k, True) for k in range(n - 1)], "part long, a long, b long, opens boolean")
+        members = spark.createDataFrame([(k, 0, 100, k) for k in range(n)], "node long, label long, n_shingles long, set_id long")
+        pieces = spark.createDataFrame([], "node long, label long")
+        return jaccard._open_tiles(edges, members, pieces, jaccard.JaccardJoin(tile_rows=8)).count()
+
+    assert placed(40) == 2 * 39 and placed(160) == 2 * 159
+
+
+@pytest.mark.parametrize("limit", [8, 1 << 20])
+def test_pairs_of_parts_and_blocks_by_brute_force(limit):
+    """Pairs of tiles that batches cut anywhere: matching sizes, other pieces, other sides."""
+    import pyarrow as pa
+
+    rng, rule = np.random.default_rng(3), jaccard.JaccardJoin(threshold=80)
+    rows = sorted((t, int(z), int(k), int(p), s) for k, (t, z, p, s) in enumerate(zip(
+        rng.integers(0, 30, 400).tolist(), rng.integers(50, 100, 400), rng.integers(0, 4, 400), [-1] * 400)))
+    rows = [(t, z, k, p, k % 2 if t % 2 else -1) for t, z, k, p, s in rows]
+    tile, size, node, piece, side = map(list, zip(*rows))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (tile, node, size, piece, side)], ["tile", "node", "n_shingles", "piece", "side"])
+    batches = [whole.slice(k, limit) for k in range(0, len(rows), limit)]
+    found = Counter(pair for b in jaccard._tile_pairs(rule)(iter(batches)) for pair in zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    want = Counter((min(x[2], y[2]), max(x[2], y[2])) for x, y in combinations(rows, 2) if x[0] == y[0] and x[3] != y[3]
+                   and 100 * min(x[1], y[1]) >= 80 * max(x[1], y[1]) and (x[4] < 0 or x[4] != y[4]))
+    assert want and found == want
