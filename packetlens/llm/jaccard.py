@@ -10,26 +10,24 @@ above; only pairs that pass the bound get an exact intersection of their sorted
    order for all sets: rare ones first by a sketch of fixed size that counts in how many texts hashes stand. Linked sets
    share one of them whatever the sketch says, and it keeps passages that many texts share from being keys. Below 90 percent
    parts would be so small that such passages meet in them.
-2. Parts shared by different sets give candidate edges to the smallest member; their components
-   hold every link. A set is shipped once per tile instead of once per shared part.
+2. Parts shared by different sets hold every link.
 3. Leaders: every set is compared with the set it shares most first parts with. This is linear, and
    connects most of a large group of near copies.
-4. Components that are connected by then are done. In the others only pairs from different connected
-   pieces are left to compare. A component is a tile. In one of more than ``tile_rows`` sets or ``tile_shingles`` shingles
-   most sets share no part, so its pairs come from the parts: sets of matching sizes and different pieces that share one,
-   and with ``prefix`` as many first elements as a link of their sizes needs. They are counted as bare numbers; the pairs of a
-   set are then its tile. A part of more than ``tile_rows`` such sets is cut by size band and hash into blocks, and pairs of
-   blocks whose sizes can match are counted by themselves, none of them within the part's largest piece.
-5. Bitmaps go to the tiles first, a few dozen bytes a set. Sets whose bit counts rule out every partner in a tile stay
-   behind; only the texts of the others follow. There numpy compares bitmaps, then arrays, and skips pairs already
-   connected. The verified links (less than one per set and tile) are contracted to classes.
+4. Only parts with sets from different connected pieces are left. Such a part is a tile: numpy compares sizes and bitmaps
+   there, a few dozen bytes a set, and leaves at most one row for each set, with its likeliest partner from another piece.
+   The best partner over all tiles is verified, pieces merge, and the sets that still have a possible link go on, as long as rounds connect many.
+5. What then passes the bitmaps is compared by text, each pair in the smallest of the tiles in which both sets stand (told by the first
+   tiles of each set), so a text travels to few tiles and pairs never become rows. There numpy compares bitmaps, then
+   arrays, and skips pairs already connected. The verified links (less than one per set and tile) are contracted to classes.
+6. Tiles have limits, larger ones for bitmaps (``map_rows``) than for texts (``tile_rows``, ``tile_shingles``). One beyond them is cut by
+   size band and hash into blocks, and pairs of blocks whose sizes can match are tiles, none of them within the part's largest piece.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +40,7 @@ from .graph import components
 
 BAND_STEP = 1.5
 BROADCAST_ROWS = 1 << 19  # of 8-byte ids; more are joined by a shuffle
+FIRST_PLACES = 16  # of a set, by which a tile tells that it has met a partner before; beyond them a pair may be compared again
 
 
 @dataclass(frozen=True)
@@ -53,6 +52,7 @@ class JaccardJoin:
     lower: bool = True
     tile_rows: int = 1024
     tile_shingles: int = 1_000_000
+    map_rows: int = 4096
     prefix: bool = False
     sketch_bits: int = 21
 
@@ -421,7 +421,12 @@ def _cut(rows: Column, shingles: Column, rule: JaccardJoin) -> Column:
 
 def _leader_tiles(stars: DataFrame, members: DataFrame, rule: JaccardJoin) -> DataFrame:
     """(node, tile, side, piece): every set with the one it shares most parts with as their first set."""
-    led = stars.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("leader")).join(members, "node")
+    led = stars.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("leader"))
+    return _led_tiles(led.join(members, "node"), rule)
+
+
+def _led_tiles(led: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece) for (node, leader, n_shingles): every leader with its followers, cut if they are many."""
     cuts = led.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).select(
         "leader", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
     followers = led.join(cuts, "leader").select(
@@ -431,46 +436,32 @@ def _leader_tiles(stars: DataFrame, members: DataFrame, rule: JaccardJoin) -> Da
     return followers.unionByName(leaders).withColumn("piece", F.col("node"))
 
 
-def _open_tiles(edges: DataFrame, members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(node, tile, side, piece) for components of several connected pieces; side -1: all pairs of the tile count."""
-    named = members.drop("set_id").join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-    sizes = named.groupBy("label", "piece").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
-    total = sizes.groupBy("label").agg(
-        F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("pieces")).where("pieces > 1")
-    fits = (F.col("rows") <= rule.tile_rows) & (F.col("shingles") <= rule.tile_shingles)
-    rows = named.join(total.select("label", fits.alias("fits")), "label").select("node", "label", "piece", "n_shingles", "fits")
-    small = rows.where("fits").select("node", F.xxhash64("label").alias("tile"), F.lit(-1).alias("side"), "piece")
-    return small.unionByName(_pair_tiles(edges, rows.where("not fits").select("node", "piece", "n_shingles"), rule))
+def _with_pieces(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``rows`` with the connected piece of each node; a node without links is its own."""
+    return rows.join(pieces.withColumnRenamed("label", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
 
 
-def _pair_tiles(edges: DataFrame, sets: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(node, tile, side, piece): each of ``sets`` with those of other pieces that may be linked with it by the parts they share."""
-    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _open_tiles(edges: DataFrame, members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece) for the sets of each part that joins several connected pieces; side -1: all pairs of the tile count."""
     held = edges.select("part", F.col("a").alias("node")).unionByName(edges.where("opens").select("part", F.col("b").alias("node")))
-    met = workspace.written(held.join(sets, "node"), "near_met")
-    shared = met.groupBy("part").agg(F.count("*").alias("rows"), F.min("piece").alias("least"), F.max("piece").alias("most"))
-    met = met.join(shared.where("least <> most").select("part", "rows"), "part")
-    few = met.where(F.col("rows") <= rule.tile_rows).select("node", "piece", "n_shingles", F.col("part").alias("tile"), F.lit(-1).alias("side"))
-    placed = few.unionByName(_blocks(met.where(F.col("rows") > rule.tile_rows).drop("rows"), rule))
-    pairs = placed.repartition(width, "tile").sortWithinPartitions("tile", "n_shingles").mapInArrow(
-        _tile_pairs(rule), "a long, b long, a_size long, b_size long, a_piece long, b_piece long")
-    pairs = pairs.groupBy("a", "b", "a_size", "b_size", "a_piece", "b_piece").agg(F.count("*").alias("n"))
-    if rule.prefix:
-        # of the set whose keys end first, what is common stands among its keys, and so the other's, or after them
-        need = F.ceil(rule.threshold * (F.col("a_size") + F.col("b_size")) / (100 + rule.threshold))
-        pairs = pairs.where(F.col("n") + F.ceil(rule.threshold * F.greatest("a_size", "b_size") / 100) - 1 >= need)
-    pairs = workspace.written(pairs.groupBy("a", "b", "a_piece", "b_piece").agg(F.max("b_size").alias("b_size")), "near_pairs")
-    cuts = pairs.groupBy("a", "a_piece").agg(F.count("*").alias("rows"), F.sum("b_size").alias("shingles")).select(
-        "a", "a_piece", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
-    partners = pairs.join(cuts, ["a", "a_piece"]).select(
-        F.col("b").alias("node"), F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cut"))).alias("tile"), F.lit(1).alias("side"), F.col("b_piece").alias("piece"))
-    heads = cuts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("k"), "a_piece").select(
-        "node", F.xxhash64("node", "k").alias("tile"), F.lit(0).alias("side"), F.col("a_piece").alias("piece"))
-    return partners.unionByName(heads)
+    met = workspace.written(held.join(_with_pieces(members.select("node", "n_shingles"), pieces), "node"), "near_met")
+    shared = met.groupBy("part").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most")
+    # a bitmap is a small part of its text
+    wide = replace(rule, tile_rows=rule.map_rows, tile_shingles=rule.tile_shingles * 16)
+    return _fitted(met.join(shared.select("part"), "part"), wide)
+
+
+def _fitted(met: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(node, tile, side, piece): each part of (part, node, piece, n_shingles) is a tile; one beyond the limits is cut into blocks."""
+    sizes = met.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    fits = (F.col("rows") <= rule.tile_rows) & (F.col("shingles") <= rule.tile_shingles)
+    large = sizes.where(~fits).select("part")
+    few = met.join(large, "part", "left_anti").select("node", F.col("part").alias("tile"), F.lit(-1).alias("side"), "piece")
+    return few.unionByName(_blocks(met.join(large, "part"), rule))
 
 
 def _blocks(met: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Rows of parts that many sets share, in tiles of two blocks."""
+    """Rows of parts that many sets share, in tiles of two blocks, none of them within the part's largest piece."""
     # linked sizes differ by less than one step of this base, so they are in the same or in adjacent bands
     step = math.log(100 / rule.threshold) * 1.0001 if rule.threshold < 100 else 1.0
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
@@ -478,10 +469,10 @@ def _blocks(met: DataFrame, rule: JaccardJoin) -> DataFrame:
         F.max_by("piece", F.struct("rows", -F.col("piece"))).alias("most"))
     large = met.join(largest, "part").select(
         "part", "node", "piece", "n_shingles", band.alias("band"), (F.col("piece") == F.col("most")).alias("main"))
-    cuts = large.groupBy("part", "band", "main").agg(F.count("*").alias("rows")).select(
-        "part", "band", "main", F.ceil(F.col("rows") / rule.tile_rows * 2).cast("long").alias("cut"))
+    cuts = large.groupBy("part", "band", "main").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")).select(
+        "part", "band", "main", _cut(F.col("rows"), F.col("shingles"), rule).alias("cut"))
     mine = large.join(cuts, ["part", "band", "main"]).select(
-        "node", "part", "piece", "n_shingles", F.struct("band", "main", F.pmod(F.xxhash64("node"), F.col("cut")).alias("k")).alias("own"))
+        "node", "part", "piece", F.struct("band", "main", F.pmod(F.xxhash64("node"), F.col("cut")).alias("k")).alias("own"))
     around = mine.withColumn("near_band", F.explode(F.array(*[F.col("own.band") + d for d in (-1, 0, 1)])))
     other = cuts.select("part", F.col("band").alias("near_band"), F.col("main").alias("near_main"), "cut")
     met = around.join(other, ["part", "near_band"]).where("not (own.main and near_main)").withColumn(
@@ -489,50 +480,145 @@ def _blocks(met: DataFrame, rule: JaccardJoin) -> DataFrame:
     block = F.struct(F.col("near_band").alias("band"), F.col("near_main").alias("main"), "k")
     met = met.withColumn("block", block).withColumn("low", F.least("own", "block")).withColumn("high", F.greatest("own", "block"))
     return met.select(
-        "node", "piece", "n_shingles", F.xxhash64("part", "low", "high").alias("tile"),
-        F.when(F.col("low") == F.col("high"), -1).when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"))
+        "node", F.xxhash64("part", "low", "high").alias("tile"),
+        F.when(F.col("low") == F.col("high"), -1).when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"), "piece")
 
 
-def _tile_pairs(rule: JaccardJoin) -> Callable:
-    """From rows sorted by tile and size: pairs of sets of different pieces, and sides if there are, whose sizes can match."""
-    names = ["a", "b", "a_size", "b_size", "a_piece", "b_piece"]
-
-    def pairs(tile: np.ndarray, node: np.ndarray, size: np.ndarray, piece: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, apart, out, rows = np.arange(len(tile)), 0, [], 0
-        while len(at):
-            apart += 1
-            at = at[at + apart < len(tile)]
-            on = at + apart
-            # sizes ascend within a tile: a row that has met one too large meets no more
-            near = (tile[at] == tile[on]) & (100 * size[at] >= rule.threshold * size[on])
-            at, on = at[near], on[near]
-            kept = (piece[at] != piece[on]) & ((side[at] != side[on]) | (side[at] < 0)) & (node[at] != node[on])
-            x, y = at[kept], on[kept]
-            x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
-            out.append([c[k] for c in (node, size, piece) for k in (x, y)])
-            rows += len(x)
-            if rows >= 1 << 16 or not len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                out, rows = [], 0
+def _whole_tiles(solve: Callable) -> Callable:
+    """From rows sorted by tile: ``solve`` gets tables of whole tiles, many small ones at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
-            fresh = [batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "node", "n_shingles", "piece", "side")]
-            begin = int(np.searchsorted(fresh[0], fresh[0][-1]))  # the last tile may go on
-            if held and (begin or held[0][0][0] != fresh[0][0]):
-                yield from pairs(*(np.concatenate(c) for c in zip(*held, [c[:begin] for c in fresh], strict=True)))
+            tile = batch.column("tile").to_numpy()
+            begin = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+            if begin or (held and held[0].column("tile")[0].as_py() != tile[0]):
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, begin)]))
                 held = []
-            elif begin:
-                yield from pairs(*(c[:begin] for c in fresh))
-            held.append([c[begin:] for c in fresh])
+            held.append(batch.slice(begin))
         if held:
-            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from solve(pa.Table.from_batches(held))
     return run
 
 
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def _folds(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Words of each bitmap, and by width the bitmaps at least as wide, folded, with the place of each row."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.uint64)
+    starts, words = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+    whole = {}
+    for wide in np.unique(words).tolist():
+        rows = np.flatnonzero(words == wide)
+        whole[wide] = rows, data[starts[rows][:, None] + np.arange(wide)]
+    out = {}
+    for width in whole:
+        wider = [w for w in whole if w >= width]
+        place = np.zeros(len(words), np.int64)
+        rows = np.concatenate([whole[w][0] for w in wider])
+        place[rows] = np.arange(len(rows))
+        out[width] = place, np.concatenate([folded(whole[w][1], width) for w in wider])
+    return words, out
+
+
+def _matches(table: pa.Table, rule: JaccardJoin) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a tile, of different pieces, and sides if there are, whose sizes and bitmaps if there are allow a link.
+
+    Rows are sorted by tile and size. Also yields the largest similarity that a pair may have, in millionths.
+    No row comes twice on either side of a step.
+    """
+    tile, size, node, piece, side = _numbers(table, "tile", "n_shingles", "node", "piece", "side")
+    words, folds = _folds(table.column("map")) if "map" in table.column_names else (None, {})
+    at, apart = np.arange(len(tile)), 0
+    while len(at):
+        apart += 1
+        at = at[at + apart < len(tile)]
+        on = at + apart
+        # sizes ascend within a tile: a row that has met one too large meets no more
+        near = (tile[at] == tile[on]) & (100 * size[at] >= rule.threshold * size[on])
+        at, on = at[near], on[near]
+        kept = (piece[at] != piece[on]) & ((side[at] != side[on]) | (side[at] < 0)) & (node[at] != node[on])
+        x, y = at[kept], on[kept]
+        total, most = size[x] + size[y], size[x]
+        if words is not None:
+            width, differing = np.minimum(words[x], words[y]), np.zeros(len(x), np.int64)
+            for w in np.unique(width).tolist():
+                rows, (place, maps) = np.flatnonzero(width == w), folds[w]
+                differing[rows] = np.bitwise_count(maps[place[x[rows]]] ^ maps[place[y[rows]]]).sum(axis=1, dtype=np.int64)
+            most = (total - differing) // 2
+        passed = 100 * most >= rule.threshold * (total - most)
+        if passed.any():
+            yield x[passed], y[passed], (1_000_000 * most // (total - most))[passed]
+
+
+def _tile_pairs(rule: JaccardJoin) -> Callable:
+    """From rows sorted by tile and size: all pairs that ``_matches`` leaves, as rows."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = _numbers(table, "node", "n_shingles", "piece")
+        for x, y, _ in _matches(table, rule):
+            x, y = np.where(columns[0][x] < columns[0][y], x, y), np.where(columns[0][x] < columns[0][y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in columns for k in (x, y)], ["a", "b", "a_size", "b_size", "a_piece", "b_piece"])
+    return _whole_tiles(solve)
+
+
+PLACES = ["tile", "node", "side", "piece", "n_shingles"]
+
+
+def _tile_partners(rule: JaccardJoin) -> Callable:
+    """From rows sorted by tile and size: those with a possible link, each with its likeliest partner in the tile."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        none = np.iinfo(np.int64).max
+        best = np.full(len(table), none)  # what lacks to full similarity, then the partner's row
+        for x, y, like in _matches(table, rule):
+            lack = (1_000_000 - like) << 32
+            best[x] = np.minimum(best[x], lack + y)
+            best[y] = np.minimum(best[y], lack + x)
+        kept = np.flatnonzero(best < none)
+        if len(kept):
+            columns = _numbers(table, *PLACES)
+            rows = [c[kept] for c in columns] + [columns[1][best[kept] & ((1 << 32) - 1)], best[kept] >> 32]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], [*PLACES, "partner", "lack"])
+    return _whole_tiles(solve)
+
+
+def _tile_meets(rule: JaccardJoin) -> Callable:
+    """From rows sorted by tile and size, with the first ``places`` (tile, side) of each set: those with a possible link to a set met in none of them before."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = _numbers(table, *PLACES)
+        places = table.column("places").combine_chunks()
+        owner = np.repeat(np.arange(len(table)), places.value_lengths().to_numpy())
+        flat, on_side = (c.to_numpy() for c in places.flatten().flatten())
+        earlier = flat < columns[0][owner]
+        on_side = on_side[earlier].astype(np.int64)
+        owner, (names, flat) = owner[earlier], np.unique(flat[earlier], return_inverse=True)
+        flat = flat.astype(np.int64)
+        known = np.sort((owner * len(names) + flat) * 3 + on_side + 1)
+        other_side = np.where(on_side < 0, 0, 2 - on_side)  # where a partner stands
+        first = np.searchsorted(owner, np.arange(len(table) + 1))
+        marked = np.zeros(len(table), bool)
+        for x, y, _ in _matches(table, rule):
+            n = first[x + 1] - first[x]
+            pair = np.repeat(np.arange(len(x)), n)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[x][pair]
+            asked = (y[pair] * len(names) + flat[place]) * 3 + other_side[place]
+            at = np.searchsorted(known, asked)
+            at[at == len(known)] = 0
+            fresh = np.bincount(pair[known[at] == asked], minlength=len(x)) == 0 if len(known) else np.ones(len(x), bool)
+            marked[x[fresh]] = marked[y[fresh]] = True
+        if marked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[marked]) for c in columns], PLACES)
+    return _whole_tiles(solve)
+
+
 def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -553,8 +639,8 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
         _stars, "part long, a long, b long, opens boolean")
     edges = workspace.written(edges, "near_edges")
     stars = workspace.written(edges.groupBy("a", "b").agg(F.count("*").alias("n")), "near_stars")
-    groups = components(stars, "a", "b")
-    members = workspace.written(classes.join(groups, "node").select("node", "label", "n_shingles", "set_id"), "near_members")
+    met = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    members = workspace.written(classes.join(met, "node").select("node", "n_shingles", "set_id"), "near_members")
     texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node")
     maps = workspace.written(
         sets.select(F.col("doc_id").alias("node"), "set_id", "map").join(members.select("node", "set_id", "n_shingles"), ["node", "set_id"])
@@ -571,9 +657,38 @@ def near_duplicates(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataF
         links = rows.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_tile_links(rule), "a long, b long")
         return workspace.written(links, "near_links")
 
-    led = compared(_leader_tiles(stars, members, rule))
-    rest = compared(_open_tiles(edges, members, components(led, "a", "b"), rule))
-    found = components(led.unionByName(rest), "a", "b")
+    def tiled(rows: DataFrame, solve: Callable, name: str, more: str = "") -> DataFrame:
+        rows = rows.repartition(width, "tile").sortWithinPartitions("tile", "n_shingles")
+        return workspace.written(rows.mapInArrow(solve, ", ".join(f"{c} long" for c in PLACES) + more), name)
+
+    def partners(placed: DataFrame) -> DataFrame:
+        return tiled(placed.join(maps, "node"), _tile_partners(rule), "near_partners", ", partner long, lack long")
+
+    links = compared(_leader_tiles(stars, members, rule))
+    pieces = components(links, "a", "b")
+    hopes = partners(_open_tiles(edges, members, pieces, rule))
+    while True:  # a round leaves at most seven eighths of the sets for the next, or is the last
+        likeliest = F.min_by("partner", F.struct("lack", "partner")).alias("leader")
+        led = workspace.written(hopes.groupBy("node").agg(likeliest, F.max("n_shingles").alias("n_shingles")), "near_led")
+        n = led.count()
+        fresh = compared(_led_tiles(led, rule)) if n else links.limit(0)
+        n_fresh = fresh.count()
+        if n_fresh:
+            links = workspace.written(links.unionByName(fresh), "near_linked")
+            pieces = components(links, "a", "b")
+            hopes = partners(_with_pieces(hopes.select("node", "tile", "side").distinct(), pieces))
+        if 8 * n_fresh < n or not n:
+            break
+    if n:
+        placed = hopes.select("node", "tile", "side", "piece").distinct()
+        places = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("tile", "side"))), 1, FIRST_PLACES).alias("places"))
+        marked = tiled(placed.join(places, "node").join(maps, "node"), _tile_meets(rule), "near_meets")
+        links = links.unionByName(compared(_fitted(marked.withColumnRenamed("tile", "part").drop("side"), rule)))
+    # a doc_id of several sets ties the classes they are in
+    held = sets.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_id")
+    several = held.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most").select("doc_id")
+    ties = held.join(several, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(links.unionByName(ties), "a", "b")
     named = classes.join(found, "node", "left").select("set_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return sets.drop("map").join(named, ["set_id", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

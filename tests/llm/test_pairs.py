@@ -222,6 +222,39 @@ def test_tiles_of_a_large_component_follow_its_shared_parts(spark):
     assert placed(40) == 2 * 39 and placed(160) == 2 * 159
 
 
+def edited(k, words, edits):
+    """A copy of ``words`` with that many of them replaced, at places of its own."""
+    rng, out = np.random.default_rng(k), list(words)
+    for at in rng.choice(len(words), edits, replace=False):
+        out[at] = f"own{k}x{at}"
+    return " ".join(out)
+
+
+def test_rows_follow_a_group_of_near_copies(spark, monkeypatch):
+    """Copies that meet in many parts and are not linked: no step makes more rows than the parts have sets."""
+    base, plain, counts = texts.prose(7, 200).split(), jaccard.workspace.written, {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = max(out.count(), counts.get(name, 0))
+        return out
+
+    monkeypatch.setattr(jaccard.workspace, "written", counted)
+    rows = [(k, edited(k, base, 6)) for k in range(300)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.JaccardJoin(tile_rows=8)).collect()
+    assert all(r.doc_id == r.component_id for r in found)
+    assert max(counts.values()) <= 2 * counts["near_edges"] < 300 * 299 / 2
+
+
+@pytest.mark.parametrize("rule", [
+    jaccard.JaccardJoin(tile_rows=8, map_rows=8), jaccard.JaccardJoin(threshold=80, shingle=5, prefix=True, sketch_bits=10, tile_rows=4, map_rows=16)])
+def test_groups_around_the_threshold_in_blocks(spark, rule):
+    """Copies of which some are linked, some nearly, some with several texts to a doc_id; parts are cut into blocks for bitmaps and for texts."""
+    base = texts.prose(7, 150).split()
+    rows = [(k - k % 10 // 9, edited(k, base, k % 7)) for k in range(90)] + [(500 + k, edited(k, base[:140], 3 + k % 3)) for k in range(30)]
+    check_near(spark, rows, rule)
+
+
 @pytest.mark.parametrize("limit", [8, 1 << 20])
 def test_pairs_of_parts_and_blocks_by_brute_force(limit):
     """Pairs of tiles that batches cut anywhere: matching sizes, other pieces, other sides."""
