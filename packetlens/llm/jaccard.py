@@ -13,7 +13,7 @@ above; only pairs that pass the bound get an exact intersection of their sorted
 2. Parts shared by different sets hold every link.
 3. Leaders: every set is compared with the set it shares most first parts with. This is linear, and
    connects most of a large group of near copies.
-4. Only parts with sets from different connected pieces are left. Such a part is a tile: numpy compares sizes and bitmaps
+4. Only parts with sets from different connected pieces are left, one of those with the same sets. Such a part is a tile: numpy compares sizes and bitmaps
    there, a few dozen bytes a set, and leaves at most one row for each set, with its likeliest partner from another piece.
    The best partner over all tiles is verified, pieces merge, and the sets that still have a possible link go on, as long as rounds connect many.
 5. What then passes the bitmaps is compared by text, each pair in the smallest of the tiles in which both sets stand (told by the first
@@ -442,10 +442,17 @@ def _with_pieces(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def _open_tiles(edges: DataFrame, members: DataFrame, pieces: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(node, tile, side, piece) for the sets of each part that joins several connected pieces; side -1: all pairs of the tile count."""
+    """(node, tile, side, piece) for the sets of each part that joins several connected pieces; side -1: all pairs of the tile count.
+
+    Long sets share many parts with the same few others; of the parts with the same sets one is a tile.
+    """
     held = edges.select("part", F.col("a").alias("node")).unionByName(edges.where("opens").select("part", F.col("b").alias("node")))
     met = workspace.written(held.join(_with_pieces(members.select("node", "n_shingles"), pieces), "node"), "near_met")
-    shared = met.groupBy("part").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least <> most")
+    # sets of a part are told by their number and the sum of their hashes, in halves as it has more than 64 bits
+    name = F.xxhash64("node", "n_shingles")
+    sums = [F.sum(name.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"), F.sum(F.shiftrightunsigned(name, 32)).alias("high")]
+    shared = met.groupBy("part").agg(F.min("piece").alias("least"), F.max("piece").alias("most"), F.count("*").alias("rows"), *sums).where("least <> most")
+    shared = shared.groupBy("rows", "low", "high").agg(F.min("part").alias("part"))
     # a bitmap is a small part of its text
     wide = replace(rule, tile_rows=rule.map_rows, tile_shingles=rule.tile_shingles * 16)
     return _fitted(met.join(shared.select("part"), "part"), wide)

@@ -222,6 +222,18 @@ def test_tiles_of_a_large_component_follow_its_shared_parts(spark):
     assert placed(40) == 2 * 39 and placed(160) == 2 * 159
 
 
+def test_parts_with_the_same_sets_are_one_tile(spark):
+    """Two long sets that share 400 parts, and three sets that share 200 of their own and one with them."""
+    parts = [(k, [1, 2]) for k in range(400)] + [(1000 + k, [3, 4, 5]) for k in range(200)] + [(5000, [1, 2, 3, 4, 5]), (5001, [1, 3]), (5002, [2, 4])]
+    edges = spark.createDataFrame([(p, a, nodes[0], k == 0) for p, nodes in parts for k, a in enumerate(nodes[1:])], "part long, a long, b long, opens boolean")
+    members = spark.createDataFrame([(k, 100, k) for k in range(1, 6)], "node long, n_shingles long, set_id long")
+    pieces = spark.createDataFrame([], "node long, label long")
+    tiles = {}
+    for r in jaccard._open_tiles(edges, members, pieces, jaccard.JaccardJoin()).collect():
+        tiles.setdefault(r.tile, []).append(r.node)
+    assert sorted(sorted(nodes) for nodes in tiles.values()) == [[1, 2], [1, 2, 3, 4, 5], [1, 3], [2, 4], [3, 4, 5]]
+
+
 def edited(k, words, edits):
     """A copy of ``words`` with that many of them replaced, at places of its own."""
     rng, out = np.random.default_rng(k), list(words)
