@@ -40,6 +40,7 @@ from .graph import components
 
 BAND_STEP = 1.5
 BROADCAST_ROWS = 1 << 19  # of 8-byte ids; more are joined by a shuffle
+HELD_KEYS, KEY_ROWS = 1 << 20, 1 << 16  # in a task at once, and in one batch that it returns; a long set has thousands
 FIRST_PLACES = 16  # of a set, by which a tile tells that it has met a partner before; beyond them a pair may be compared again
 
 
@@ -197,10 +198,22 @@ def _set_rows(rule: JaccardJoin) -> Callable:
 
 
 def _key_rows(rule: JaccardJoin, ranks: np.ndarray | None = None) -> Callable:
+    """A row for each set and key; copies are merged among sets of about ``HELD_KEYS`` keys."""
+
+    def rows(arrays: dict[int, np.ndarray], seen: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(arrays[k]) for k in seen]
+        keys = pa.RecordBatch.from_arrays(
+            [pa.array(_long(np.concatenate([arrays[k] for k in seen]))),
+             pa.array(np.repeat(_long(list(seen)), sizes)), pa.array(np.repeat(np.array(list(seen.values()), np.int64), sizes))],
+            ["part", "set_id", "node"])
+        for k in range(0, len(keys), KEY_ROWS):  # the executor holds a batch as a whole
+            yield keys.slice(k, KEY_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, int] = {}
             arrays: dict[int, np.ndarray] = {}
+            held = 0
             ids = batch.column("doc_id").to_pylist()
             for a, b, data, offsets in tokens.chunks(batch.column("text")):
                 for doc, found in zip(ids[a:b], shingle_sets(data, offsets, rule), strict=True):
@@ -208,14 +221,13 @@ def _key_rows(rule: JaccardJoin, ranks: np.ndarray | None = None) -> Callable:
                         name = _identity(found)
                         if name not in arrays:
                             arrays[name] = part_keys(found, rule) if ranks is None else prefix_keys(found, ranks, rule)
+                            held += len(arrays[name])
                         seen[name] = min(doc, seen.get(name, doc))
-            if not seen:
-                continue
-            sizes = [len(arrays[k]) for k in seen]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_long(np.concatenate([arrays[k] for k in seen]))),
-                 pa.array(np.repeat(_long(list(seen)), sizes)), pa.array(np.repeat(np.array(list(seen.values()), np.int64), sizes))],
-                ["part", "set_id", "node"])
+                if held > HELD_KEYS:
+                    yield from rows(arrays, seen)
+                    seen, arrays, held = {}, {}, 0
+            if seen:
+                yield from rows(arrays, seen)
     return run
 
 
@@ -455,7 +467,8 @@ def _open_tiles(edges: DataFrame, members: DataFrame, pieces: DataFrame, rule: J
     shared = shared.groupBy("rows", "low", "high").agg(F.min("part").alias("part"))
     # a bitmap is a small part of its text
     wide = replace(rule, tile_rows=rule.map_rows, tile_shingles=rule.tile_shingles * 16)
-    return _fitted(met.join(shared.select("part"), "part"), wide)
+    # few of the rows are left, and several branches read them
+    return _fitted(workspace.written(met.join(shared.select("part"), "part"), "near_open"), wide)
 
 
 def _fitted(met: DataFrame, rule: JaccardJoin) -> DataFrame:

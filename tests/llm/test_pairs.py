@@ -234,6 +234,21 @@ def test_parts_with_the_same_sets_are_one_tile(spark):
     assert sorted(sorted(nodes) for nodes in tiles.values()) == [[1, 2], [1, 2, 3, 4, 5], [1, 3], [2, 4], [3, 4, 5]]
 
 
+def test_keys_return_in_small_batches(monkeypatch):
+    """A few long sets have more keys than a batch, or than a task holds; none is lost."""
+    import pyarrow as pa
+
+    long = [" ".join(f"w{k}x{i}" for i in range(40_000)) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(long, pa.string())], ["doc_id", "text"])
+    rule = jaccard.JaccardJoin(threshold=80, shingle=5, prefix=True)
+    solve = jaccard._key_rows(rule, np.zeros(1 << rule.sketch_bits, np.uint8))
+    for held in (1 << 20, 1 << 14):
+        monkeypatch.setattr(jaccard, "HELD_KEYS", held)
+        found = [(len(b), set(b.column("node").to_pylist())) for b in solve(iter([batch]))]
+        assert sum(n for n, _ in found) == 12 * (39_996 - -(-80 * 39_996 // 100) + 1) and max(n for n, _ in found) <= 1 << 16
+        assert set().union(*(nodes for _, nodes in found)) == set(range(12))
+
+
 def edited(k, words, edits):
     """A copy of ``words`` with that many of them replaced, at places of its own."""
     rng, out = np.random.default_rng(k), list(words)
