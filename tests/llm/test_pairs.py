@@ -143,6 +143,28 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [25, 1 << 17])
+def test_files_of_components_follow_the_edges(spark, monkeypatch, limit):
+    """Rounds over a few edges write a few files, however many shuffle partitions there are; with more than a task's edges the result is the same."""
+    from pathlib import Path
+
+    monkeypatch.setattr(graph, "EDGE_ROWS", limit, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    folder = Path(jaccard.workspace.root(spark).removeprefix("file:"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
+    before = len(list(folder.rglob("part-*")))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.label for r in graph.components(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert len(list(folder.rglob("part-*"))) - before < 2 * 40
+
+
 def plain_repeats(rows, window):
     count = Counter()
     for _, text in rows:
